@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftwork.llm import line_dedup, minhash_dedup, substring_dedup, url_filter
+from siftwork.llm import line_dedup, minhash_dedup, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.op1_minhash_near_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
