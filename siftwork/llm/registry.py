@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from siftwork.llm import line_dedup, minhash_dedup, quality, substring_dedup, url_filter
+from siftwork.llm import embedding_dedup, graph_search, line_dedup, minhash_dedup, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.op1_minhash_near_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_embedding_near_dedup": embedding_dedup.op5_embedding_near_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_nearest_neighbours": graph_search.op10_nearest_neighbours,
 }
 
 ORACLES = {
     "op1_minhash_near_dedup": minhash_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_embedding_near_dedup": embedding_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op10_nearest_neighbours": graph_search.ORACLE,
 }
