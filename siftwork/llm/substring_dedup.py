@@ -10,6 +10,9 @@ the anchor of, which start in one stretch of the text. Compaction joins the edge
   the path's smallest document is that of each of its windows;
 * several contexts: a branching node. Only there are single windows hashed and counted.
 
+Texts move once, dealt by document: the exchange that serves the single windows is used again for
+the final cut. Words are hashed again rather than stored, which costs CPU but no disk.
+
 Stretches to remove go back to their document as source coordinates, and the words that they
 cover are cut from the text itself. Windows are judged on the input.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, mix, ranges_hash, slices
-from siftwork.session import cut, table
+from siftwork.session import table
 
 WINDOW, KMER = 50, 10
 
@@ -148,15 +151,15 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, kmer: int = KMER)
 
     docs: (id, text), ids not null.
     """
-    edges = cut(docs.mapInArrow(_edges(window, kmer), "id long, kmer long, context long, low int, more int"))
+    edges = docs.mapInArrow(_edges(window, kmer), "id long, kmer long, context long, low int, more int")
     nodes = edges.groupBy("kmer").agg(
         F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1")
     )
     nodes = nodes.filter("least < most").select("kmer", "least", (F.col("c0") != F.col("c1")).alias("branching"))
-    again = cut(edges.join(nodes, "kmer").select("id", "low", "more", "least", "branching"))
+    again = edges.select("id", "kmer", "low", "more").join(nodes, "kmer")
     paths = again.filter("NOT branching AND id > least").select("id", "low", "more")
     spans = again.filter("branching").groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
-    single = cut(docs.join(spans, "id").select("id", "text", "spans").mapInArrow(_windows(window), "id long, window long, low int"))
+    single = docs.join(spans, "id").select("id", "text", "spans").mapInArrow(_windows(window), "id long, window long, low int")
     firsts = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     repeats = single.join(firsts.select("window", "least"), "window").filter("id > least").select("id", "low", F.lit(0).alias("more"))
     return paths.unionByName(repeats)
@@ -170,11 +173,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty. Rows with a null id lose nothing. Rows that repeat an id are one document.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = repeated_stretches(plain.filter("id IS NOT NULL"), window, kmer)
-    spans = found.groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
+    named = plain.filter("id IS NOT NULL")
+    spans = repeated_stretches(named, window, kmer).groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
+    none = F.expr("array()").cast("array<struct<low:int,more:int>>")
+    held = named.join(spans, "id", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
     return (
-        plain.join(spans, "id", "left")
-        .select("id", "text", F.coalesce("spans", F.expr("array()").cast("array<struct<low:int,more:int>>")).alias("spans"))
+        held.unionByName(plain.filter("id IS NULL").withColumn("spans", none))
         .mapInArrow(_cut_words(window), "id long, n_words long, n_removed long, text string")
         .withColumnRenamed("id", id_col)
     )
