@@ -12,6 +12,10 @@
 5. Lists whose members are one component by now hold nothing more. In the others, members
    outside the list's main component are compared with those of other components.
 
+Before a pair leaves a join, a parity sketch bounds its similarity from above: each shingle flips
+one of 1024 bits, so two sketches differ in at most as many bits as the sets have shingles not in
+common. The bound never rejects a link, and copies just under the threshold rarely pass it.
+
 Components are those of the graph of all links: step 5 leaves out only pairs already joined.
 With 32 coordinates and 16 matches, a pair at Jaccard 0.85 is missed with probability 5e-7.
 """
@@ -23,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.components import components
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, mix, ranges_hash, slices
 from siftwork.session import cut, table
 
-COORDINATES, MATCHES, SHINGLE = 32, 16, 5
+COORDINATES, MATCHES, SHINGLE, PARITY_BITS = 32, 16, 5, 1024
 _A = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
 _TAG = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x165667B19E3779F9))
 
@@ -59,24 +63,44 @@ def signature(own: np.ndarray) -> np.ndarray:
     return mix(x.min(axis=1) ^ _TAG)
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each flipped once for every shingle that falls on it."""
+    bits = np.bincount((mix(own) >> U(64 - 10)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(percent: int) -> Column:
+    """False for pairs whose sizes or parity sketches rule out a link."""
+    apart = sum((F.bit_count(F.col("par_a")[i].bitwiseXOR(F.col("par_b")[i])) for i in range(1, PARITY_BITS // 64)), F.bit_count(F.col("par_a")[0].bitwiseXOR(F.col("par_b")[0])))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return sizes & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def _side(reps: DataFrame, x: str, *more: str) -> DataFrame:
+    return reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"par_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size, key, sig, at = [], [], [], [0]
+        size, key, sig, odd, at = [], [], [], [], [0]
         for own in shingle_sets(arrow_rows(batch, "text")):
             size.append(len(own))
             key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
             if len(own):
                 sig.append(signature(own).view(np.int64))
+                odd.append(parity(own))
             at.append(at[-1] + (COORDINATES if len(own) else 0))
-        flat = np.concatenate(sig) if sig else np.zeros(0, np.int64)
+        flat, flags = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sig, odd))
+        at = np.array(at)
         yield pa.RecordBatch.from_arrays(
             [
                 arrow_rows(batch, "id").cast(pa.int64()),
                 pa.array(size, pa.int64()),
                 pa.array(key, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
+                pa.ListArray.from_arrays(pa.array(at // COORDINATES * (PARITY_BITS // 64), pa.int32()), pa.array(flags)),
             ],
-            names=["id", "n_shingles", "key", "sig"],
+            names=["id", "n_shingles", "key", "sig", "parity"],
         )
 
 
@@ -105,19 +129,18 @@ def _confirm(percent: int):
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key, sig) of every document."""
+    """(id, n_shingles, key, sig, parity) of every document."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _sketches, "id long, n_shingles long, key binary, sig array<long>"
+        _sketches, "id long, n_shingles long, key binary, sig array<long>, parity array<long>"
     )
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are links. docs: (id, text)."""
-    signed = reps.select("id", "sig", "n_shingles")
     close = (
-        pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
-        .join(signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
-        .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        pairs.join(_side(reps, "a", "sig"), "a")
+        .join(_side(reps, "b", "sig"), "b")
+        .filter(_may_link(percent))
         .filter(F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)
         .select("a", "b")
     )
@@ -149,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.groupBy("key").agg(F.min("id").alias("rep"))
     reps = cut(
         named.join(classes, (named["key"] == classes["key"]) & (F.col("id") == F.col("rep")), "left_semi")
-        .select("id", "n_shingles", "sig")
+        .select("id", "n_shingles", "sig", "parity")
         .dropDuplicates(["id"])
     )
     posted = reps.select("id", F.explode("sig").alias("token"))
@@ -173,11 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     open_lists = cut(placed.join(mixed.select("token", F.col("top.comp").alias("main")), "token"))
-    few = open_lists.filter("comp <> main").select("token", "lead", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
+    ours = open_lists.filter("comp <> main").select("token", "lead", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
+    theirs = open_lists.select("token", F.col("id").alias("b"), "comp", "main")
     rest = (
-        few.join(open_lists.select("token", "id", "comp", "main"), "token")
-        .filter("x_comp <> comp AND (comp = main OR x < id) AND x <> lead AND id <> lead")
-        .select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
+        ours.join(_side(reps, "a"), "a")
+        .join(theirs.join(_side(reps, "b"), "b"), "token")
+        .filter("comp_a <> comp AND (comp = main OR a < b) AND a <> lead AND b <> lead")
+        .filter(_may_link(percent))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
     more = _verified(rest, reps, plain, percent)
