@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siftwork.plans import dedupe_queries, media_queries, reconcile_queries  # noqa: F401
+from siftwork.plans.register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
