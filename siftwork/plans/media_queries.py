@@ -1,0 +1,304 @@
+"""Queries over fingerprints, embeddings, classification, dates and destinations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwork.functions import scalars as S
+from siftwork.operators import decisions as D
+from siftwork.operators import planner, similar
+from siftwork.plans.register import query
+from siftwork.session import table
+
+#: The largest distance of a pair of fingerprints; the smallest that gives rows on the smallest tables.
+NEAR = 16
+
+BITS = """bits AS (
+  SELECT vec_id, label, embedding, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > list_sort(embedding[2:])[(len(embedding)) // 2] THEN '1' ELSE '0' END), '') AS bits
+  FROM embeddings)"""
+PAIRS = f"""WITH {BITS}, pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits::BIT, b.bits::BIT))::int AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id
+  WHERE bit_count(xor(a.bits::BIT, b.bits::BIT)) <= {NEAR})"""
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors.select("vec_id", "label", "embedding", S.pack_by_median(F.col("embedding")).alias("hash"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fingerprints(spark, sf_dir).select("vec_id", "hash")
+    a, b = (own.select(F.col("vec_id").alias(x), F.col("hash").alias(f"h{x}")) for x in "ab")
+    return similar.hamming_join(a, b, "ha", "hb", NEAR, F.col("a") < F.col("b")).select("a", "b", "distance")
+
+
+@query(f"WITH {BITS} SELECT vec_id, bits, substr(bits, 49, 16) AS chunk0 FROM bits")
+def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = lambda c, n: F.lpad(F.bin(c), n, "0")
+    own = fingerprints(spark, sf_dir)
+    return own.select("vec_id", wide(F.col("hash"), 64).alias("bits"), wide(S.chunk(F.col("hash"), 0, 4), 16).alias("chunk0"))
+
+
+@query(f"{PAIRS} SELECT a, b, distance FROM pairs")
+def hamming_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir)
+
+
+@query(
+    f"""WITH {BITS}, near AS (SELECT w.vec_id AS copy, o.vec_id AS original, bit_count(xor(w.bits::BIT, o.bits::BIT))::int AS distance, o.label AS area
+      FROM bits w JOIN bits o ON w.label % 2 = 0 AND o.label % 2 = 1 AND bit_count(xor(w.bits::BIT, o.bits::BIT)) <= {NEAR + 4}
+      AND list_dot_product(w.embedding::DOUBLE[], o.embedding::DOUBLE[]) >= 0.3)
+    SELECT copy, original, distance FROM (SELECT *, row_number() OVER (PARTITION BY copy ORDER BY distance, area DESC, original) AS r FROM near) WHERE r = 1"""
+)
+def hamming_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest original of each copy, by distance, area and id; cosine as a last gate."""
+    own = fingerprints(spark, sf_dir)
+    copies = own.filter("label % 2 = 0").select(F.col("vec_id").alias("copy"), F.col("hash").alias("hc"), F.col("embedding").alias("ec"))
+    others = own.filter("label % 2 = 1").select(F.col("vec_id").alias("original"), F.col("hash").alias("ho"), F.col("embedding").alias("eo"), "label")
+    near = similar.hamming_join(copies, others, "hc", "ho", NEAR + 4).filter(S.dot(F.col("ec"), F.col("eo")) >= 0.3)
+    return similar.best_match(near, "copy", F.col("distance"), F.desc("label"), F.col("original")).select("copy", "original", "distance")
+
+
+@query(f"{PAIRS} SELECT id AS vec_id, count(*) AS n_pairs FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY id HAVING count(*) >= 1")
+def pair_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_pairs")).filter("n_pairs >= 1")
+
+
+@query(
+    """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size AS aw, b.p_size AS bw, abs(a.p_retailprice - b.p_retailprice) AS worst,
+      (a.p_partkey % 4)::int AS rotation, a.p_size * 100 AS pa, b.p_size * 100 AS pb, length(a.p_name) AS sa, length(b.p_name) AS sb,
+      a.p_partkey % 5 = 0 AS aa, b.p_partkey % 5 = 0 AS ba FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+    k AS (SELECT *, CASE WHEN worst <= 4 OR ((aw <> bw OR rotation <> 0) AND worst <= 10) THEN 'copy' ELSE 'shot' END AS kind FROM p)
+    SELECT a, b, kind, CASE WHEN kind = 'copy' AND aa <> ba AND pa / greatest(pb, 1) BETWEEN 0.95 AND 1.05 THEN CASE WHEN aa THEN 'A' ELSE 'B' END
+      WHEN kind = 'copy' THEN CASE WHEN pb > pa OR (pb = pa AND sb > sa) THEN 'B' ELSE 'A' END ELSE 'both' END AS keep FROM k"""
+)
+def pair_kind_and_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    side = lambda x: part.select(
+        F.col("p_partkey").alias(x), F.col("p_size").alias(f"w{x}"), F.col("p_retailprice").alias(f"v{x}"), (F.col("p_size") * 100).alias(f"p{x}"),
+        F.length("p_name").alias(f"s{x}"), (F.col("p_partkey") % 5 == 0).alias(f"in{x}"),
+    )
+    both = side("a").withColumn("next", F.col("a") + 1).join(side("b"), F.col("next") == F.col("b"))
+    c = F.col
+    kind = similar.pair_kind(F.abs(c("va") - c("vb")), F.array(c("wa"), F.lit(100)), F.array(c("wb"), F.lit(100)), c("a") % 4)
+    both = both.withColumn("kind", kind)
+    return both.select("a", "b", "kind", similar.pair_keep(c("kind"), c("pa"), c("pb"), c("sa"), c("sb"), c("ina"), c("inb")).alias("keep"))
+
+
+_BAND = """near AS (SELECT n.event_id AS clip, l.event_id AS match, l.event_id % 2 = 1 AS library, l.user_id AS size FROM events n JOIN events l
+  ON n.event_type = l.event_type AND n.event_id % 10 = 0 AND l.event_id <> n.event_id AND l.event_id % 10 <> 0 AND abs(n.value - l.value) <= 0.005)"""
+
+
+@query(f"WITH {_BAND} SELECT clip, match FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY library DESC, size DESC, match) AS r FROM near) WHERE r = 1")
+def band_join_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best copy of each new clip among those about as long: library first, then size."""
+    e = table(spark, sf_dir, "events")
+    new = e.filter("event_id % 10 = 0").select(F.col("event_id").alias("clip"), F.col("value").alias("d"), F.col("event_type").alias("t"))
+    old = e.filter("event_id % 10 <> 0").select(
+        F.col("event_id").alias("match"), F.col("value").alias("dd"), F.col("event_type").alias("tt"), (F.col("event_id") % 2 == 1).alias("library"), F.col("user_id").alias("size")
+    )
+    near = similar.band_join(new, old, "d", "dd", 0.005, F.col("t") == F.col("tt"))
+    return similar.best_match(near, "clip", F.desc("library"), F.desc("size"), F.col("match")).select("clip", "match")
+
+
+_MEANS = """mv AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+  nm AS (SELECT label, sqrt(sum(v * v)) AS n FROM mv GROUP BY label)"""
+
+
+@query(f"WITH {_MEANS} SELECT label, i - 1 AS i, round_even(v / n, 6) AS v FROM mv JOIN nm USING (label)")
+def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = similar.mean_vector(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("mean").alias("i", "v")).select("label", "i", F.bround("v", 6).alias("v"))
+
+
+@query(
+    f"""WITH {_MEANS}, m AS (SELECT label AS prompt, list(v / n ORDER BY i) AS mean FROM mv JOIN nm USING (label) GROUP BY label),
+    s AS (SELECT vec_id, prompt, list_dot_product(embedding::DOUBLE[], mean) AS c FROM embeddings, m)
+    SELECT vec_id, prompt, round_even(c, 6) AS cosine, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round_even(c, 9) DESC, prompt) AS r FROM s) WHERE r <= 3"""
+)
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest label means of each vector. The means, a row a label, are one array that rides along with each row."""
+    scored = _scores(spark, sf_dir)
+    best = F.slice(F.array_sort(F.transform("scores", lambda s: F.struct((-F.bround(s["c"], 9)).alias("k"), s["prompt"], s["c"]))), 1, 3)
+    out = scored.select("vec_id", F.posexplode(best).alias("i", "s"))
+    return out.select("vec_id", F.col("s.prompt").alias("prompt"), F.bround("s.c", 6).alias("cosine"), (F.col("i") + 1).alias("place"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and its cosine with the mean of every label; labels are few and stand for prompts."""
+    vectors = table(spark, sf_dir, "embeddings")
+    means = similar.mean_vector(vectors, "label", "embedding").agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("prompt"), "mean"))).alias("prompts"))
+    return vectors.crossJoin(F.broadcast(means)).select(  # one row
+        "vec_id", "label", F.transform("prompts", lambda p: F.struct(p["prompt"].alias("prompt"), S.dot(F.col("embedding"), p["mean"]).alias("c"))).alias("scores")
+    )
+
+
+@query(
+    f"""WITH {_MEANS}, m AS (SELECT label AS prompt, list(v / n ORDER BY i) AS mean FROM mv JOIN nm USING (label) WHERE label < 7 GROUP BY label),
+    s AS (SELECT vec_id, prompt, list_dot_product(embedding::DOUBLE[], mean) AS c FROM embeddings, m),
+    e AS (SELECT vec_id, prompt, exp((c - max(c) OVER (PARTITION BY vec_id)) * 10) AS x FROM s),
+    p AS (SELECT vec_id, prompt, x / sum(x) OVER (PARTITION BY vec_id) * CASE WHEN prompt = 1 AND vec_id % 3 = 0 THEN 2.0 WHEN prompt = 0 AND vec_id % 3 <> 0 THEN 1.5 ELSE 1 END AS q FROM e),
+    z AS (SELECT vec_id, prompt, q / sum(q) OVER (PARTITION BY vec_id) AS q FROM p)
+    SELECT vec_id, ['photo', 'screenshot', 'meme', 'advert', 'greeting', 'document', 'news'][prompt + 1] AS category, round_even(q, 6) AS confidence
+    FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q DESC, prompt) AS r FROM z) WHERE r = 1"""
+)
+def softmax_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class probabilities of each vector against seven prompts, nudged by file evidence."""
+    few = F.filter("scores", lambda s: s["prompt"] < 7)
+    soft = S.softmax(F.transform(few, lambda s: s["c"]), 10.0)
+    names = F.transform(few, lambda s: F.element_at(F.array(*[F.lit(c) for c in S.CATEGORIES]), s["prompt"] + 1))
+    rows = _scores(spark, sf_dir).select("vec_id", F.map_from_arrays(names, soft).alias("p"))
+    phone = F.col("vec_id") % 3 == 0
+    p = D.adjust_probabilities(F.col("p"), F.when(phone, 1080).otherwise(1000), F.when(phone, 2400).otherwise(1000), F.when(phone, "").otherwise("Acme"), F.lit("JPEG"))
+    best = D.top_classes(p, 1)[0]
+    return rows.select("vec_id", best.alias("b")).select("vec_id", F.col("b.name").alias("category"), F.bround("b.p", 6).alias("confidence"))
+
+
+_FACTS = """facts AS (SELECT doc_id, ['photo', 'screenshot', 'meme', 'advert', 'greeting', 'document', 'news', 'unreadable'][(doc_id % 8 + 1)::int] AS category,
+  (doc_id % 100) / 100.0::double AS confidence, (doc_id % 37) / 100.0::double AS photo, CASE WHEN toxic = 1 THEN 2 ELSE 0 END AS people,
+  CASE WHEN doc_id % 11 = 0 THEN 'Acme One' ELSE '' END AS camera, doc_id % 13 = 0 AS gps, doc_id % 5 = 0 AS shape FROM documents LEFT JOIN labels USING (doc_id)),
+  guarded AS (SELECT *, array_to_string(list_filter([CASE WHEN people > 0 THEN concat(people, ' tagged people') END, CASE WHEN camera <> '' THEN concat('camera data (', camera, ')') END,
+  CASE WHEN gps THEN 'GPS location' END], lambda x: x IS NOT NULL), ', ') AS why FROM facts)"""
+
+
+@query(
+    f"""WITH {_FACTS} SELECT doc_id, category, CASE WHEN category = 'unreadable' THEN 'review' WHEN category NOT IN ('photo', 'document') THEN
+      CASE WHEN why <> '' OR (shape AND category <> 'screenshot') OR photo > 0.15 THEN 'review' WHEN confidence >= 0.75 THEN 'reject' ELSE 'review' END
+      WHEN category = 'document' THEN 'review' ELSE 'keep' END AS suggestion,
+    CASE WHEN category = 'unreadable' THEN 'could not be opened' WHEN category NOT IN ('photo', 'document') THEN
+      CASE WHEN why <> '' THEN concat('looks like ', category, ' but has ', why) WHEN shape AND category <> 'screenshot' THEN concat('looks like ', category, ' but has camera photo proportions')
+      WHEN photo > 0.15 THEN concat('could also be a photo (', round_even(photo * 100, 0)::bigint, '%)') WHEN confidence >= 0.75 THEN '' ELSE 'low confidence' END
+      WHEN category = 'document' THEN 'documents may be important' ELSE '' END AS note FROM guarded"""
+)
+def decide_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    c, i = F.col, F.col("doc_id")
+    classes = F.array(*[F.lit(x) for x in (*S.CATEGORIES, "unreadable")])
+    facts = docs.select(
+        "doc_id", F.element_at(classes, (i % 8 + 1).cast("int")).alias("category"), ((i % 100) / F.lit(100.0)).alias("confidence"), ((i % 37) / F.lit(100.0)).alias("photo"),
+        F.when(c("toxic") == 1, 2).otherwise(0).alias("people"), F.when(i % 11 == 0, "Acme One").otherwise("").alias("camera"), (i % 13 == 0).alias("gps"), (i % 5 == 0).alias("shape"),
+    )
+    made = D.decide(c("category"), c("confidence"), D.protection_reasons(c("people"), c("camera"), c("gps")), c("photo"), c("shape"))
+    return facts.select("doc_id", "category", made.alias("d")).select("doc_id", "category", "d.suggestion", "d.note")
+
+
+@query(
+    """WITH d AS (SELECT p_partkey, [640, 720, 750, 828, 1080, 1242, 1000, 0][(p_partkey % 8 + 1)::int] AS w, [1334, 1440, 2400, 1920, 1125, 2208, 2000][(p_size % 7 + 1)::int] AS h FROM part),
+    s AS (SELECT *, least(w, h) AS a, greatest(w, h) AS b FROM d)
+    SELECT p_partkey, w, h, w > 0 AND h > 0 AND ((a = 640 AND b = 1136) OR (a = 750 AND b = 1334) OR (a = 1242 AND b = 2208)
+      OR (a IN (640, 720, 750, 828, 1080, 1125, 1170, 1179, 1242, 1284, 1290, 1440, 1536, 1620, 1644, 1668) AND b / a >= 1.9)) AS screen,
+    w > 0 AND h > 0 AND coalesce(abs(b / nullif(a, 0) - 4 / 3) <= 0.01 * (4 / 3) OR abs(b / nullif(a, 0) - 1.5) <= 0.015 OR abs(b / nullif(a, 0) - 16 / 9) <= 0.01 * (16 / 9), false) AS camera FROM s"""
+)
+def screen_and_camera_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda xs, at: F.element_at(F.array(*[F.lit(x) for x in xs]), at.cast("int"))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", pick((640, 720, 750, 828, 1080, 1242, 1000, 0), F.col("p_partkey") % 8 + 1).alias("w"), pick((1334, 1440, 2400, 1920, 1125, 2208, 2000), F.col("p_size") % 7 + 1).alias("h")
+    )
+    return rows.select("*", S.screen_like(F.col("w"), F.col("h")).alias("screen"), S.camera_shaped(F.col("w"), F.col("h")).alias("camera"))
+
+
+@query(
+    "SELECT event_id, strftime(ts, '%Y-%m-%d') AS messenger, CASE WHEN event_id % 4 <> 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS camera, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS exif FROM events"
+)
+def date_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates out of names and stored strings; odd ones give null."""
+    i, show = F.col("event_id"), lambda c: F.date_format(c, "yyyy:MM:dd HH:mm:ss")
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("IMG-"), F.date_format("ts", "yyyyMMdd"), F.lit("-WA0001.jpg")).alias("wa"),
+        F.concat(F.lit("PXL_"), F.when(i % 4 == 0, "20231399_256199").otherwise(F.date_format("ts", "yyyyMMdd_HHmmss")), F.lit(".jpg")).alias("cam"),
+        F.when(i % 5 == 0, "0000:00:00 00:00:00").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("exif"),
+    )
+    return e.select("event_id", S.messenger_date(F.col("wa")).alias("messenger"), show(S.camera_name_date(F.col("cam"))).alias("camera"), show(S.exif_date(F.col("exif"))).alias("exif"))
+
+
+_DATES = """f AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 6 AS k, (o_custkey % 90)::int AS days FROM orders),
+  c AS (SELECT *, CASE WHEN k = 1 THEN d + to_days(1) END AS exif, CASE WHEN k IN (2, 3) THEN d + to_days(days) + to_hours(8) END AS side,
+    CASE WHEN k IN (3, 4) THEN date_trunc('day', d) + to_hours(12) END AS wa FROM f),
+  picked AS (SELECT *, CASE WHEN exif IS NOT NULL THEN 'existing' WHEN side IS NOT NULL AND wa IS NOT NULL AND epoch(side) - epoch(wa) > 129600 THEN 'whatsapp-name' WHEN side IS NOT NULL THEN 'sidecar'
+    WHEN wa IS NOT NULL THEN 'whatsapp-name' WHEN k = 5 THEN 'fallback (approximate)' ELSE 'none' END AS date_source FROM c),
+  planned AS (SELECT o_orderkey, date_source, strftime(CASE date_source WHEN 'existing' THEN exif WHEN 'sidecar' THEN side WHEN 'whatsapp-name' THEN wa WHEN 'fallback (approximate)' THEN d END, '%Y:%m:%d %H:%M:%S') AS date_taken FROM picked)"""
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with several sources of a date, at a zone eight hours east, planned."""
+    k, d, none = F.col("o_orderkey") % 6, F.col("o_orderdate"), F.lit(None).cast("string")
+    files = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k.isin(3, 4), F.concat(F.lit("IMG-"), F.date_format(d, "yyyyMMdd"), F.lit("-WA0001.jpg"))).otherwise("scan.jpg").alias("name"),
+        F.lit("+08:00").alias("zone"), F.when(k == 1, F.date_format(F.date_add(d, 1), "yyyy:MM:dd HH:mm:ss")).alias("exif_date"), none.alias("xmp_date"),
+        none.alias("create_date"), none.alias("creation_date"), none.alias("modify_date"),
+        F.when(k.isin(2, 3), F.unix_timestamp(d) + (F.col("o_custkey") % 90) * 86400).alias("taken"), F.when(k == 5, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).alias("fallback"),
+    )
+    return planner.choose_date(files, 2026)
+
+
+@query(f"WITH {_DATES} SELECT o_orderkey, date_source, date_taken FROM planned")
+def date_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dated(spark, sf_dir).select("o_orderkey", "date_source", "date_taken")
+
+
+@query(
+    f"WITH {_DATES} SELECT count(*) AS files, count(*) FILTER (date_source = 'existing') AS existing, count(*) FILTER (date_source = 'sidecar') AS sidecar, count(*) FILTER (date_source = 'whatsapp-name') AS from_name, "
+    "count(*) FILTER (date_source LIKE 'fallback%') AS fallback, count(*) FILTER (date_source = 'none') AS undated, count(*) FILTER (date_source NOT IN ('existing', 'none')) AS to_write FROM planned"
+)
+def embed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("date_source")
+    return dated(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(s == "existing").alias("existing"), F.count_if(s == "sidecar").alias("sidecar"), F.count_if(s == "whatsapp-name").alias("from_name"),
+        F.count_if(s.startswith("fallback")).alias("fallback"), F.count_if(s == "none").alias("undated"), F.count_if(~s.isin("existing", "none")).alias("to_write"),
+    )
+
+
+@query("SELECT c_custkey, CASE WHEN ok THEN la END AS lat, CASE WHEN ok THEN lo END AS lon FROM (SELECT *, abs(la) <= 90 AND abs(lo) <= 180 AND NOT (abs(la) < 1e-6 AND abs(lo) < 1e-6) AS ok FROM (SELECT c_custkey, c_acctbal / 50 AS la, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal / 30 END AS lo FROM customer))")
+def gps_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    lon = F.when(F.col("c_custkey") % 9 == 0, "east").otherwise((F.col("c_acctbal") / 30).cast("string"))
+    at = S.valid_gps((F.col("c_acctbal") / 50).cast("string"), lon)
+    return c.select("c_custkey", at.alias("g")).select("c_custkey", "g.lat", "g.lon")
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY first), ',') AS missing FROM (SELECT conv_id, role, min(turn) AS first FROM conversations WHERE turn > 0 GROUP BY conv_id, role) WHERE (conv_id, role) NOT IN (SELECT conv_id, role FROM conversations WHERE turn = 0) GROUP BY conv_id")
+def tag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of later turns that the first doesn't have, in order."""
+    turns = table(spark, sf_dir, "conversations")
+    ordered = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("turn", "role")))), lambda x: x["role"])
+    own = turns.groupBy("conv_id").agg(ordered(F.col("turn") > 0).alias("wanted"), ordered(F.col("turn") == 0).alias("present"))
+    return own.select("conv_id", F.array_join(planner.missing_values(F.col("wanted"), F.col("present")), ",").alias("missing")).filter("missing <> ''")
+
+
+@query(
+    f"""WITH {_DATES} SELECT o_orderkey, concat_ws(' | ', CASE WHEN date_source NOT IN ('existing', 'none') THEN concat('EXIF:DateTimeOriginal=', date_taken, ' | EXIF:OffsetTimeOriginal=+08:00') END,
+      CASE WHEN o_orderkey % 5 = 0 THEN concat('XMP-dc:Description=', o_orderpriority, ' | EXIF:ImageDescription=', o_orderpriority) END,
+      CASE WHEN o_orderkey % 7 = 0 THEN concat('XMP-iptcExt:PersonInImage+=', o_orderstatus) END) AS tags FROM planned JOIN orders USING (o_orderkey)"""
+)
+def tag_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, n = F.col("o_orderkey"), F.lit(None).cast("double")
+    rows = dated(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderkey")
+    people = F.when(i % 7 == 0, F.array("o_orderstatus"))
+    tags = planner.plan_tags(F.lit(".jpg"), F.col("date_source"), F.col("date_taken"), F.lit("+08:00"), F.lit(False), n, n, F.lit(False), F.when(i % 5 == 0, F.col("o_orderpriority")), people)
+    return rows.select("o_orderkey", planner.tags_text(tags).alias("tags"))
+
+
+@query(
+    """SELECT dir, reason, count(*) AS n FROM (SELECT CASE WHEN k = 0 THEN 'Library/Albums/' || CASE WHEN trim(regexp_replace(p, '[<>:"/\\\\|?*]', '-', 'g'), ' .') = '' THEN 'Album' ELSE trim(regexp_replace(p, '[<>:"/\\\\|?*]', '-', 'g'), ' .') END
+      WHEN k = 1 THEN 'Library/Undated' ELSE strftime(o_orderdate, 'Library/%Y/%Y-%m') END AS dir, CASE k WHEN 0 THEN 'album' WHEN 1 THEN 'undated' ELSE 'date' END AS reason
+    FROM (SELECT *, o_orderkey % 4 AS k, concat(o_orderpriority, ' 2022/23.') AS p FROM orders)) GROUP BY ALL"""
+)
+def refile_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    album = F.when(k == 0, F.concat("o_orderpriority", F.lit(" 2022/23.")))
+    stamp = F.when(k != 1, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
+    to = table(spark, sf_dir, "orders").select(D.refile_destination(album, stamp).alias("t")).select("t.dir", "t.reason")
+    return to.groupBy("dir", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN r = 1 THEN n ELSE concat(substr(n, 1, length(n) - 4), ' (', r, ').jpg') END AS dest, r > 1 AS renamed FROM (SELECT *, row_number() OVER (PARTITION BY d, n ORDER BY s) AS r FROM "
+    "(SELECT page_id, regexp_extract(lower(url), '://([^/]*)', 1) AS d, concat('img', page_id % 7, '.jpg') AS n, lpad(page_id::varchar, 12, '0') AS s FROM pages))"
+)
+def refile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        F.lpad(F.col("page_id").cast("string"), 12, "0").alias("source"), F.regexp_extract(F.lower("url"), "://([^/]*)", 1).alias("dir"),
+        F.concat(F.lit("img"), (F.col("page_id") % 7).cast("string"), F.lit(".jpg")).alias("name"),
+    )
+    return planner.collision_free(pages).select(F.col("source").cast("long").alias("page_id"), "dest", "renamed")
