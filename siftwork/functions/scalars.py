@@ -170,11 +170,16 @@ def chunk(bits: Column, i: int, of: int) -> Column:
 
 def pack_by_median(vector: Column, skip: int = 1) -> Column:
     """Bits of v > median, the first the most significant; the median leaves out the first `skip` values."""
-    rest = F.array_sort(F.slice(vector, F.lit(skip + 1), F.size(vector)))
-    n = F.size(rest)
-    median = (F.get(rest, F.floor((n - 1) / 2).cast("int")).cast("double") + F.get(rest, F.floor(n / 2).cast("int")).cast("double")) / 2
-    bits = F.transform(vector, lambda v: (v.cast("double") > median).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    rest = F.sort_array(F.slice(vector, F.lit(skip + 1), F.size(vector)))
+    n = F.size(vector) - skip
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    # each array of one element binds its value once; a plain expression would be worked out for every component
+    median = F.transform(F.array(rest), lambda r: (F.get(r, low).cast("double") + F.get(r, high).cast("double")) / 2)
+    packed = F.transform(
+        median,
+        lambda m: F.aggregate(vector, F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR((v.cast("double") > m).cast("long"))),
+    )
+    return packed[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -183,15 +188,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def softmax(scores: Column, scale: float = 100.0) -> Column:
     """Softmax of an array of scores, largest subtracted first."""
-    top = F.array_max(scores)
-    raw = F.transform(scores, lambda s: F.exp((s - top) * scale))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda s, v: s + v))
+    raw = F.transform(F.array(scores), lambda a: F.transform(F.array(F.array_max(a)), lambda top: F.transform(a, lambda s: F.exp((s - top) * scale)))[0])
+    return F.transform(raw, lambda r: F.transform(F.array(F.aggregate(r, F.lit(0.0), lambda s, v: s + v)), lambda t: F.transform(r, lambda x: x / t))[0])[0]
 
 
 def renormalise(weights: Column) -> Column:
     """Map of weights summing to 1; unchanged where they sum to 0."""
-    total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda s, v: s + v)
-    return F.transform_values(weights, lambda _, v: v / F.when(total == 0, 1.0).otherwise(total))
+    total = lambda w: F.array(F.aggregate(F.map_values(w), F.lit(0.0), lambda s, v: s + v))
+    divide = lambda w: F.transform(total(w), lambda t: F.transform_values(w, lambda _, v: v / F.when(t == 0, 1.0).otherwise(t)))[0]
+    return F.transform(F.array(weights), divide)[0]
 
 
 def safe_folder(name: Column) -> Column:
