@@ -4,14 +4,18 @@
 2. Coarse centroids and, for residuals, one codebook for each subspace are fitted on a bounded
    sample. Every class is put in its nearest centroid's list with a code and the exact length of
    its coding error.
-3. A class probes a list if the half-space bound allows a link there: for y in the list of c2
-   and x nearest to c1, d(x,c2)^2 - d(x,c1)^2 <= 2 * radius * |c1 - c2|. No list that may hold a
-   link is left out, so the probes are sufficient rather than a number.
-4. In a list, asymmetric distances come from lookup tables. A class stays a candidate if its
-   distance is at most radius + coding error, which no link exceeds. Candidates are ranked again
-   by exact cosine in double precision.
-5. Lists are split into blocks and probes into chunks of bounded size, so that no task holds a
-   whole list. A tile emits a count and one edge for a member, never its pairs.
+3. A class x near c1 probes the list of c2 if d(x,c2)^2 - d(x,c1)^2 <= 2 * reach * |c1 - c2|: the
+   plane between the centroids is nearer than a link can cross. With reach = radius that holds
+   for every link; in d dimensions a link's step towards one plane has a spread of radius /
+   sqrt(d), so reach = min(radius, SPREADS * radius / sqrt(d)) is used. A link would have to cross
+   by over four spreads, seen from both sides, to be missed; up to 16 dimensions none can be.
+4. In a list, asymmetric distances come from lookup tables: one table of products a query serves
+   every list, as |x - c - b|^2 = |x - c|^2 - 2 x.b + (2 c.b + |b|^2), the last a number kept with
+   each member. A member stays a candidate if its distance is at most radius + coding error, which
+   no link exceeds. Candidates are ranked again by exact cosine in double precision.
+5. Lists are packed into tiles and split where they are larger; probes come in chunks. So a task
+   holds BLOCK members and about CHUNK probes. A tile emits a count and one edge for a member,
+   never its pairs.
 """
 
 from __future__ import annotations
@@ -29,61 +33,72 @@ from siftwork.llm.vectors import bounded_sample, kmeans, matrix, squared, takes_
 from siftwork.llm.words import arrow_rows
 from siftwork.session import cut, table
 
-#: Rows the centroids and codebooks are fitted on; list blocks and probe chunks hold about so many rows.
-SAMPLE, BLOCK, CHUNK, SUBSPACES, CODES = 8192, 4096, 8192, 8, 256
-SLACK = 1e-7
+#: Rows the centroids and codebooks are fitted on; rows of a tile and of a chunk; rows a list should hold.
+SAMPLE, BLOCK, CHUNK, LIST, CELLS = 32_768, 4096, 8192, 64, 2048
+SUBSPACES, CODES, SPREADS = 8, 256, 4.0
+SLACK = 1e-4  # tables are in single precision
 
 
 class Quantiser:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, cells: int):
+    def __init__(self, sample: np.ndarray, cells: int, least: float):
         sample = unit(sample)
-        self.centers = kmeans(sample, cells)
-        near = squared(sample, self.centers).argmin(1)
-        rest = sample - self.centers[near]
-        self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        self.books = [kmeans(rest[:, p], CODES, 6) for p in self.parts]
+        dim = sample.shape[1]
+        self.least, self.radius = least, float(np.sqrt(max(0.0, 2 - 2 * least)))
+        self.reach = min(self.radius, SPREADS * self.radius / np.sqrt(dim))
+        self.centers = kmeans(sample, cells, 8)
+        rest = sample - self.centers[squared(sample, self.centers).argmin(1)]
+        self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
+        self.books = [kmeans(rest[:8192, p], CODES, 5) for p in self.parts]
         self.apart = np.sqrt(squared(self.centers, self.centers))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest cell, codes, coding error, and squared distances to every centroid."""
-        far = squared(x, self.centers)
-        cell = far.argmin(1)
+        """Nearest cell, codes, coding error, and the member's own part of the distance."""
+        cell = squared(x, self.centers).argmin(1)
         rest = x - self.centers[cell]
         codes = np.stack([squared(rest[:, p], b).argmin(1) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
-        return cell, codes, np.sqrt(((rest - back) ** 2).sum(1)), far
-
-    def probes(self, far: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
-        own = far[np.arange(len(cell)), cell]
-        return far - own[:, None] <= 2 * radius * self.apart[cell] + SLACK
-
-    def lookup(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of the rows of q to the coded members of a cell."""
-        rest = q - self.centers[cell]
-        total = np.zeros((len(q), len(codes)))
-        for i, (p, book) in enumerate(zip(self.parts, self.books, strict=True)):
-            total += squared(rest[:, p], book)[:, codes[:, i]]
-        return total
-
-
-def tile_links(model: Quantiser, cell: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: float):
-    """(i, j): rows of q and x whose cosine is at least `least`, found among table-lookup candidates."""
-    radius = np.sqrt(max(0.0, 2 - 2 * least))
-    left, right = [], []
-    for s in range(0, len(q), 256):
-        part = q[s : s + 256]
-        near = np.sqrt(model.lookup(part, cell, codes)) <= radius + error[None, :] + SLACK
-        i, j = np.nonzero(near)
-        if len(i) > 0.02 * near.size:
-            i, j = np.nonzero(near & (part @ x.T >= least - 1e-9))
-        for t in range(0, len(i), 100_000):
-            a, b = i[t : t + 100_000], j[t : t + 100_000]
-            good = np.einsum("nd,nd->n", part[a], x[b]) >= least
-            left.append(a[good] + s)
-            right.append(b[good])
-    return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
+        own = 2 * (self.centers[cell] * back).sum(1) + (back * back).sum(1)
+        return cell, codes, np.sqrt(((rest - back) ** 2).sum(1)), own
+
+    def probes(self, far: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Which of cells each row probes; far: squared distances to every centroid."""
+        near = far.argmin(1)
+        return far[:, cells] - far[np.arange(len(far)), near][:, None] <= 2 * self.reach * self.apart[near][:, cells] + 1e-9
+
+    def table(self, q: np.ndarray) -> list[np.ndarray]:
+        """Products of every code with each row of q, by subspace: a row for a code."""
+        return [(b @ q[:, p].T).astype(np.float32) for p, b in zip(self.parts, self.books, strict=True)]
+
+
+def tile_links(model: Quantiser, q: np.ndarray, x: np.ndarray, cell: np.ndarray, codes: np.ndarray, error: np.ndarray, own: np.ndarray):
+    """(i, j): rows of q and x that link, found among table-lookup candidates in the lists that q probes."""
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    order = np.argsort(cell, kind="stable")
+    lists, first = np.unique(cell[order], return_index=True)
+    members = np.split(order, first[1:])
+    most = ((model.radius + error) ** 2 - own + SLACK).astype(np.float32)
+    for s in range(0, len(q), 1024):
+        part = q[s : s + 1024]
+        far = squared(part, model.centers)
+        probed = model.probes(far, lists)
+        tables = model.table(part)
+        for k, c in enumerate(lists):
+            if not probed[:, k].any():
+                continue
+            m = members[k]
+            product = tables[0][codes[m, 0]]
+            for i in range(1, len(tables)):
+                product += tables[i][codes[m, i]]
+            near = (far[None, :, c].astype(np.float32) - 2 * product <= most[m, None]) & probed[None, :, k]
+            j, i = np.nonzero(near)
+            for t in range(0, len(i), 50_000):
+                a, b = i[t : t + 50_000], m[j[t : t + 50_000]]
+                good = np.einsum("nd,nd->n", part[a], x[b]) >= model.least
+                left.append(a[good] + s)
+                right.append(b[good])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def tile_leads(i: np.ndarray, j: np.ndarray, q_id: np.ndarray, x_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,53 +154,73 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_co
 def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
     """(a, n, b): links a class has in a tile, and the smallest class of its component there."""
     spark = uniq.sparkSession
-    radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    cells = int(min(1024, max(1, np.sqrt(n) / 16)))
-    model = spark.sparkContext.broadcast(Quantiser(bounded_sample(uniq, "rep", "vec", SAMPLE, dim), cells))
+    cells = int(min(CELLS, max(1, n // LIST)))
+    model = spark.sparkContext.broadcast(Quantiser(bounded_sample(uniq, "rep", "vec", SAMPLE, dim), cells, least))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, codes, error, far = model.value.encode(unit(matrix(arrow_rows(batch, "vec"), dim))) if len(batch) else [np.zeros(0)] * 4
             if len(batch):
-                probed = model.value.probes(far, cell, radius)
-                at = np.concatenate(([0], np.cumsum(probed.sum(1))))
+                cell, codes, error, own = model.value.encode(unit(matrix(arrow_rows(batch, "vec"), dim)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         arrow_rows(batch, "rep"), arrow_rows(batch, "mult"), arrow_rows(batch, "vec").cast(pa.list_(pa.float64())),
-                        pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.nonzero(probed)[1].astype(np.int32))),
+                        pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(own),
                     ],
-                    names=["rep", "mult", "vec", "cell", "code", "error", "probes"],
+                    names=["rep", "mult", "vec", "cell", "code", "error", "own"],
                 )
 
     placed = cut(
         uniq.select("rep", "mult", "vec").mapInArrow(
-            place, "rep long, mult long, vec array<double>, cell int, code binary, error double, probes array<int>"
+            place, "rep long, mult long, vec array<double>, cell int, code binary, error double, own double"
         )
     )
-    sizes = dict(tuple(r) for r in placed.groupBy("cell").count().collect())  # a row for each centroid
-    blocks = F.create_map(*[F.lit(int(x)) for c, s in sorted(sizes.items()) for x in (c, -(-s // BLOCK))]) if sizes else F.create_map()
+    sizes = sorted(tuple(r) for r in placed.groupBy("cell").count().collect())  # a row for each of CELLS at most
+    tiles, filled, tile = {}, 0, 0
+    for c, size in sizes:
+        share, tiles[c] = -(-size // (-(-size // BLOCK))), []
+        for _ in range(-(-size // BLOCK)):
+            tile, filled = (tile + 1, 0) if filled + share > BLOCK else (tile, filled)
+            filled += share
+            tiles[c].append(tile)
     chunks = -(-n // CHUNK)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each tile that holds a list which the row probes."""
+        known = np.array(sorted(tiles))
+        for batch in batches:
+            if not len(batch):
+                continue
+            probed = model.value.probes(squared(unit(matrix(arrow_rows(batch, "vec"), dim)), model.value.centers), known)
+            hit = np.zeros((len(batch), tile + 1), bool)
+            for k, c in enumerate(known):
+                hit[:, tiles[c]] |= probed[:, k, None]
+            row, at = np.nonzero(hit)
+            for s in range(0, len(row), 20_000):
+                own = pa.array(row[s : s + 20_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[s : s + 20_000].astype(np.int32)), arrow_rows(batch, "rep").take(own), arrow_rows(batch, "vec").take(own)],
+                    names=["tile", "rep", "vec"],
+                )
+
+    split = F.create_map(*[x for c, t in sorted(tiles.items()) if len(t) > 1 for x in (F.lit(int(c)), F.array(*[F.lit(i) for i in t]))])
+    plain = F.create_map(*[F.lit(int(x)) for c, t in sorted(tiles.items()) for x in (c, t[0])])
+    block = plain[F.col("cell")]
+    if any(len(t) > 1 for t in tiles.values()):
+        many = split[F.col("cell")]
+        block = F.when(many.isNotNull(), many[F.pmod(F.xxhash64("rep"), F.size(many)).cast("int")]).otherwise(block)
     lists = placed.select(
-        "cell", F.pmod(F.xxhash64("rep"), blocks[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "rep", "mult", "vec", "code", "error",
-    )
-    asked = (
-        placed.select("rep", "vec", F.explode("probes").alias("cell"))
-        .filter(blocks[F.col("cell")].isNotNull())
-        .select(
-            "cell", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)).alias("block"),
-            F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(chunks)).cast("int").alias("chunk"), "rep", "vec",
-        )
-    )
+        block.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "rep", "mult", "vec", "cell", "code", "error", "own"
+    )
+    asked = placed.select("rep", "vec").mapInArrow(route, "tile int, rep long, vec array<double>")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(chunks)).cast("int"))
 
-    def tile(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "n": [], "b": []}).astype("int64")
         q, x = unit(np.stack(left["vec"].to_numpy())), unit(np.stack(right["vec"].to_numpy()))
         q_id, x_id = left["rep"].to_numpy(), right["rep"].to_numpy()
         codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        i, j = tile_links(model.value, int(key[0]), q, x, codes, right["error"].to_numpy(), least)
+        i, j = tile_links(model.value, q, x, right["cell"].to_numpy(), codes, right["error"].to_numpy(), right["own"].to_numpy())
         other = q_id[i] != x_id[j]
         i, j = i[other], j[other]
         n = np.zeros(len(q), np.int64)
@@ -198,9 +233,7 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
             "b": np.concatenate((a[linked], b[members])),
         })
 
-    return (
-        asked.groupBy("cell", "block", "chunk").cogroup(lists.groupBy("cell", "block", "chunk")).applyInPandas(tile, "a long, n long, b long")
-    )
+    return asked.groupBy("tile", "chunk").cogroup(lists.groupBy("tile", "chunk")).applyInPandas(join, "a long, n long, b long")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
