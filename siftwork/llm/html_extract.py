@@ -169,8 +169,8 @@ def _bucket(x: float, edges: tuple) -> int:
     return sum(x >= e for e in edges)
 
 
-def text_features(block: Block, at: int, n: int) -> list[str]:
-    """Features of a block's own text and place."""
+def text_features(block: Block) -> list[str]:
+    """Features of a block's own text. Where it stands tells nothing that its elements and neighbours don't."""
     text = block.text
     words = text.count(" ") + 1
     return [
@@ -179,8 +179,6 @@ def text_features(block: Block, at: int, n: int) -> list[str]:
         f"end={text[-1] if text[-1] in '.!?:;,' else 'x'}",
         f"commas={_bucket(text.count(',') / words, (0.01, 0.1))}",
         f"copyright={'©' in text}",
-        f"first={at == 0}",
-        f"last={at == n - 1}",
     ]
 
 
@@ -192,10 +190,8 @@ class Chain:
     steps: np.ndarray
 
     def score(self, blocks: list[Block]) -> list[float]:
-        get, n = self.weights.get, len(blocks)
-        return [
-            sum(get(f, 0.0) for f in path_features(b.path)) + sum(get(f, 0.0) for f in text_features(b, i, n)) for i, b in enumerate(blocks)
-        ]
+        get = self.weights.get
+        return [sum(get(f, 0.0) for f in path_features(b.path)) + sum(get(f, 0.0) for f in text_features(b)) for b in blocks]
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The most probable labels, by Viterbi."""
@@ -221,7 +217,7 @@ def train(pages: list[list[Block]], rounds: int = 200, rate: float = 0.1, decay:
     for r, blocks in enumerate(pages):
         for t, b in enumerate(blocks):
             gold[r, t] = b.label or 0
-            for f in (*path_features(b.path), *text_features(b, t, len(blocks))):
+            for f in (*path_features(b.path), *text_features(b)):
                 rows.append(r * longest + t)
                 cols.append(index.setdefault(f, len(index)))
     rows, cols = np.array(rows), np.array(cols)
