@@ -239,3 +239,11 @@ def cache_key(path: Column, size: Column, mtime: Column) -> Column:
 
 def size_ratio(a: Column, b: Column) -> Column:
     return a / F.greatest(b, F.lit(1))
+
+
+def album_of(folder: Column) -> Column:
+    """Album of a folder '<part>/Takeout/Google Photos/<album>'; null for any other and for 'Photos from YYYY'."""
+    parts = F.split(folder, r"[/\\]")
+    inside = (F.size(parts) == 4) & (F.get(parts, F.lit(1)) == "Takeout") & (F.get(parts, F.lit(2)) == "Google Photos")
+    name = F.get(parts, F.lit(3))
+    return F.when(inside & ~name.rlike(r"^Photos from \d{4}$"), name)

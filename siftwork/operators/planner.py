@@ -145,3 +145,16 @@ def check_expected(plan: DataFrame, expected: int) -> DataFrame:
     if n != expected:
         raise ValueError(f"the plan has {n} rows, {expected} were expected")
     return plan
+
+
+def pair_rejects(pairs: DataFrame, decision: str = "decision") -> DataFrame:
+    """A row to reject for the side of a pair that isn't kept; none where both are. Needs a, b, a_size, b_size."""
+    drop = lambda side, other, when: F.when(F.col(decision) == when, F.struct(F.col(side).alias("path"), F.col(f"{side}_size").alias("size"), F.col(other).alias("copy_of")))
+    gone = F.coalesce(drop("b", "a", "A"), drop("a", "b", "B"))
+    return pairs.select(gone.alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
+def albums_only(files: DataFrame, library: str = "Library") -> DataFrame:
+    """Files of an album that aren't in its folder yet. Needs dir and album."""
+    there = F.concat_ws("/", F.lit(library), F.lit("Albums"), S.safe_folder(F.col("album")))
+    return files.filter((F.coalesce("album", F.lit("")) != "") & (F.lower("dir") != F.lower(there)))

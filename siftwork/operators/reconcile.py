@@ -75,3 +75,18 @@ def album_members(current: DataFrame, lost: DataFrame, library: DataFrame) -> Da
         F.sort_array(F.collect_set("path")).alias("files"), F.count_if(F.col("was_lost") & F.col("path").isNotNull()).alias("recovered"),
         F.count_if(F.col("path").isNull()).alias("not_in_library"),
     )
+
+
+def unchanged(expected: DataFrame, now: DataFrame, *keys: str) -> DataFrame:
+    """Rows expected that are still there with equal keys; each is checked once however often it is named."""
+    return expected.select(*keys).distinct().join(now.select(*keys), list(keys), "left_semi")
+
+
+def album_titles(members: DataFrame, titles: DataFrame) -> DataFrame:
+    """(album, title, first, last): the first title seen, else the album's name, and the dates of its files.
+
+    members has album, date; titles has album, seen, title.
+    """
+    named = titles.filter(F.coalesce("title", F.lit("")) != "").groupBy("album").agg(F.min_by("title", "seen").alias("title"))
+    dates = members.groupBy("album").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return dates.join(named, "album", "left").select("album", F.coalesce("title", F.col("album").cast("string")).alias("title"), "first", "last")

@@ -270,3 +270,42 @@ def ext_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ext_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: sessions by a gap of 30 minutes."""
     return stream.sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT CASE WHEN k = 1 THEN b ELSE a END AS path, CASE WHEN k = 1 THEN bs ELSE as_ END AS size, CASE WHEN k = 1 THEN a ELSE b END AS copy_of FROM (SELECT p_partkey AS a, p_partkey + 1 AS b, p_size AS as_, p_size + 1 AS bs, p_partkey % 3 AS k FROM part) WHERE k <> 0")
+def pair_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    pairs = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"), F.col("p_size").alias("a_size"), (F.col("p_size") + 1).alias("b_size"),
+        F.when(k == 1, "A").when(k == 2, "B").otherwise("both").alias("decision"),
+    )
+    return planner.pair_rejects(pairs)
+
+
+@query("SELECT DISTINCT c_nationkey AS path, c_acctbal AS size FROM customer WHERE c_custkey % 4 <> 0 AND (c_nationkey, c_acctbal) IN (SELECT c_nationkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0)")
+def keeper_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keepers that a second scan finds unchanged."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("path"), F.col("c_acctbal").alias("size"))
+    return reconcile.unchanged(c.filter("c_custkey % 4 <> 0"), c.filter("c_custkey % 3 = 0"), "path", "size")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS album, CASE WHEN o_orderkey % 2 = 0 THEN concat('library/albums/', lower(o_orderpriority)) ELSE 'Library/2022' END AS dir FROM orders) WHERE album IS NOT NULL AND lower(dir) <> lower(concat('Library/Albums/', album))")
+def albums_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    files = table(spark, sf_dir, "orders").select(
+        i, F.when(i % 3 == 0, F.col("o_orderpriority")).alias("album"), F.when(i % 2 == 0, F.concat(F.lit("library/albums/"), F.lower("o_orderpriority"))).otherwise("Library/2022").alias("dir")
+    )
+    return planner.albums_only(files).select("o_orderkey")
+
+
+@query("WITH t AS (SELECT conv_id, arg_min(role, turn) AS title FROM conversations WHERE turn > 0 AND conv_id % 4 <> 0 GROUP BY conv_id) SELECT conv_id AS album, coalesce(title, conv_id::varchar) AS title, first, last FROM (SELECT conv_id, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY conv_id) LEFT JOIN t USING (conv_id)")
+def album_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("album"), F.col("turn").alias("date"), "role")
+    return reconcile.album_titles(c, c.filter("date > 0 AND album % 4 <> 0").select("album", F.col("date").alias("seen"), F.col("role").alias("title")))
+
+
+@query(f"WITH {_OVERLAY} SELECT doc_id, concat('{{\"id\":', doc_id, ',\"c\":\"', category, '\",\"s\":\"', suggestion, '\",\"b\":', bytes, '}}') AS row FROM o WHERE category = 'en' AND confidence >= 0.25 AND doc_id::varchar LIKE '%7%'")
+def triage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact rows of a reviewer's page: one category, from a confidence on, with a text in their name."""
+    shown = _overlay(spark, sf_dir).filter((F.col("category") == "en") & (F.col("confidence") >= 0.25) & F.col("doc_id").cast("string").contains("7"))
+    return shown.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("category").alias("c"), F.col("suggestion").alias("s"), F.col("bytes").alias("b"))).alias("row"))

@@ -106,3 +106,18 @@ def incomplete_scan_guard(errors: DataFrame, report_only: bool, allow: bool = Fa
     if not report_only and not allow and not errors.isEmpty():
         first = [r[0] for r in errors.limit(3).collect()]
         raise RuntimeError(f"the scan was incomplete: {first}")
+
+
+def read_external(files: DataFrame, reader, schema: str, chunk: int = 100) -> DataFrame:
+    """Rows that an outside reader gives for lists of at most `chunk` paths: tags, durations, frames or fingerprints.
+
+    reader takes a list of paths and returns a pandas frame of the schema; it runs on the executors.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            paths = batch["path"].tolist()
+            for s in range(0, len(paths), chunk):
+                yield reader(paths[s : s + chunk])
+
+    return files.select("path").mapInPandas(read, schema)
