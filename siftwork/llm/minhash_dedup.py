@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.components import components
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, mix, ranges_hash, slices
-from siftwork.session import cut, table
+from siftwork.session import bounded_batches, cut, table
 
 COORDINATES, MATCHES, SHINGLE, PARITY_BITS = 32, 16, 5, 1024
 _A = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
@@ -130,6 +130,7 @@ def _confirm(percent: int):
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, key, sig, parity) of every document."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _sketches, "id long, n_shingles long, key binary, sig array<long>, parity array<long>"
     )
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(
             F.col("id").alias(id_col),
             "n_shingles",
-            F.coalesce("component", "id").alias("component_id"),
+            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
             F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
         )
     )
