@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.session import cut
+
 
 def size_candidates(files: DataFrame, size: str = "size") -> DataFrame:
     """Files whose size occurs more than once and isn't zero."""
@@ -88,7 +90,7 @@ def number_groups(groups: DataFrame, size: str = "size", digest: str = "hash") -
     """
     keyed = groups.select(size, digest, F.concat(F.col(size).cast("string"), F.lit(", "), digest).alias("__key")).distinct()
     parts = keyed.repartitionByRange("__key").sortWithinPartitions("__key").withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__i", F.monotonically_increasing_id())
+    parts = cut(parts.withColumn("__i", F.monotonically_increasing_id()))  # ranges are sampled: they must not be drawn twice
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
     before = sizes.withColumn(
         "__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.session import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """New rows, and old rows whose key they don't replace."""
@@ -31,11 +33,11 @@ def systematic_sample(rows: DataFrame, order: list[Column], k: int) -> DataFrame
     """
     names = rows.columns
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__i", F.monotonically_increasing_id())
+    parts = cut(parts.withColumn("__i", F.monotonically_increasing_id()))  # ranges are sampled: they must not be drawn twice
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
     before = sizes.select("__p", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     at = parts.join(F.broadcast(before), "__p").withColumn("__at", F.col("__i") - F.col("__first") + F.col("__b"))  # a row a partition
-    n = rows.count()
+    n = parts.count()
     if k >= n:
         return at.select(*names, F.col("__at").alias("position"))
     i = F.ceil(F.col("__at") * F.lit(k) / F.lit(n)).cast("long")
