@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.components import components
-from siftwork.llm.vectors import bounded_sample, kmeans, matrix, squared, takes_part, unit
+from siftwork.llm.vectors import bounded_sample, kmeans, matrix, nearest_row, squared, takes_part, unit
 from siftwork.llm.words import arrow_rows
 from siftwork.session import cut, table
 
 #: Rows the centroids and codebooks are fitted on; rows of a tile and of a chunk; rows a list should hold.
-SAMPLE, BLOCK, CHUNK, LIST, CELLS = 32_768, 4096, 8192, 64, 2048
+SAMPLE, BLOCK, CHUNK, LIST, CELLS = 16_384, 4096, 8192, 64, 1024
 SUBSPACES, CODES, SPREADS = 8, 256, 4.0
 SLACK = 1e-4  # tables are in single precision
 
@@ -48,16 +48,16 @@ class Quantiser:
         self.least, self.radius = least, float(np.sqrt(max(0.0, 2 - 2 * least)))
         self.reach = min(self.radius, SPREADS * self.radius / np.sqrt(dim))
         self.centers = kmeans(sample, cells, 8)
-        rest = sample - self.centers[squared(sample, self.centers).argmin(1)]
+        rest = sample - self.centers[nearest_row(sample, self.centers)]
         self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
         self.books = [kmeans(rest[:8192, p], CODES, 5) for p in self.parts]
         self.apart = np.sqrt(squared(self.centers, self.centers))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Nearest cell, codes, coding error, and the member's own part of the distance."""
-        cell = squared(x, self.centers).argmin(1)
+        cell = nearest_row(x, self.centers)
         rest = x - self.centers[cell]
-        codes = np.stack([squared(rest[:, p], b).argmin(1) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
+        codes = np.stack([nearest_row(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         own = 2 * (self.centers[cell] * back).sum(1) + (back * back).sum(1)
         return cell, codes, np.sqrt(((rest - back) ** 2).sum(1)), own
@@ -187,9 +187,7 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each tile that holds a list which the row probes."""
         known = np.array(sorted(tiles))
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(s, 2048) for b in batches for s in range(0, len(b), 2048)):
             probed = model.value.probes(squared(unit(matrix(arrow_rows(batch, "vec"), dim)), model.value.centers), known)
             hit = np.zeros((len(batch), tile + 1), bool)
             for k, c in enumerate(known):

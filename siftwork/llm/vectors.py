@@ -29,12 +29,17 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :], 0)
 
 
+def nearest_row(x: np.ndarray, centers: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The nearest of centers to each row of x, a block of rows at a time."""
+    return np.concatenate([squared(x[s : s + block], centers).argmin(1) for s in range(0, len(x), block)] or [np.zeros(0, int)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids by Lloyd's rounds from the first k distinct rows; fewer where x has fewer."""
     first = np.sort(np.unique(x, axis=0, return_index=True)[1])[:k]
     centers = x[first].copy()
     for _ in range(rounds):
-        near = squared(x, centers).argmin(1)
+        near = nearest_row(x, centers)
         sums = np.zeros_like(centers)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=len(centers))
