@@ -10,7 +10,7 @@ the anchor of, which start in one stretch of the text. Compaction joins the edge
   the path's smallest document is that of each of its windows;
 * several contexts: a branching node. Only there are single windows hashed and counted.
 
-Texts move once, dealt by document: the exchange that serves the single windows is used again for
+Texts move once, compressed and dealt by document: the exchange that serves the single windows is used again for
 the final cut. Words are hashed again rather than stored, which costs CPU but no disk.
 
 Stretches to remove go back to their document as source coordinates, and the words that they
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, mix, ranges_hash, slices
-from siftwork.session import table
+from siftwork.session import bounded_batches, table
 
 WINDOW, KMER = 50, 10
 
@@ -85,13 +86,31 @@ def _edges(window: int, k: int):
     return edges
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at, data = buffers(arrow_rows(batch, "text"))
+        packed = [pack(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([arrow_rows(batch, "id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches of few rows, each with its texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for s in range(0, len(batch), rows):
+            part = batch.slice(s, rows)
+            yield part, pa.array([unpack(x.as_buffer()) if x.is_valid else None for x in arrow_rows(part, "packed")], pa.large_binary())
+
+
 def _windows(window: int):
     """Every window of the stretches listed in spans, hashed."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in _unpacked(batches):
             ids, spans = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "spans").to_pylist()
-            for part in slices(arrow_rows(batch, "text")):
+            for part in slices(texts):
                 words, starts, rows = part.hashes(), [], []
                 for r in range(part.rows.stop - part.rows.start):
                     for s in spans[part.rows.start + r]:
@@ -117,9 +136,9 @@ def _windows(window: int):
 
 def _cut_words(window: int):
     def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in _unpacked(batches):
             spans = arrow_rows(batch, "spans").to_pylist()
-            at, data = buffers(arrow_rows(batch, "text"))
+            at, data = buffers(texts)
             total, gone, text = [], [], []
             for r, own in enumerate(spans):
                 words = bytes(data[at[r] : at[r + 1]]).split()
@@ -146,10 +165,10 @@ def _cut_words(window: int):
     return cut_words
 
 
-def repeated_stretches(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+def repeated_stretches(docs: DataFrame, packed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(id, low, more): windows starting at words low..low+more also start in a document with a smaller id.
 
-    docs: (id, text), ids not null.
+    docs: (id, text), ids not null. packed: (id, packed) of the same.
     """
     edges = docs.mapInArrow(_edges(window, kmer), "id long, kmer long, context long, low int, more int")
     nodes = edges.groupBy("kmer").agg(
@@ -159,7 +178,7 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, kmer: int = KMER)
     again = edges.select("id", "kmer", "low", "more").join(nodes, "kmer")
     paths = again.filter("NOT branching AND id > least").select("id", "low", "more")
     spans = again.filter("branching").groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
-    single = docs.join(spans, "id").select("id", "text", "spans").mapInArrow(_windows(window), "id long, window long, low int")
+    single = packed.join(spans, "id").select("id", "packed", "spans").mapInArrow(_windows(window), "id long, window long, low int")
     firsts = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     repeats = single.join(firsts.select("window", "least"), "window").filter("id > least").select("id", "low", F.lit(0).alias("more"))
     return paths.unionByName(repeats)
@@ -172,13 +191,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of fewer than `window` words lose nothing; null and empty texts have no words and come back
     empty. Rows with a null id lose nothing. Rows that repeat an id are one document.
     """
+    bounded_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = plain.filter("id IS NOT NULL")
-    spans = repeated_stretches(named, window, kmer).groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
+    packed = named.mapInArrow(_pack, "id long, packed binary").filter("id IS NOT NULL")  # as the inner join adds, so that both joins share one exchange
+    spans = repeated_stretches(named, packed, window, kmer).groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
     none = F.expr("array()").cast("array<struct<low:int,more:int>>")
-    held = named.join(spans, "id", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
+    held = packed.join(spans, "id", "left").select("id", "packed", F.coalesce("spans", none).alias("spans"))
     return (
-        held.unionByName(plain.filter("id IS NULL").withColumn("spans", none))
+        held.unionByName(plain.filter("id IS NULL").mapInArrow(_pack, "id long, packed binary").withColumn("spans", none))
         .mapInArrow(_cut_words(window), "id long, n_words long, n_removed long, text string")
         .withColumnRenamed("id", id_col)
     )
