@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import arrow_rows
-from siftwork.session import table
+from siftwork.session import bounded_batches, table
 
 #: Fixed values of HTML: elements without content, without markup inside, that don't break a line, and that close each other.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -406,6 +406,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
     A null or empty page, and one without content, gives an empty text and 0. White space in a
     block is one space; blocks are joined by one space. One row out for each row in.
     """
+    bounded_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(chain or default_chain())  # a few thousand weights
 
     @F.arrow_udf("string")

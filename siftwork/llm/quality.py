@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import U, Slice, arrow_rows, mix, slices
-from siftwork.session import cut, table
+from siftwork.session import bounded_batches, cut, table
 
 BUCKETS = 1 << 16
 #: Labelled rows used for the target model and for the cut, at most; taken in hash order.
@@ -184,6 +184,7 @@ def quality_sample(
     everything is kept. A null id has noise of its own and is judged like any other.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     chosen = cut(labelled_sample(labels, label_col, label_id_col, sample))
     model = spark.sparkContext.broadcast(fit(docs, chosen, id_col, text_col))
 
