@@ -45,6 +45,18 @@ def _block(place: Column, level: int) -> Column:
     return F.shiftright(place, 62 - 12 * level).bitwiseAND(F.lit(WIDTH - 1)).cast("int")
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame, key: Column, id_: Column) -> DataFrame:
+    """rows with the plan's row of their source.
+
+    A source may hold a third of all rows, so its rows are dealt over as many salts as there are
+    shuffle partitions, and its one row of the plan is repeated for each.
+    """
+    salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    copies = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumns({"__key": key, "__own": F.pmod(F.xxhash64(id_, F.lit(11)), F.lit(salts)).cast("int")})
+    return dealt.join(copies, (F.col("__key") == F.col("__skey")) & (F.col("__own") == F.col("__salt"))).drop("__key", "__own", "__salt")
+
+
 def find_exponent(sizes: DataFrame, entropy: float | None, max_repeats: float | None, budget: float, rounds: int = 6, sections: int = 32) -> float:
     """The largest exponent in [0, 1] that reaches the entropy (nats), or the smallest that keeps to max_repeats.
 
@@ -106,9 +118,9 @@ def mixing_plan(
         goal.withColumn("epochs", F.when(empty, 1).otherwise(F.floor(F.col("budget") / F.when(~empty, F.col("tokens")))).cast("long"))
         .withColumn("rest", F.when(empty, 0).otherwise(F.col("budget") - F.col("epochs") * F.col("tokens")).cast("long"))
     )
-    last = counted.join(goal.filter("rest > 0").select("skey", "epochs", "rest"), "skey").withColumn("place", _place(F.col("id"), F.col("epochs"), seed))
+    partly = goal.filter("rest > 0").select(F.col("skey").alias("__skey"), "epochs", "rest")
+    last = _with_plan(counted, partly, F.col("skey"), F.col("id")).withColumn("place", _place(F.col("id"), F.col("epochs"), seed))
     last = last.select("skey", "tokens", "rest", "place")
-    ends = goal.select("skey", F.lit(None).cast("long").alias("end"))
     for level in (1, 2):
         blocks = last.withColumn("block", _block(F.col("place"), level))
         sums = blocks.groupBy("skey", "rest", "block").agg(F.sum("tokens").alias("t"))
@@ -133,7 +145,7 @@ def _draws(rows: DataFrame, plan: DataFrame, key: Column, id_: Column, seed: int
     planned = plan.select(F.col("skey").alias("__skey"), F.col("weight").alias("__weight"), F.col("epochs").alias("__epochs"), F.col("end").alias("__end"))
     uses = F.col("__epochs") + (_place(id_, F.col("__epochs"), seed) <= F.col("__end")).cast("long")
     return (
-        rows.join(planned, key == F.col("__skey"))
+        _with_plan(rows, planned, key, id_)
         .withColumn("__uses", uses)
         .filter("__uses > 0")
         .withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__uses") - 1)))
