@@ -62,17 +62,16 @@ class Quantiser:
         own = 2 * (self.centers[cell] * back).sum(1) + (back * back).sum(1)
         return cell, codes, np.sqrt(((rest - back) ** 2).sum(1)), own
 
-    def probes(self, far: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """Which of cells each row probes; far: squared distances to every centroid."""
-        near = far.argmin(1)
-        return far[:, cells] - far[np.arange(len(far)), near][:, None] <= 2 * self.reach * self.apart[near][:, cells] + 1e-9
+    def probes(self, far: np.ndarray, cells: np.ndarray, near: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which of cells each row probes; far: squared distances to them; near, own: the nearest cell of all and its distance."""
+        return far - own[:, None] <= 2 * self.reach * self.apart[near][:, cells] + 1e-9
 
     def table(self, q: np.ndarray) -> list[np.ndarray]:
         """Products of every code with each row of q, by subspace: a row for a code."""
         return [(b @ q[:, p].T).astype(np.float32) for p, b in zip(self.parts, self.books, strict=True)]
 
 
-def tile_links(model: Quantiser, q: np.ndarray, x: np.ndarray, cell: np.ndarray, codes: np.ndarray, error: np.ndarray, own: np.ndarray):
+def tile_links(model: Quantiser, q: np.ndarray, near: np.ndarray, far: np.ndarray, x: np.ndarray, cell: np.ndarray, codes: np.ndarray, error: np.ndarray, own: np.ndarray):
     """(i, j): rows of q and x that link, found among table-lookup candidates in the lists that q probes."""
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     order = np.argsort(cell, kind="stable")
@@ -81,18 +80,18 @@ def tile_links(model: Quantiser, q: np.ndarray, x: np.ndarray, cell: np.ndarray,
     most = ((model.radius + error) ** 2 - own + SLACK).astype(np.float32)
     for s in range(0, len(q), 1024):
         part = q[s : s + 1024]
-        far = squared(part, model.centers)
-        probed = model.probes(far, lists)
+        away = squared(part, model.centers[lists])
+        probed = model.probes(away, lists, near[s : s + 1024], far[s : s + 1024])
         tables = model.table(part)
-        for k, c in enumerate(lists):
+        for k in range(len(lists)):
             if not probed[:, k].any():
                 continue
             m = members[k]
             product = tables[0][codes[m, 0]]
             for i in range(1, len(tables)):
                 product += tables[i][codes[m, i]]
-            near = (far[None, :, c].astype(np.float32) - 2 * product <= most[m, None]) & probed[None, :, k]
-            j, i = np.nonzero(near)
+            close = (away[None, :, k].astype(np.float32) - 2 * product <= most[m, None]) & probed[None, :, k]
+            j, i = np.nonzero(close)
             for t in range(0, len(i), 50_000):
                 a, b = i[t : t + 50_000], m[j[t : t + 50_000]]
                 good = np.einsum("nd,nd->n", part[a], x[b]) >= model.least
@@ -188,7 +187,10 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
         """A row for each tile that holds a list which the row probes."""
         known = np.array(sorted(tiles))
         for batch in (b.slice(s, 2048) for b in batches for s in range(0, len(b), 2048)):
-            probed = model.value.probes(squared(unit(matrix(arrow_rows(batch, "vec"), dim)), model.value.centers), known)
+            away = squared(unit(matrix(arrow_rows(batch, "vec"), dim)), model.value.centers)
+            near = away.argmin(1)
+            far = away[np.arange(len(away)), near]
+            probed = model.value.probes(away[:, known], known, near, far)
             hit = np.zeros((len(batch), tile + 1), bool)
             for k, c in enumerate(known):
                 hit[:, tiles[c]] |= probed[:, k, None]
@@ -196,8 +198,11 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
             for s in range(0, len(row), 20_000):
                 own = pa.array(row[s : s + 20_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[s : s + 20_000].astype(np.int32)), arrow_rows(batch, "rep").take(own), arrow_rows(batch, "vec").take(own)],
-                    names=["tile", "rep", "vec"],
+                    [
+                        pa.array(at[s : s + 20_000].astype(np.int32)), arrow_rows(batch, "rep").take(own), arrow_rows(batch, "vec").take(own),
+                        pa.array(near.astype(np.int32)).take(own), pa.array(far).take(own),
+                    ],
+                    names=["tile", "rep", "vec", "near", "far"],
                 )
 
     split = F.create_map(*[x for c, t in sorted(tiles.items()) if len(t) > 1 for x in (F.lit(int(c)), F.array(*[F.lit(i) for i in t]))])
@@ -209,7 +214,7 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
     lists = placed.select(
         block.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "rep", "mult", "vec", "cell", "code", "error", "own"
     )
-    asked = placed.select("rep", "vec").mapInArrow(route, "tile int, rep long, vec array<double>")
+    asked = placed.select("rep", "vec").mapInArrow(route, "tile int, rep long, vec array<double>, near int, far double")
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(chunks)).cast("int"))
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +223,7 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
         q, x = unit(np.stack(left["vec"].to_numpy())), unit(np.stack(right["vec"].to_numpy()))
         q_id, x_id = left["rep"].to_numpy(), right["rep"].to_numpy()
         codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        i, j = tile_links(model.value, q, x, right["cell"].to_numpy(), codes, right["error"].to_numpy(), right["own"].to_numpy())
+        i, j = tile_links(model.value, q, left["near"].to_numpy(), left["far"].to_numpy(), x, right["cell"].to_numpy(), codes, right["error"].to_numpy(), right["own"].to_numpy())
         other = q_id[i] != x_id[j]
         i, j = i[other], j[other]
         n = np.zeros(len(q), np.int64)
