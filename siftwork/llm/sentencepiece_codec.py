@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import U, buffers, mix
-from siftwork.session import table
+from siftwork.session import bounded_batches, table
 
 #: The public model; the path is read on the driver and its pieces are sent to the workers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BASE = U(0x9E3779B97F4A7C15)
-SLICE_BYTES, CACHE_WORDS = 6_000_000, 500_000
+SLICE_BYTES, CACHE_WORDS = 3_000_000, 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -338,6 +338,7 @@ def encode_column(column: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarra
 
 def encode_udf(spark: SparkSession, model: str = MODEL) -> Column:
     """A column function: text to token ids. Null and empty texts have no ids."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(read_model(model))  # a vocabulary of fixed size
 
     @F.arrow_udf("array<int>")
@@ -369,6 +370,26 @@ def decode_udf(spark: SparkSession, model: str = MODEL) -> Column:
     return decode
 
 
+def round_trip_udf(spark: SparkSession, model: str = MODEL) -> Column:
+    """A column function: text to its ids and whether decoding these gives the text again, marks as spaces."""
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(read_model(model))
+
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(shared.value)
+        for column in batches:
+            at, ids = encode_column(column, codec)
+            start, data = buffers(column)
+            same = [
+                codec.pieces.decode(ids[at[r] : at[r + 1]]) == data[start[r] : start[r + 1]].tobytes().replace(MARK.encode(), b" ")
+                for r in range(len(column))
+            ]
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    return both
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
     """Add ids and n_tokens; input columns of these names are replaced. One row out for each row in.
 
@@ -383,7 +404,6 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text again (its marks as spaces)."""
-    docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    decode = decode_udf(spark)
-    same = decode(F.col("ids")) == F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
-    return docs.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+    both = round_trip_udf(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", both(F.col("text")).alias("b"))
+    return docs.select("doc_id", F.size("b.ids").alias("n_tokens"), F.col("b.ids").alias("ids"), F.col("b.same").alias("round_trip"))
