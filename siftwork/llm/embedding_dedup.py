@@ -4,11 +4,9 @@
 2. Coarse centroids and, for residuals, one codebook for each subspace are fitted on a bounded
    sample. Every class is put in its nearest centroid's list with a code and the exact length of
    its coding error.
-3. A class x near c1 probes the list of c2 if d(x,c2)^2 - d(x,c1)^2 <= 2 * reach * |c1 - c2|: the
-   plane between the centroids is nearer than a link can cross. With reach = radius that holds
-   for every link; in d dimensions a link's step towards one plane has a spread of radius /
-   sqrt(d), so reach = min(radius, SPREADS * radius / sqrt(d)) is used. A link would have to cross
-   by over four spreads, seen from both sides, to be missed; up to 16 dimensions none can be.
+3. A class x near c1 probes the list of c2 if d(x,c2)^2 - d(x,c1)^2 <= 2 * radius * |c1 - c2|: the
+   plane between the centroids is nearer than a link can cross. That holds for every link,
+   whichever way its step goes, so no list that may hold one is left out.
 4. In a list, asymmetric distances come from lookup tables: one table of products a query serves
    every list, as |x - c - b|^2 = |x - c|^2 - 2 x.b + (2 c.b + |b|^2), the last a number kept with
    each member. A member stays a candidate if its distance is at most radius + coding error, which
@@ -35,7 +33,7 @@ from siftwork.session import cut, table
 
 #: Rows the centroids and codebooks are fitted on; rows of a tile and of a chunk; rows a list should hold.
 SAMPLE, BLOCK, CHUNK, LIST, CELLS = 16_384, 4096, 8192, 64, 1024
-SUBSPACES, CODES, SPREADS = 8, 256, 4.0
+SUBSPACES, CODES = 8, 256
 SLACK = 1e-4  # tables are in single precision
 
 
@@ -46,7 +44,6 @@ class Quantiser:
         sample = unit(sample)
         dim = sample.shape[1]
         self.least, self.radius = least, float(np.sqrt(max(0.0, 2 - 2 * least)))
-        self.reach = min(self.radius, SPREADS * self.radius / np.sqrt(dim))
         self.centers = kmeans(sample, cells, 8)
         rest = sample - self.centers[nearest_row(sample, self.centers)]
         self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
@@ -64,7 +61,7 @@ class Quantiser:
 
     def probes(self, far: np.ndarray, cells: np.ndarray, near: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Which of cells each row probes; far: squared distances to them; near, own: the nearest cell of all and its distance."""
-        return far - own[:, None] <= 2 * self.reach * self.apart[near][:, cells] + 1e-9
+        return far - own[:, None] <= 2 * self.radius * self.apart[near][:, cells] + 1e-9
 
     def table(self, q: np.ndarray) -> list[np.ndarray]:
         """Products of every code with each row of q, by subspace: a row for a code."""

@@ -268,6 +268,17 @@ def test_embeddings_are_brute_force(spark):
     assert embedding_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_low_rank_copies(spark):
+    r = np.random.default_rng(4)
+    flat = r.normal(size=(1500, 3)) @ np.linalg.qr(r.normal(size=(64, 3)))[0].T  # every step lies in three of 64 dimensions
+    x = unit(flat)
+    link = (x @ x.T) >= 0.95
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v.vec_id: v.n_links for v in embedding_dedup.embedding_near_duplicates(df).collect()}
+    assert got == dict(enumerate(link.sum(1).tolist()))
+
+
 # -- 6 HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:">"}</style><script>var a="<p>no</p>";</script></head><body>
