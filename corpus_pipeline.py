@@ -25,6 +25,10 @@ from siftwork.llm.sentencepiece_codec import encode_documents  # noqa: E402
 from siftwork.session import ensure_checkpoint_dir, table  # noqa: E402
 
 
+#: Similarity from which the near-dedup stage links, in percent; 85 is the contract of op1 alone.
+NEAR_PERCENT = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards labelled good text draws."""
     return quality_filter(docs, table(spark, sf_dir, "labels"))
@@ -41,8 +45,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, its smallest doc_id."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id")
+    """One document of each group of near-duplicates (similarity 0.80 or more), its smallest doc_id."""
+    gone = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

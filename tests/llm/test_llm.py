@@ -445,5 +445,21 @@ def test_pipeline(spark):
     assert all(text[r.doc_id] == r.t for r in whole.select("doc_id", decode("ids").alias("t")).collect())
 
 
+def test_pipeline_near_dedup_is_brute_force_at_80(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = []
+    for changed in (1, 2, 2, 2, 2, 3, 3):  # words; similarities 0.91, 0.82 and 0.74
+        text = [f"w{r.randrange(10**6)}" for _ in range(105)]
+        copy = [f"x{r.randrange(10**6)}" if i in range(20, 20 + 20 * changed, 20) else w for i, w in enumerate(text)]
+        texts += [" ".join(text), " ".join(copy)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    gone = {j for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()} == set(range(len(texts))) - gone
+    assert len(gone) == 5
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
