@@ -157,11 +157,11 @@ def nearest(
     Nearest is the smallest Euclidean distance; ties go to the smaller id. Both inputs have
     id_col and vec_col. Null, empty or zero vectors, those with null or non-finite components
     and rows with a null id take no part on either side. Vectors of another length than a
-    query's are no candidates. With fewer than k candidates all come back. Rows that repeat an
-    id on the candidates' side are one.
+    query's are no candidates. With fewer than k candidates all come back. Rows that repeat both
+    id and vector are one on either side; an id with several vectors stands there with each.
     """
     named = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = lambda df: named(df).filter(F.col("id").isNotNull() & takes_part(F.col("vec")))
+    good = lambda df: named(df).filter(F.col("id").isNotNull() & takes_part(F.col("vec"))).distinct()
     few = good(vectors).withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 2)
     nodes = cut(few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("dim", F.size("vec")))
     sizes = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}  # a row for each length of vector

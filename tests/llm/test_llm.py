@@ -421,6 +421,18 @@ def test_search_odd(spark):
     assert graph_search.nearest(df.limit(0), df).count() == 0 and graph_search.nearest(df, df.limit(0)).count() == 0
 
 
+def test_search_repeated_rows(spark):
+    r = np.random.default_rng(6)
+    same, other = r.normal(size=8), r.normal(size=(40, 8))
+    vecs = [*[same] * 14, *other]
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] * 2 + [(3, same.tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = graph_search.nearest(df, df.filter("vec_id IN (0, 5, 20)")).collect()
+    for q in (0, 5, 20):
+        own = sorted((float(np.sqrt(((v - vecs[q]) ** 2).sum())), i) for i, v in enumerate(vecs) if i != q)[:10]
+        assert sorted((x["rank"], x.vec_id) for x in got if x.query_id == q) == [(k + 1, i) for k, (_, i) in enumerate(own)]
+
+
 # -- pipeline
 
 
