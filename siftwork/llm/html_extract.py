@@ -106,8 +106,11 @@ class _Page:
         return None
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's text in leaf blocks, in page order. Scripts, styles and comments are left out."""
+def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
+    """The page's text in leaf blocks, in page order. Scripts, styles and comments are left out.
+
+    labelled: data-label is read, as training pages carry it; on any other page it means nothing.
+    """
     state, at, n = _Page(), 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -142,7 +145,7 @@ def leaf_blocks(page: str) -> list[Block]:
             for name, *value in _ATTR.findall(attrs):
                 value = "".join(value)
                 if name.lower() == "data-label":
-                    label = int(value)
+                    label = int(value) if labelled else None
                 else:
                     names += " " + value.lower()
         state.stack.append(_Open(tag, names, label))
@@ -396,7 +399,7 @@ def default_chain() -> Chain:
 
 def main_text(page: str | None, chain: Chain) -> str:
     """Content blocks in page order, joined by one space."""
-    blocks = leaf_blocks(page) if page else []
+    blocks = leaf_blocks(page, labelled=False) if page else []
     return " ".join(b.text for b, y in zip(blocks, chain.decode(blocks), strict=True) if y) if blocks else ""
 
 

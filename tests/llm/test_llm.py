@@ -320,6 +320,13 @@ def test_html_odd(spark):
     assert html_extract.extract_text(rows.limit(0)).count() == 0
 
 
+def test_html_foreign_data_label(spark):
+    page = '<article><h1>Prices</h1><table><tr><td data-label="Price">Ten, or so.</td><td data-label="">Two.</td><td data-label=0>One.</td></tr></table></article>'
+    rows = spark.createDataFrame([(1, page), (2, page.replace("data-label", "data-x"))], "page_id long, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(rows).collect()}
+    assert got[1] == got[2] == "Prices Ten, or so. Two. One."
+
+
 # -- 7 mixing
 
 
