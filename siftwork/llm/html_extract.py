@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from siftwork.llm.words import arrow_rows
 from siftwork.session import bounded_batches, table
 
-#: Fixed values of HTML: elements without content, without markup inside, that don't break a line, and that close each other.
+#: Fixed values of HTML: elements without content, without markup inside, left out where they are closed, that don't break a line, and that close each other.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas select textarea title".split())
+RAW = frozenset("script style textarea title".split())
+APART = frozenset("svg template iframe select".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img object canvas noscript"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded semantics annotation".split()
 )
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -47,6 +49,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_APART = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\Z)|<(/?)({'|'.join(sorted(APART))})(?=[\s/>])[^>]*>", re.S | re.I
+)
 
 
 @dataclass
@@ -106,12 +111,28 @@ class _Page:
         return None
 
 
+def _ends_apart(page: str) -> dict[int, int]:
+    """Where each element of APART ends, by where it starts. One that is never closed is not among them."""
+    out, started = {}, {t: [] for t in APART}
+    for m in _APART.finditer(page):
+        if m[3]:
+            own = started[m[3].lower()]
+            if not m[2]:
+                if not m[0].endswith("/>"):
+                    own.append(m.start())
+            elif own:
+                out[own.pop()] = m.end()
+    return out
+
+
 def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
     """The page's text in leaf blocks, in page order. Scripts, styles and comments are left out.
 
+    So are closed elements of APART; where one is not closed, what follows it is parsed like the rest.
+
     labelled: data-label is read, as training pages carry it; on any other page it means nothing.
     """
-    state, at, n = _Page(), 0, len(page)
+    state, at, n, apart = _Page(), 0, len(page), None
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -134,6 +155,10 @@ def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else n
             continue
+        if tag in APART:
+            apart = _ends_apart(page) if apart is None else apart
+            at = apart.get(m.start(), at)
+            continue
         if tag in ENDS_P:
             state.close(("p",), ("table", "td", "th", "button", "caption", "object"))
         if tag in CLOSES:

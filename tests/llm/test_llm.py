@@ -327,6 +327,20 @@ def test_html_foreign_data_label(spark):
     assert got[1] == got[2] == "Prices Ten, or so. Two. One."
 
 
+def test_html_elements_that_hide_nothing():
+    chain = html_extract.default_chain()
+    text = lambda inner: html_extract.main_text(f"<body><article><h1>Title of it</h1><p>First one, as it is.</p>{inner}<p>Last one, as it is.</p></article></body>", chain)
+    whole = "Title of it First one, as it is.{} Last one, as it is."
+    for tag in ("svg", "math", "object", "canvas", "noscript", "template", "iframe", "select"):
+        assert text(f"<{tag} width=1>") == whole.format("")
+    assert text("<svg><svg></svg>") == whole.format("")
+    assert text("<svg><text>no</text><svg></svg><text>no</text></svg><svg/>") == whole.format("")
+    assert text("<p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, too.</p>") == whole.format(" Here x=1 holds, too.")
+    for tag in ("object", "canvas", "noscript"):
+        assert text(f"<{tag}><p>Fallback, as it is.</p></{tag}>") == whole.format(" Fallback, as it is.")
+    assert html_extract.leaf_blocks("<svg>" * 50_000 + "x")[0].text == "x"
+
+
 # -- 7 mixing
 
 
