@@ -92,7 +92,12 @@ _BAND = """near AS (SELECT n.event_id AS clip, l.event_id AS match, l.event_id %
 
 @query(f"WITH {_BAND} SELECT clip, match FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY library DESC, size DESC, match) AS r FROM near) WHERE r = 1")
 def band_join_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best copy of each new clip among those about as long: library first, then size."""
+    """The best copy of each new clip among those about as long: library first, then size.
+
+    A hundredth of the reference's 0.5 s: event values lie so close that 0.5 joins 1,799,080 pairs for
+    10,000 clips of sf0.1 and nearly every clip has copies by chance; 0.005 joins 17,904. What is
+    0.005 to 0.5 apart is no match here. band_join itself takes any width, and is tested at 0.5.
+    """
     e = table(spark, sf_dir, "events")
     new = e.filter("event_id % 10 = 0").select(F.col("event_id").alias("clip"), F.col("value").alias("d"), F.col("event_type").alias("t"))
     old = e.filter("event_id % 10 <> 0").select(
