@@ -4,11 +4,16 @@ A text is normalised as the model says and cut where no piece can reach across:
 mark that follows another character, and around characters that the vocabulary lacks, which
 become bytes. The distinct words of a batch are encoded once, those of equal length together:
 
-* substring hashes, from prefix sums, probe the sorted keys of the pieces;
+* substring hashes, from prefix sums, probe the sorted keys of the pieces, as long as some piece
+  may end with that substring;
 * for every end in a word, every piece that ends there is a step from an earlier end, and a
   vectorised maximum over the steps stores the backpointer;
 * the steps are walked back from the end of the word.
 
+Words of over LONG characters, of which a batch would hold few, and runs of marks are encoded one by
+one: by the merges from a heap, or by Viterbi a character at a time. Either takes little more than
+time in proportion, and words of any length are encoded whole.
+
 For a unigram model a step adds the piece's score, and the maximum is Viterbi's. In a BPE model
 scores are merge ranks, and their sum says nothing; there the prefix ending at each place has
 exactly one last piece, namely the one that its predecessor doesn't merge with or into. So the
@@ -18,23 +23,28 @@ and the walk gives the merges' own result.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.words import U, buffers, mix
-from siftwork.session import bounded_batches, table
+from siftwork.llm.words import U, buffers, mix, ranges_hash
+from siftwork.session import table
 
 #: The public model; the path is read on the driver and its pieces are sent to the workers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BASE = U(0x9E3779B97F4A7C15)
-SLICE_BYTES, CACHE_WORDS = 3_000_000, 300_000
+MARK_CODE = ord(MARK)
+#: Characters worked on at once, at most but for a longer word; words remembered; longest word that is batched.
+SLICE_CHARS, CACHE_WORDS, LONG = 1_500_000, 400_000, 256
+BLOCK_CHARS, CACHE_BITS = 1_000_000, 20
+CACHE_SLOTS = 1 << CACHE_BITS
+_BETWEEN = re.compile(f"(?<!{MARK}){MARK}")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -73,47 +83,52 @@ def _key(hashes: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     return (hashes ^ (np.asarray(lengths).astype(U) << U(7))) * U(0xD6E8FEB86659FD93)
 
 
-@dataclass
 class Pieces:
     """A model's pieces, their sorted hash keys and, for BPE, how each piece is merged."""
 
-    pieces: list[str]
-    scores: np.ndarray
-    kinds: np.ndarray
-    bpe: bool
-    dummy_prefix: bool = True
-
-    def __post_init__(self) -> None:
-        own = np.flatnonzero(np.isin(self.kinds, (NORMAL, USER)))
-        self.longest = max((len(self.pieces[i]) for i in own), default=1)
-        self.up = np.multiply.accumulate(np.r_[U(1), np.full(2 * self.longest + 2, BASE, U)])
-        self.length = np.array([len(p) for p in self.pieces])
-        self.hash = np.zeros(len(self.pieces), U)
+    def __init__(self, pieces: list[str], scores: np.ndarray, kinds: np.ndarray, bpe: bool, dummy_prefix: bool = True):
+        self.pieces, self.scores, self.kinds, self.bpe, self.dummy_prefix = pieces, scores, kinds, bpe, dummy_prefix
+        own = np.flatnonzero(np.isin(kinds, (NORMAL, USER)))
+        self.by_text = {pieces[i]: int(i) for i in own}
+        self.length = np.array([len(p) for p in pieces])
+        self.longest = int(self.length[own].max(initial=1))
+        powers = np.full(LONG + self.longest + 2, BASE, U)
+        powers[0] = 1
+        self.up = np.multiply.accumulate(powers)
+        powers[1:] = U(pow(int(BASE), -1, 1 << 64))
+        self.down = np.multiply.accumulate(powers)
+        self.order = np.unique(-scores, return_inverse=True)[1]
+        self.rank = np.where(self.length > 1, -scores.astype(np.float64), -np.inf)
+        self.left, self.right = np.full(len(pieces), -1), np.full(len(pieces), -1)
+        self.joined: dict[tuple[int, int], int] = {}
+        if bpe:
+            for p, i in self.by_text.items():
+                parts = self.merge(p, last=True) if len(p) > 1 else []
+                if len(parts) == 2:
+                    self.left[i], self.right[i] = parts
+            own = own[(self.length[own] == 1) | (self.left[own] >= 0)]  # the merges never give the others
+        self.joined = {}
+        self.hash = np.zeros(len(pieces), U)
         for i in own:
-            v = _char_values(np.array([ord(c) for c in self.pieces[i]]))
+            v = _char_values(np.array([ord(c) for c in pieces[i]]))
             self.hash[i] = (v * self.up[: len(v)]).sum(dtype=U)
         keys = _key(self.hash[own], self.length[own])
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], own[order]
-        self.some = np.zeros(1 << 20, bool)  # whether any key starts with these bits: most substrings end here
-        self.some[(keys >> U(44)).astype(np.int64)] = True
-        by_text = {self.pieces[i]: int(i) for i in own}
-        self.single = {p for p in by_text if len(p) == 1}
-        self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
-        self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else 0
-        self.rank = np.where(self.length > 1, -self.scores.astype(np.float64), -np.inf)
-        self.left, self.right = np.full(len(self.pieces), -1), np.full(len(self.pieces), -1)
-        self.by_text = by_text
-        if self.bpe:
-            for p, i in by_text.items():
-                if len(p) > 1:
-                    parts = self.merge(p, last=True)
-                    if len(parts) == 2:
-                        self.left[i], self.right[i] = by_text[parts[0]], by_text[parts[1]]
-        self.pairs, self.stay = np.full(1 << 22, -1), np.zeros(1 << 22, bool)
-        known = "".join(re.escape(c) for c in sorted(self.single) if c != MARK)
-        self.parts = re.compile(f"{MARK}+[{known}]*|[{known}]+|." if known else ".", re.S)
-        flat = [self._bytes(i) for i in range(len(self.pieces))]
+        self.keys, self.ids = np.append(keys[order], ~U(0)), np.append(own[order], -1).astype(np.int32)
+        top = (self.keys[:-1] >> U(48)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange(1 << 16)).astype(np.int32)
+        self.kept = np.zeros(1 << 21, np.uint8)  # 1: some piece ends with this; 3: it is a piece; bits of the key only, so never too few
+        for i in own:
+            v = _char_values(np.array([ord(c) for c in pieces[i]]))
+            tails = np.array([(v[k:] * self.up[: len(v) - k]).sum(dtype=U) for k in range(len(v))], U)
+            self.kept[(_key(tails, len(v) - np.arange(len(v))) >> U(43)).astype(np.int64)] |= 1
+        self.kept[(keys >> U(43)).astype(np.int64)] |= 2
+        self.known = np.zeros(0x110000, bool)
+        self.known[[ord(p) for p in self.by_text if len(p) == 1]] = True
+        self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == BYTE}
+        self.unknown = int(np.flatnonzero(kinds == UNKNOWN)[0]) if (kinds == UNKNOWN).any() else 0
+        self.pairs = self.stay = None
+        flat = [self._bytes(i) for i in range(len(pieces))]
         self.out_at = np.concatenate(([0], np.cumsum([len(b) for b in flat])))
         self.out = np.frombuffer(b"".join(flat), np.uint8)
 
@@ -124,45 +139,89 @@ class Pieces:
             return b""
         return " ⁇ ".encode() if self.kinds[i] == UNKNOWN else self.pieces[i].replace(MARK, " ").encode()
 
-    def merge(self, word: str, last: bool = False) -> list[str]:
-        """The merges one by one, the best score first and then the leftmost. last: without the merge that gives word itself."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = max(
-                ((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.by_text.get(parts[k] + parts[k + 1])) is not None),
-                default=None,
-            )
-            if best is None or last and len(parts) == 2:
-                break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def find(self, hashes: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        """Ids of the pieces with these hashes and lengths; -1 for none."""
-        keys = _key(hashes, lengths)
-        out = np.full(len(keys), -1)
-        rows = np.flatnonzero(self.some[(keys >> U(44)).astype(np.int64)])
-        keys = keys[rows]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out[rows] = np.where(self.keys[at] == keys, self.ids[at], -1)
+    def merge(self, word: str, last: bool = False) -> list[int]:
+        """The merges one by one, the best score first and then the leftmost, from a heap: n log n for any word.
+
+        last: without the merge that gives word itself.
+        """
+        ids = [self.by_text[c] for c in word]
+        n, joined = len(ids), self.joined
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def both(k: int) -> int:
+            pair = ids[k], ids[after[k]]
+            got = joined.get(pair)
+            if got is None:
+                got = joined[pair] = self.by_text.get(self.pieces[pair[0]] + self.pieces[pair[1]], -1)
+            return got
+
+        order = self.order.tolist() if n > 64 else self.order
+        heap = [(int(order[x]) << 40) + k for k in range(n - 1) if (x := both(k)) >= 0]
+        heapq.heapify(heap)
+        left = n
+        while heap and not (last and left == 2):
+            what = heapq.heappop(heap)
+            k = what & ((1 << 40) - 1)
+            if ids[k] < 0 or after[k] >= n or (x := both(k)) < 0 or order[x] != what >> 40:
+                continue
+            gone = after[k]
+            ids[k], ids[gone], after[k] = x, -1, after[gone]
+            left -= 1
+            if after[k] < n:
+                before[after[k]] = k
+            for at in (before[k], k):
+                if at >= 0 and after[at] < n and (x := both(at)) >= 0:
+                    heapq.heappush(heap, (int(order[x]) << 40) + at)
+        if len(joined) > 500_000:
+            joined.clear()
+        return [i for i in ids if i >= 0]
+
+    def walk(self, word: str) -> list[int]:
+        """Viterbi over one long word, a character after the other."""
+        value, back = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            best, at = -np.inf, -1
+            for k in range(1, min(end, self.longest) + 1):
+                i = self.by_text.get(word[end - k : end])
+                if i is not None and value[end - k] + self.scores[i] > best:
+                    best, at = value[end - k] + self.scores[i], i
+            value.append(best)
+            back.append(at)
+        out, end = [], len(word)
+        while end:
+            out.append(back[end])
+            end -= len(self.pieces[back[end]])
+        return out[::-1]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these keys, looked up among the sorted ones; -1 for none."""
+        out = np.full(len(keys), -1, np.int32)
+        rest = np.flatnonzero(self.kept[(keys >> U(43)).astype(np.int64)] & 2)
+        keys = keys[rest]
+        at = self.first[(keys >> U(48)).astype(np.int64)]
+        while len(rest):
+            here = self.keys[at]
+            out[rest] = np.where(here == keys, self.ids[at], -1)
+            more = np.flatnonzero(here < keys)
+            rest, keys, at = rest[more], keys[more], at[more] + 1
         return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b side by side stay as they are under the merges; remembered by pair."""
+        if self.pairs is None:
+            self.pairs, self.stay = np.full(1 << 21, -1), np.zeros(1 << 21, bool)
         pair = a.astype(np.int64) * len(self.pieces) + b
-        slot = (mix(pair.astype(U)) >> U(42)).astype(np.int64)
+        slot = ((pair.astype(U) * BASE) >> U(43)).astype(np.int64)
         new = np.flatnonzero(self.pairs[slot] != pair)
+        out = self.stay[slot]
         if len(new):
-            pairs = np.unique(pair[new])
+            pairs, back = np.unique(pair[new], return_inverse=True)
             good = self._apart(pairs // len(self.pieces), pairs % len(self.pieces))
-            out = self.stay[slot]
-            out[new] = good[np.searchsorted(pairs, pair[new])]
-            slots = (mix(pairs.astype(U)) >> U(42)).astype(np.int64)
-            _, first = np.unique(slots, return_index=True)
-            self.pairs[slots[first]], self.stay[slots[first]] = pairs[first], good[first]
-            return out
-        return self.stay[slot]
+            out[new] = good[back]
+            at = ((pairs.astype(U) * BASE) >> U(43)).astype(np.int64)
+            at, one = np.unique(at, return_index=True)
+            self.pairs[at], self.stay[at] = pairs[one], good[one]
+        return out
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b side by side stay as they are under the merges.
@@ -175,7 +234,7 @@ class Pieces:
         on, a, b = np.arange(len(a)), a.copy(), b.copy()
         while len(on):
             x, y = a[on], b[on]
-            both = self.find(self.hash[x] + self.up[self.length[x]] * self.hash[y], self.length[x] + self.length[y])
+            both = self.find(_key(self.hash[x] + self.up[self.length[x]] * self.hash[y], self.length[x] + self.length[y]))
             when = np.where(both >= 0, self.rank[both], np.inf)
             broken = (when < limit[on]) | (fair[on] & (when == limit[on]) & np.isfinite(when)) | ((both >= 0) & np.isinf(limit[on]))
             out[on[broken]] = False
@@ -187,23 +246,24 @@ class Pieces:
             a[on], b[on] = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
         return out
 
-    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of parts: words of known characters, those of equal length together, and others."""
-        sizes = np.array([len(w) for w in parts])
-        groups = []
-        special = np.array(
-            [i for i, w in enumerate(parts) if len(w) == 1 and w not in self.single or self.bpe and w[:2] == MARK * 2], np.int64
-        )
+    def encode_parts(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the parts codes[start:end]: words of known characters, those of equal length together, and others."""
+        sizes, groups = end - start, []
+        first, second = codes[start], codes[np.minimum(start + 1, end - 1)]
+        runs = self.bpe & (sizes > 1) & (first == MARK_CODE) & (second == MARK_CODE)
+        special = np.flatnonzero((~self.known[first] & (sizes == 1)) | runs | (sizes > LONG))
         if len(special):
-            own = [self._special(parts[i]) for i in special]
+            own = [self._special(codes[start[i] : end[i]].tobytes().decode("utf-32-le")) for i in special]
             groups.append((special, np.array([len(x) for x in own]), np.concatenate(own)))
-            sizes[special] = 0
-        for size in np.unique(sizes[sizes > 0]):
-            at = np.flatnonzero(sizes == size)
-            for s in range(0, len(at), 20_000):
-                rows = at[s : s + 20_000]
-                groups.append((rows, *self._equal([parts[i] for i in rows], int(size))))
-        n = np.zeros(len(parts), np.int64)
+        plain = np.ones(len(start), bool)
+        plain[special] = False
+        plain = np.flatnonzero(plain)
+        plain = plain[np.argsort(sizes[plain], kind="stable")]
+        bounds = np.searchsorted(np.cumsum(sizes[plain]), np.arange(1, int(sizes[plain].sum()) // BLOCK_CHARS + 1) * BLOCK_CHARS)
+        for rows in np.split(plain, bounds):
+            if len(rows):
+                groups.append((rows, *self._lattice(codes, start[rows], sizes[rows])))
+        n = np.zeros(len(start), np.int64)
         for rows, count, _ in groups:
             n[rows] = count
         ends = np.concatenate(([0], np.cumsum(n)))
@@ -213,48 +273,67 @@ class Pieces:
         return ends, flat
 
     def _special(self, part: str) -> np.ndarray:
-        """Bytes of a character that the vocabulary lacks; or what only the merges can order, as
-        runs of marks hold pieces of equal rank."""
-        if part in self.by_text or part[0] == MARK:
-            return np.array([self.by_text[p] for p in self.merge(part)], np.int32)
+        """Bytes of a character that the vocabulary lacks; a part too long for a batch; or what only
+        the merges can order, as runs of marks hold pieces of equal rank."""
+        if self.known[ord(part[0])]:
+            return np.array(self.merge(part) if self.bpe else self.walk(part), np.int32)
         return np.array([self.byte[b] for b in part.encode()] if self.byte else [self.unknown], np.int32)
 
-    def _equal(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(counts, ids) of words of one length."""
-        n = len(words)
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
-        values = _char_values(chars)
-        best, last, back = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -1), np.zeros((size + 1, n), np.int32)
-        best[0] = 0
-        width = min(size, self.longest)
-        tails = np.zeros((width + 1, n), U)  # tails[k]: hash of the k characters that end here
-        for end in range(1, size + 1):
-            v = values[:, end - 1]
-            for k in range(min(end, width), 0, -1):
-                tails[k] = tails[k - 1] + v * self.up[k - 1]
-            for k in range(1, min(end, width) + 1):
-                piece = self.find(tails[k], k)
-                rows = np.flatnonzero((piece >= 0) & np.isfinite(best[end - k]))
-                if not len(rows):
-                    continue
-                piece = piece[rows]
-                if not self.bpe:
-                    value = best[end - k, rows] + self.scores[piece]
-                elif end == k:
-                    value = np.zeros(len(rows))
-                else:
-                    value = np.where(self.apart(last[end - k, rows], piece), 0.0, -np.inf)
-                more = value > best[end, rows]
-                rows, piece = rows[more], piece[more]
-                best[end, rows], last[end, rows], back[end, rows] = value[more], piece, k
-        steps, place = [], np.full(n, size)
-        everyone = np.arange(n)
-        while place.any():
-            steps.append(np.where(place > 0, last[place, everyone], -1))
-            place = place - back[place, everyone]
-        found = np.array(steps[::-1]).T
-        real = found >= 0
-        return real.sum(1), found[real]
+    def _lattice(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of words, given by length: those of one length are side by side, and all advance together.
+
+        Word w has the nodes base[w]..base[w] + size[w], the last of which ends it.
+        """
+        base = np.cumsum(size + 1) - (size + 1)
+        place = _ranges(np.zeros(len(size), np.int64), size + 1)
+        inner = np.flatnonzero(place)
+        sums = np.zeros(len(place), U)
+        sums[inner] = _char_values(codes[_ranges(start, start + size)]) * self.up[place[inner] - 1]
+        np.cumsum(sums, out=sums)
+        ends, widths, found, node = [], [], [], inner
+        for k in range(1, self.longest + 1):  # node: where some piece may end with the k characters that end here
+            node = node[place[node] >= k]
+            if not len(node):
+                break
+            keys = _key((sums[node] - sums[node - k]) * self.down[place[node] - k], k)
+            kept = self.kept[(keys >> U(43)).astype(np.int64)]
+            may = np.flatnonzero(kept & 2)
+            piece = self.find(keys[may])
+            real = np.flatnonzero(piece >= 0)
+            ends.append(node[may[real]])
+            widths.append(np.full(len(real), k, np.int32))
+            found.append(piece[real])
+            node = node[kept > 0]
+        end, width, piece = np.concatenate(ends), np.concatenate(widths), np.concatenate(found)
+        order = np.lexsort((end, place[end]))
+        end, width, piece = end[order], width[order], piece[order]
+        bounds = np.searchsorted(place[end], np.arange(1, int(size[-1]) + 2))
+        last, back, best = np.full(len(place), -1, np.int32), np.zeros(len(place), np.int32), np.where(place > 0, -np.inf, 0.0)
+        for at in range(1, len(bounds)):
+            own = slice(bounds[at - 1], bounds[at])
+            e, w, p = end[own], width[own], piece[own]
+            if self.bpe:
+                value = np.where(w == at, 0.0, -np.inf)
+                rest = np.flatnonzero(w < at)
+                value[rest[self.apart(last[e[rest] - w[rest]], p[rest])]] = 0.0
+            else:
+                value = best[e - w] + self.scores[p]
+            if len(e):
+                first = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+                best[e[first]] = np.maximum.reduceat(value, first)
+                win = np.flatnonzero((value == best[e]) & (value > -np.inf))
+                last[e[win]], back[e[win]] = p[win], w[win]
+        count, steps, word, node = np.zeros(len(size), np.int64), [], np.arange(len(size)), base + size
+        while len(word):
+            steps.append((word, last[node]))
+            count[word] += 1
+            node = node - back[node]
+            on = place[node] > 0
+            word, node = word[on], node[on]
+        stop, out = np.cumsum(count), np.zeros(count.sum(), np.int32)
+        for k, (word, ids) in enumerate(steps, 1):
+            out[stop[word] - k] = ids
+        return count, out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a text from its ids, without the mark put before it."""
@@ -290,55 +369,121 @@ def read_model(path: str = MODEL) -> Pieces:
 
 
 class Codec:
-    """Encodes batches with a bounded cache of words."""
+    """Encodes texts, remembering words: a table of fixed size by hash, compared character by character."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.seen, self.word = np.zeros(CACHE_SLOTS, U), np.full(CACHE_SLOTS, -1, np.int32)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.word[:] = -1
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of texts."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        parts: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        cut, prefix = self.pieces.parts.findall, MARK * self.pieces.dummy_prefix
-        for i, text in enumerate(texts):
-            if text:
-                parts += cut(prefix + text.replace(" ", MARK))
-            ends[i + 1] = len(parts)
-        new = list(set(parts).difference(self.index))
-        if new:
-            at, flat = self.pieces.encode_parts(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.at = np.concatenate((self.at, self.at[-1] + at[1:]))
-            self.flat = np.concatenate((self.flat, flat))
-        idx = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        start, end = self.at[idx], self.at[idx + 1]
-        return np.concatenate(([0], np.cumsum(end - start)))[ends], self.flat[_ranges(start, end)]
+        self.char_at, self.chars = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """A text with its marks, in stretches of bounded length that end where no piece can reach across."""
+        text = MARK * self.pieces.dummy_prefix + text.replace(" ", MARK)
+        at = 0
+        while len(text) - at > SLICE_CHARS:
+            cut = text.rfind(MARK, at + 1, at + SLICE_CHARS)
+            while cut > at and text[cut - 1] == MARK:
+                cut -= 1
+            if cut <= at:
+                found = _BETWEEN.search(text, at + 1)
+                cut = found.start() if found else len(text)
+            yield text[at:cut]
+            at = cut
+        if at < len(text):
+            yield text[at:]
+
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of texts, in slices of bounded length. None is empty."""
+        counts, out, held, owner, size, n = [], [], [], [], 0, 0
+
+        def flush() -> None:
+            nonlocal held, owner, size
+            count, ids = self._encode(held)
+            counts.append((owner, count))
+            out.append(ids)
+            held, owner, size = [], [], 0
+
+        for text in texts:
+            for part in self.stretches(text) if text else ():
+                if held and size + len(part) > SLICE_CHARS:
+                    flush()
+                held.append(part)
+                owner.append(n)
+                size += len(part)
+            n += 1
+        if held:
+            flush()
+        total = np.zeros(n, np.int64)
+        for rows, count in counts:
+            np.add.at(total, rows, count)
+        return np.concatenate(([0], np.cumsum(total))), np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each stretch, ids)."""
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
+        first = np.concatenate(([0], np.cumsum([len(x) for x in stretches])))
+        mark, odd = codes == MARK_CODE, ~self.pieces.known[codes]
+        new = odd | mark
+        new[1:] = (mark[1:] & ~mark[:-1]) | odd[1:] | odd[:-1]
+        new[first[:-1]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(codes))
+        hashes = ranges_hash(_char_values(codes), start, end, BASE)
+        slot = (hashes >> U(64 - CACHE_BITS)).astype(np.int64)
+        word = np.where(self.seen[slot] == hashes, self.word[slot], -1)
+        rest = np.flatnonzero(word < 0)
+        if len(rest):
+            _, one, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
+            if len(self.at) + len(one) > CACHE_WORDS:
+                self.clear()
+                if len(one) > CACHE_WORDS // 2:  # more new words than should be remembered
+                    at, flat = self.pieces.encode_parts(codes, start, end)
+                    return self._gather(at, flat, np.arange(len(start)), start, first)
+                return self._encode(stretches)
+            word[rest] = len(self.at) - 1 + back
+            self._learn(codes, start[rest[one]], end[rest[one]], hashes[rest[one]], slot[rest[one]])
+        lost = self._other(word, codes, end - start)
+        if len(lost):  # words of one hash that aren't the same
+            word[lost] = np.arange(len(lost)) + len(self.at) - 1
+            self._learn(codes, start[lost], end[lost], hashes[lost], slot[lost])
+        return self._gather(self.at, self.flat, word, start, first)
+
+    def _gather(self, at: np.ndarray, flat: np.ndarray, word: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = at[word], at[word + 1]
+        total = np.concatenate(([0], np.cumsum(high - low)))
+        return np.diff(total[np.searchsorted(start, first)]), flat[_ranges(low, high)]
+
+    def _other(self, word: np.ndarray, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which parts aren't the remembered words, by their characters. The parts follow each other in codes."""
+        low = self.char_at[word]
+        bad = self.char_at[word + 1] - low != size
+        if bad.any():
+            low = np.where(bad, 0, low)
+        at = np.minimum(_ranges(low, low + size), len(self.chars) - 1)
+        differ = np.flatnonzero(codes != self.chars[at])
+        bad[np.searchsorted(np.cumsum(size), differ, "right")] = True
+        return np.flatnonzero(bad)
+
+    def _learn(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, slot: np.ndarray) -> None:
+        at, flat = self.pieces.encode_parts(codes, start, end)
+        self.seen[slot], self.word[slot] = hashes, np.arange(len(start)) + len(self.at) - 1
+        self.at, self.flat = np.concatenate((self.at, self.at[-1] + at[1:])), np.concatenate((self.flat, flat))
+        self.char_at = np.concatenate((self.char_at, self.char_at[-1] + np.cumsum(end - start)))
+        self.chars = np.concatenate((self.chars, codes[_ranges(start, end)]))
 
 
 def encode_column(column: pa.Array, codec: Codec) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids) of a string column, in slices of bounded text. Null is empty."""
-    at, data = buffers(column)
-    offsets, ids, row = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], 0
-    while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
-        raw = data[at[row] : at[stop]].tobytes()
-        o, i = codec.encode([raw[a:b].decode() for a, b in zip((at[row:stop] - at[row]).tolist(), (at[row + 1 : stop + 1] - at[row]).tolist(), strict=True)])
-        offsets.append(o[1:] + offsets[-1][-1])
-        ids.append(i)
-        row = stop
-    return np.concatenate(offsets), np.concatenate(ids)
+    """(offsets, ids) of a string column. Null is empty."""
+    return codec.encode(x.as_py() for x in column)
 
 
 def encode_udf(spark: SparkSession, model: str = MODEL) -> Column:
     """A column function: text to token ids. Null and empty texts have no ids."""
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(read_model(model))  # a vocabulary of fixed size
 
     @F.arrow_udf("array<int>")
@@ -372,7 +517,6 @@ def decode_udf(spark: SparkSession, model: str = MODEL) -> Column:
 
 def round_trip_udf(spark: SparkSession, model: str = MODEL) -> Column:
     """A column function: text to its ids and whether decoding these gives the text again, marks as spaces."""
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(read_model(model))
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")

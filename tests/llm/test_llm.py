@@ -148,7 +148,9 @@ def test_unigram_is_brute_force_viterbi():
     scores = np.array([0.0] + [-r.uniform(1, 9) for _ in pieces[1:]])
     model = sentencepiece_codec.Pieces(pieces, scores, np.array([2] + [1] * (len(pieces) - 1)), bpe=False)
     words = ["▁" + "".join(r.choices("abc", k=r.randint(1, 9))) for _ in range(80)]
-    at, ids = model.encode_parts(words)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    at, ids = model.encode_parts(codes, np.concatenate(([0], ends[:-1])), ends)
     value = dict(zip(pieces[1:], scores[1:], strict=True))
 
     def best(w):
@@ -160,6 +162,41 @@ def test_unigram_is_brute_force_viterbi():
         assert scores[own].sum() == pytest.approx(best(w))
 
 
+def test_unigram_walk_is_the_batched_lattice():
+    r = random.Random(4)
+    pieces = ["<unk>", *"abc▁", "ab", "bc", "abc", "▁a", "ca", "cab", "bb"]
+    scores = np.array([0.0] + [-r.uniform(1, 9) for _ in pieces[1:]])
+    model = sentencepiece_codec.Pieces(pieces, scores, np.array([2] + [1] * (len(pieces) - 1)), bpe=False)
+    for n in (5, 40, 200):
+        word = "▁" + "".join(r.choices("abc", k=n))
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        assert scores[model.walk(word)].sum() == pytest.approx(scores[model.encode_parts(codes, np.array([0]), np.array([n + 1]))[1]].sum())
+
+
+def test_sentencepiece_long_runs_and_words():
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model())
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = [" " * 100_000, "".join(r.choices(letters, k=1_000_000)), "a" * 30_000, "ab  " * 500_000, "é日" * 3000, *["".join(r.choices("ab ", k=n)) for n in range(240, 280)]]
+    at, ids = codec.encode(texts)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == lib.encode(text), text[:20]
+
+
+def test_sentencepiece_words_of_one_hash(monkeypatch):
+    """Remembered words are told apart by their characters, even where all hashes are alike."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model())
+    want = codec.encode(["one two three one", "two four"])
+    monkeypatch.setattr(sentencepiece_codec, "ranges_hash", lambda v, start, end, base: np.zeros(len(start), np.uint64))
+    other = sentencepiece_codec.Codec(codec.pieces)
+    for _ in range(2):
+        got = other.encode(["one two three one", "two four"])
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_sentencepiece_odd(spark):
     got = sentencepiece_codec.encode_documents(odd_docs(spark)).collect()
     assert len(got) == 12 and {r.doc_id: r.n_tokens for r in got}[1] == 0
