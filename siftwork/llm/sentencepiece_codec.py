@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ class Pieces:
         self.up = np.multiply.accumulate(powers)
         powers[1:] = U(pow(int(BASE), -1, 1 << 64))
         self.down = np.multiply.accumulate(powers)
-        self.order = np.unique(-scores, return_inverse=True)[1]
+        self.order = np.unique(-scores, return_inverse=True)[1].tolist()
         self.rank = np.where(self.length > 1, -scores.astype(np.float64), -np.inf)
         self.left, self.right = np.full(len(pieces), -1), np.full(len(pieces), -1)
         self.joined: dict[tuple[int, int], int] = {}
@@ -108,20 +109,21 @@ class Pieces:
                     self.left[i], self.right[i] = parts
             own = own[(self.length[own] == 1) | (self.left[own] >= 0)]  # the merges never give the others
         self.joined = {}
+        size = self.length[own]
+        place = _ranges(np.zeros(len(own), np.int64), size)
+        chars = _char_values(np.frombuffer("".join(pieces[i] for i in own).encode("utf-32-le"), np.uint32))
+        sums = np.concatenate((np.zeros(1, U), np.cumsum(chars * self.up[place], dtype=U)))
+        stop = np.repeat(np.cumsum(size), size)
+        tails = (sums[stop] - sums[:-1]) * self.down[place]  # the hash from each character of a piece to its end
         self.hash = np.zeros(len(pieces), U)
-        for i in own:
-            v = _char_values(np.array([ord(c) for c in pieces[i]]))
-            self.hash[i] = (v * self.up[: len(v)]).sum(dtype=U)
+        self.hash[own] = tails[place == 0]
         keys = _key(self.hash[own], self.length[own])
         order = np.argsort(keys)
         self.keys, self.ids = np.append(keys[order], ~U(0)), np.append(own[order], -1).astype(np.int32)
         top = (self.keys[:-1] >> U(48)).astype(np.int64)
         self.first = np.searchsorted(top, np.arange(1 << 16)).astype(np.int32)
         self.kept = np.zeros(1 << 21, np.uint8)  # 1: some piece ends with this; 3: it is a piece; bits of the key only, so never too few
-        for i in own:
-            v = _char_values(np.array([ord(c) for c in pieces[i]]))
-            tails = np.array([(v[k:] * self.up[: len(v) - k]).sum(dtype=U) for k in range(len(v))], U)
-            self.kept[(_key(tails, len(v) - np.arange(len(v))) >> U(43)).astype(np.int64)] |= 1
+        self.kept[(_key(tails, stop - np.arange(len(place))) >> U(43)).astype(np.int64)] = 1
         self.kept[(keys >> U(43)).astype(np.int64)] |= 2
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(p) for p in self.by_text if len(p) == 1]] = True
@@ -155,8 +157,8 @@ class Pieces:
                 got = joined[pair] = self.by_text.get(self.pieces[pair[0]] + self.pieces[pair[1]], -1)
             return got
 
-        order = self.order.tolist() if n > 64 else self.order
-        heap = [(int(order[x]) << 40) + k for k in range(n - 1) if (x := both(k)) >= 0]
+        order = self.order
+        heap = [(order[x] << 40) + k for k in range(n - 1) if (x := both(k)) >= 0]
         heapq.heapify(heap)
         left = n
         while heap and not (last and left == 2):
@@ -171,7 +173,7 @@ class Pieces:
                 before[after[k]] = k
             for at in (before[k], k):
                 if at >= 0 and after[at] < n and (x := both(at)) >= 0:
-                    heapq.heappush(heap, (int(order[x]) << 40) + at)
+                    heapq.heappush(heap, (order[x] << 40) + at)
         if len(joined) > 500_000:
             joined.clear()
         return [i for i in ids if i >= 0]
@@ -348,6 +350,7 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - n), n)
 
 
+@lru_cache(maxsize=2)
 def read_model(path: str = MODEL) -> Pieces:
     """Pieces of a model file. Models with a normaliser of their own aren't read: only the identity."""
     with open(path, "rb") as f:
