@@ -1,20 +1,21 @@
-"""Substring dedup: repeated passages of 50 words, found over a sampled De Bruijn graph.
-
-A window is 50 words. Of its k-mers, the one with the smallest hash is its anchor, so that equal
-windows have equal anchors wherever they stand, and one k-mer in about twenty is an anchor.
-An anchor occurrence is an edge of the graph that carries its context: all windows that it is
-the anchor of, which start in one stretch of the text. Compaction joins the edges of a k-mer:
-
-* seen in one document only: nothing repeats there;
-* same context at each occurrence: a nonbranching path. Its windows repeat as a whole, so that
-  the path's smallest document is that of each of its windows;
-* several contexts: a branching node. Only there are single windows hashed and counted.
-
-Texts move once, compressed and dealt by document: the exchange that serves the single windows is used again for
-the final cut. Words are hashed again rather than stored, which costs CPU but no disk.
-
-Stretches to remove go back to their document as source coordinates, and the words that they
-cover are cut from the text itself. Windows are judged on the input.
+"""Substring dedup: repeated passages of 50 words by compaction of a De Bruijn graph.
+
+1. Seeds. Of a window's 10-word grams the one with the smallest hash is its seed, so that equal windows
+   have equal seeds wherever they stand. Windows whose seed is in one document only can't repeat; they
+   are most of all text and go no further. This is a filter and decides nothing else.
+2. Edges. Every other window, a k-mer of 50 tokens, is an edge from its first 49 words to its last 49.
+   Equal windows are one edge; it repeats if it is in two documents or more.
+3. Compaction. Two edges that follow each other are one path if the second follows the first at each
+   occurrence of either: their numbers of occurrences and fingerprints of the occurrences (shifted by
+   one word) agree. A join of the repeated edges with themselves, by the coordinates of their first
+   occurrence, finds these steps, and steps in a row are a nonbranching path. Its edges occur in the
+   same documents, so the path's smallest document is that of each of its windows.
+4. Verification. A path's source coordinates are those of its smallest document; the words there and at
+   each other occurrence are read again and compared by a digest of 128 bits. A stretch that differs
+   from its source, which takes two windows of one 64-bit hash, is left alone.
+
+Occurrences of hot windows and seeds are dealt over many tasks (see skew). Texts move compressed, dealt
+by document. Windows are judged on the input; the words that verified stretches cover are cut from it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, mix, ranges_hash, slices
-from siftwork.session import bounded_batches, table
+from siftwork.llm.skew import dealt_join
+from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, ranges_hash, slices
+from siftwork.session import stored, table
 
 WINDOW, KMER = 50, 10
 
@@ -45,12 +47,12 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _edges(window: int, k: int):
+def _seeds(window: int, k: int):
     per = window - k + 1
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = arrow_rows(batch, "id").cast(pa.int64())
+            ids, versions = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "t")
             for part in slices(arrow_rows(batch, "text")):
                 words = part.hashes()
                 if len(words) < window:
@@ -71,19 +73,19 @@ def _edges(window: int, k: int):
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
                 at = np.flatnonzero(new)
                 low, high = start[at], start[np.append(at[1:], len(start)) - 1]
-                context = mix(ranges_hash(words, low, high + window, WORD_BASE) ^ (anchor[at] - low).astype(U))
+                which = pa.array(row[at] + part.rows.start)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(part.rows.start, len(n)).take(pa.array(row[at])),
+                        ids.take(which),
+                        versions.take(which),
                         pa.array(grams[anchor[at]].view(np.int64)),
-                        pa.array(context.view(np.int64)),
                         pa.array((low - part.first[row[at]]).astype(np.int32)),
                         pa.array((high - low).astype(np.int32)),
                     ],
-                    names=["id", "kmer", "context", "low", "more"],
+                    names=["id", "t", "seed", "low", "more"],
                 )
 
-    return edges
+    return seeds
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +94,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, data = buffers(arrow_rows(batch, "text"))
         packed = [pack(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([arrow_rows(batch, "id"), pa.array(packed, pa.binary())], names=["id", "packed"])
+        yield pa.RecordBatch.from_arrays([arrow_rows(batch, "id"), arrow_rows(batch, "t"), pa.array(packed, pa.binary())], names=["id", "t", "packed"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -109,40 +111,65 @@ def _windows(window: int):
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _unpacked(batches):
-            ids, spans = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "spans").to_pylist()
+            ids, versions, spans = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "t"), arrow_rows(batch, "spans").to_pylist()
             for part in slices(texts):
                 words, starts, rows = part.hashes(), [], []
-                for r in range(part.rows.stop - part.rows.start):
-                    for s in spans[part.rows.start + r]:
-                        starts.append(np.arange(s["low"], s["low"] + s["more"] + 1) + part.first[r])
+                for r in range(part.rows.start, part.rows.stop):
+                    for s in spans[r]:
+                        starts.append(np.arange(s["low"], s["low"] + s["more"] + 1) + part.first[r - part.rows.start])
                         rows.append(np.full(s["more"] + 1, r))
                 if not starts:
                     continue
                 start, row = np.concatenate(starts), np.concatenate(rows)
                 own = ranges_hash(words, start, start + window, WORD_BASE)
+                low = start - part.first[row - part.rows.start]
                 for i in range(0, len(start), 100_000):
-                    cut_ = slice(i, i + 100_000)
+                    which = pa.array(row[i : i + 100_000])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.slice(part.rows.start, part.rows.stop - part.rows.start).take(pa.array(row[cut_])),
-                            pa.array(own[cut_].view(np.int64)),
-                            pa.array((start[cut_] - part.first[row[cut_]]).astype(np.int32)),
+                            ids.take(which),
+                            versions.take(which),
+                            pa.array(own[i : i + 100_000].view(np.int64)),
+                            pa.array(low[i : i + 100_000].astype(np.int32)),
                         ],
-                        names=["id", "window", "low"],
+                        names=["id", "t", "window", "low"],
                     )
 
     return windows
 
 
+def _digest(words: list[bytes], low: int, more: int, window: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[low : low + more + window]), digest_size=16).digest()
+
+
+def _sources(window: int):
+    """A digest of the words at the source coordinates of each path."""
+
+    def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _unpacked(batches):
+            out: dict[str, list] = {"window": [], "least": [], "more": [], "n": [], "digest": []}
+            for i, text, paths in zip(arrow_rows(batch, "id").to_pylist(), texts, arrow_rows(batch, "paths").to_pylist(), strict=True):
+                words = (text.as_py() or b"").split()
+                for p in paths:
+                    out["window"].append(p["head"])
+                    out["least"].append(i)
+                    out["more"].append(p["more"])
+                    out["n"].append(p["n"])
+                    out["digest"].append(_digest(words, p["low"], p["more"], window))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return sources
+
+
 def _cut_words(window: int):
     def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _unpacked(batches):
-            spans = arrow_rows(batch, "spans").to_pylist()
-            at, data = buffers(texts)
-            total, gone, text = [], [], []
-            for r, own in enumerate(spans):
-                words = bytes(data[at[r] : at[r + 1]]).split()
+            total, gone, kept = [], [], []
+            for text, own in zip(texts, arrow_rows(batch, "spans").to_pylist(), strict=True):
+                words = (text.as_py() or b"").split()
                 total.append(len(words))
+                own = [s for s in own or () if _digest(words, s["low"], s["more"], window) == s["digest"]]
                 if own:
                     delta = np.zeros(len(words) + 1, np.int64)
                     low = np.array([s["low"] for s in own])
@@ -151,13 +178,13 @@ def _cut_words(window: int):
                     keep = np.cumsum(delta[:-1]) == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone.append(total[-1] - len(words))
-                text.append(b" ".join(words))
+                kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [
                     arrow_rows(batch, "id").cast(pa.int64()),
                     pa.array(total, pa.int64()),
                     pa.array(gone, pa.int64()),
-                    pa.array(text, pa.binary()).cast(pa.string()),
+                    pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
                 names=["id", "n_words", "n_removed", "text"],
             )
@@ -165,23 +192,44 @@ def _cut_words(window: int):
     return cut_words
 
 
-def repeated_stretches(docs: DataFrame, packed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(id, low, more): windows starting at words low..low+more also start in a document with a smaller id.
+def repeated_edges(docs: DataFrame, packed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """(id, t, window, low): every window whose seed is in more than one document, by its hash."""
+    seeds = stored(docs.mapInArrow(_seeds(window, kmer), "id long, t long, seed long, low int, more int"))
+    often = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+    often = often.filter("least < most").select("seed", "n")
+    spans = dealt_join(seeds, often, ["seed"], "n").groupBy("id", "t").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
+    own = packed.join(spans, ["id", "t"]).select("id", "t", "packed", "spans")
+    return stored(own.mapInArrow(_windows(window), "id long, t long, window long, low int"))
+
 
-    docs: (id, text), ids not null. packed: (id, packed) of the same.
+def compact_paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nonbranching paths of repeated edges, at their first occurrence: (id, t, low, more, head, n); and the
+    number n of occurrences of each repeated window.
+
+    A path has `more` + 1 windows, starts with the window `head` and occurs n times.
     """
-    edges = docs.mapInArrow(_edges(window, kmer), "id long, kmer long, context long, low int, more int")
-    nodes = edges.groupBy("kmer").agg(
-        F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1")
+    upper = lambda x: F.sum(F.shiftrightunsigned(x, 36))
+    lower = lambda x: F.sum(F.col(x).bitwiseAND(F.lit((1 << 28) - 1)))
+    nodes = stored(
+        edges.withColumns({"h": F.xxhash64("id", "t", "low"), "b": F.xxhash64("id", "t", F.col("low") - 1)})
+        .groupBy("window")
+        .agg(
+            F.min(F.struct("id", "t", "low")).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"),
+            upper("h").alias("h1"), lower("h").alias("h2"), upper("b").alias("b1"), lower("b").alias("b2"),
+        )
+        .filter("first.id < most")
+        .select("first.id", "first.t", "first.low", "window", "n", "h1", "h2", "b1", "b2")
+    )
+    ahead = nodes.select("id", "t", (F.col("low") + 1).alias("low"), "n", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.lit(True).alias("linked"))
+    steps = nodes.join(ahead, ["id", "t", "low", "n", "b1", "b2"], "left")
+    start = F.max(F.when(F.col("linked").isNull(), F.col("low"))).over(Window.partitionBy("id", "t").orderBy("low"))
+    paths = (
+        steps.withColumn("start", start)
+        .groupBy("id", "t", F.col("start").alias("path"))
+        .agg((F.max("low") - F.min("low")).alias("more"), F.min_by("window", "low").alias("head"), F.max("n").alias("n"))
+        .select("id", "t", F.col("path").alias("low"), "more", "head", "n")
     )
-    nodes = nodes.filter("least < most").select("kmer", "least", (F.col("c0") != F.col("c1")).alias("branching"))
-    again = edges.select("id", "kmer", "low", "more").join(nodes, "kmer")
-    paths = again.filter("NOT branching AND id > least").select("id", "low", "more")
-    spans = again.filter("branching").groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
-    single = packed.join(spans, "id").select("id", "packed", "spans").mapInArrow(_windows(window), "id long, window long, low int")
-    firsts = single.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    repeats = single.join(firsts.select("window", "least"), "window").filter("id > least").select("id", "low", F.lit(0).alias("more"))
-    return paths.unionByName(repeats)
+    return paths, nodes.select("window", "n")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -189,17 +237,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes when a window that covers it also starts in a document with a smaller id. Texts
     of fewer than `window` words lose nothing; null and empty texts have no words and come back
-    empty. Rows with a null id lose nothing. Rows that repeat an id are one document.
+    empty. Rows with a null id lose nothing. Rows that repeat an id are one document, so that no
+    text among them is a reason to cut another; each is cut on its own. Extra columns are left out.
     """
-    bounded_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = plain.withColumn("t", F.xxhash64("text"))  # tells texts of one id apart
     named = plain.filter("id IS NOT NULL")
-    packed = named.mapInArrow(_pack, "id long, packed binary").filter("id IS NOT NULL")  # as the inner join adds, so that both joins share one exchange
-    spans = repeated_stretches(named, packed, window, kmer).groupBy("id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
-    none = F.expr("array()").cast("array<struct<low:int,more:int>>")
-    held = packed.join(spans, "id", "left").select("id", "packed", F.coalesce("spans", none).alias("spans"))
+    packed = named.mapInArrow(_pack, "id long, t long, packed binary").filter("id IS NOT NULL AND t IS NOT NULL")  # as the inner joins add, so that all joins share one exchange
+    edges = repeated_edges(named, packed, window, kmer)
+    paths, counts = compact_paths(edges)
+    paths = paths.groupBy("id", "t").agg(F.collect_list(F.struct("low", "more", "head", "n")).alias("paths"))
+    sources = (
+        packed.join(paths, ["id", "t"])
+        .select("id", "packed", "paths")
+        .mapInArrow(_sources(window), "window long, least long, more int, n long, digest binary")
+        .dropDuplicates(["window"])  # of rows that are the same in id and text
+    )
+    spans = (
+        dealt_join(edges, sources, ["window"], "n", counts)
+        .filter("id > least")
+        .groupBy("id", "t")
+        .agg(F.collect_list(F.struct("low", "more", "digest")).alias("spans"))
+    )
+    held = packed.join(spans, ["id", "t"], "left").select("id", "packed", "spans")
+    rest = plain.filter("id IS NULL").mapInArrow(_pack, "id long, t long, packed binary")
     return (
-        held.unionByName(plain.filter("id IS NULL").mapInArrow(_pack, "id long, packed binary").withColumn("spans", none))
+        held.unionByName(rest.select("id", "packed", F.expr("CAST(NULL AS array<struct<low:int,more:int,digest:binary>>)").alias("spans")))
         .mapInArrow(_cut_words(window), "id long, n_words long, n_removed long, text string")
         .withColumnRenamed("id", id_col)
     )

@@ -245,6 +245,32 @@ def test_substring_odd(spark):
     assert substring_dedup.substring_dedup(empty_docs(spark)).count() == 0
 
 
+def test_substring_rows_of_one_id(spark):
+    """Texts of one id are one document: none is a reason to cut another, and each is cut on its own."""
+    p = " ".join(f"p{i}" for i in range(70))
+    q = " ".join(f"q{i}" for i in range(120))
+    rows = [(1, p), (1, p + " more " + p), (1, p), (2, q), (2, "x " + q[:100]), (3, "a " + p + " b " + q), (3, q), (3, p)]
+    docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, t int, spans string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == sorted([(1, 70, 0), (1, 141, 0), (1, 70, 0), (2, 120, 0), (2, len(q[:100].split()) + 1, 0), (3, 192, 190), (3, 120, 120), (3, 70, 70)])
+
+
+def test_substring_compaction_steps(spark, monkeypatch):
+    """A path ends where the documents that hold it change, and words are compared where hashes agree."""
+    w = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[:200])), (3, " ".join(w[100:300])), (4, " ".join(["y"] * 60 + w[250:] + ["z"]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = frame.select(F.col("doc_id").alias("id"), "text").withColumn("t", F.xxhash64("text"))
+    packed = plain.mapInArrow(substring_dedup._pack, "id long, t long, packed binary")
+    paths, _ = substring_dedup.compact_paths(substring_dedup.repeated_edges(plain, packed))
+    assert sorted((r.id, r.low, r.more, r.n) for r in paths.collect()) == [(1, 0, 99, 2), (1, 100, 50, 3), (1, 151, 98, 2), (1, 250, 0, 3), (1, 251, 99, 2)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame).collect()}
+    assert got == {1: 0, 2: 200, 3: 200, 4: 150}
+    monkeypatch.setattr(substring_dedup, "ranges_hash", lambda v, start, end, base: np.full(len(start), 5, np.uint64))  # all hashes alike
+    frame = spark.createDataFrame([(1, " ".join(w[:50])), (2, " ".join(w[50:100])), (3, " ".join(w[:50]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame).collect()} == {1: 0, 2: 0, 3: 50}
+
+
 # -- 4 quality
 
 
