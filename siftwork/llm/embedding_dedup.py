@@ -6,14 +6,17 @@
    its coding error.
 3. A class x near c1 probes the list of c2 if d(x,c2)^2 - d(x,c1)^2 <= 2 * radius * |c1 - c2|: the
    plane between the centroids is nearer than a link can cross. That holds for every link,
-   whichever way its step goes, so no list that may hold one is left out.
+   whichever way its step goes, so no list that may hold one is left out. In many dimensions that is a
+   large part of all lists, whatever their number, so that exact links cost comparisons that grow with the
+   square of the classes. A caller who can do with most links gives a smaller `reach`: the part of the
+   radius that the plane may be away.
 4. In a list, asymmetric distances come from lookup tables: one table of products a query serves
    every list, as |x - c - b|^2 = |x - c|^2 - 2 x.b + (2 c.b + |b|^2), the last a number kept with
    each member. A member stays a candidate if its distance is at most radius + coding error, which
    no link exceeds. Candidates are ranked again by exact cosine in double precision.
-5. Lists are packed into tiles and split where they are larger; probes come in chunks. So a task
-   holds BLOCK members and about CHUNK probes. A tile emits a count and one edge for a member,
-   never its pairs.
+5. Lists are packed into tiles and split where they are larger; a tile stays in memory while its
+   probes stream past it in batches. A tile emits a count for a probe and an edge where a
+   row's component in the tile changes, never its pairs.
 """
 
 from __future__ import annotations
@@ -21,18 +24,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.components import components
+from siftwork.llm.tiles import stream_tiles
 from siftwork.llm.vectors import bounded_sample, kmeans, matrix, nearest_row, squared, takes_part, unit
 from siftwork.llm.words import arrow_rows
 from siftwork.session import cut, table
 
-#: Rows the centroids and codebooks are fitted on; rows of a tile and of a chunk; rows a list should hold.
-SAMPLE, BLOCK, CHUNK, LIST, CELLS = 16_384, 4096, 8192, 64, 1024
+#: Rows the centroids and codebooks are fitted on; rows of a tile, at least and at most; rows a list should
+#: hold; lists, at most, as centroids are fitted on a bounded sample: longer lists are split over tiles.
+SAMPLE, LEAST_BLOCK, BLOCK, LIST, CELLS = 16_384, 1024, 16_384, 64, 1024
 SUBSPACES, CODES = 8, 256
 SLACK = 1e-4  # tables are in single precision
 
@@ -40,10 +44,10 @@ SLACK = 1e-4  # tables are in single precision
 class Quantiser:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, cells: int, least: float):
+    def __init__(self, sample: np.ndarray, cells: int, least: float, reach: float = 1.0):
         sample = unit(sample)
         dim = sample.shape[1]
-        self.least, self.radius = least, float(np.sqrt(max(0.0, 2 - 2 * least)))
+        self.least, self.radius, self.reach = least, float(np.sqrt(max(0.0, 2 - 2 * least))), reach
         self.centers = kmeans(sample, cells, 8)
         rest = sample - self.centers[nearest_row(sample, self.centers)]
         self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
@@ -61,40 +65,61 @@ class Quantiser:
 
     def probes(self, far: np.ndarray, cells: np.ndarray, near: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Which of cells each row probes; far: squared distances to them; near, own: the nearest cell of all and its distance."""
-        return far - own[:, None] <= 2 * self.radius * self.apart[near][:, cells] + 1e-9
+        return far - own[:, None] <= 2 * self.reach * self.radius * self.apart[near][:, cells] + 1e-9
 
     def table(self, q: np.ndarray) -> list[np.ndarray]:
         """Products of every code with each row of q, by subspace: a row for a code."""
         return [(b @ q[:, p].T).astype(np.float32) for p, b in zip(self.parts, self.books, strict=True)]
 
 
-def tile_links(model: Quantiser, q: np.ndarray, near: np.ndarray, far: np.ndarray, x: np.ndarray, cell: np.ndarray, codes: np.ndarray, error: np.ndarray, own: np.ndarray):
-    """(i, j): rows of q and x that link, found among table-lookup candidates in the lists that q probes."""
-    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    order = np.argsort(cell, kind="stable")
-    lists, first = np.unique(cell[order], return_index=True)
-    members = np.split(order, first[1:])
-    most = ((model.radius + error) ** 2 - own + SLACK).astype(np.float32)
-    for s in range(0, len(q), 1024):
-        part = q[s : s + 1024]
-        away = squared(part, model.centers[lists])
-        probed = model.probes(away, lists, near[s : s + 1024], far[s : s + 1024])
-        tables = model.table(part)
-        for k in range(len(lists)):
-            if not probed[:, k].any():
-                continue
-            m = members[k]
-            product = tables[0][codes[m, 0]]
-            for i in range(1, len(tables)):
-                product += tables[i][codes[m, i]]
-            close = (away[None, :, k].astype(np.float32) - 2 * product <= most[m, None]) & probed[None, :, k]
-            j, i = np.nonzero(close)
-            for t in range(0, len(i), 50_000):
-                a, b = i[t : t + 50_000], m[j[t : t + 50_000]]
-                good = np.einsum("nd,nd->n", part[a], x[b]) >= model.least
-                left.append(a[good] + s)
-                right.append(b[good])
-    return np.concatenate(left), np.concatenate(right)
+class Tile:
+    """Members of some lists, and the smallest class seen so far in each one's component."""
+
+    def __init__(self, model: Quantiser, x: np.ndarray, ids: np.ndarray, mult: np.ndarray, cell: np.ndarray, codes: np.ndarray, error: np.ndarray, own: np.ndarray):
+        self.model, self.x, self.ids, self.mult, self.codes, self.lead = model, x, ids, mult, codes, ids.copy()
+        order = np.argsort(cell, kind="stable")
+        self.lists, first = np.unique(cell[order], return_index=True)
+        self.members = np.split(order, first[1:])
+        self.most = ((model.radius + error) ** 2 - own + SLACK).astype(np.float32)
+
+    def links(self, q: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): rows of q and members that link, found among table-lookup candidates in the lists that q probes."""
+        model, left, right = self.model, [np.zeros(0, int)], [np.zeros(0, int)]
+        for s in range(0, len(q), 1024):
+            part = q[s : s + 1024]
+            away = squared(part, model.centers[self.lists])
+            probed = model.probes(away, self.lists, near[s : s + 1024], far[s : s + 1024])
+            tables = model.table(part)
+            for k in range(len(self.lists)):
+                if not probed[:, k].any():
+                    continue
+                for m in np.split(self.members[k], range(1024, len(self.members[k]), 1024)):
+                    product = tables[0][self.codes[m, 0]]
+                    for i in range(1, len(tables)):
+                        product += tables[i][self.codes[m, i]]
+                    close = (away[None, :, k].astype(np.float32) - 2 * product <= self.most[m, None]) & probed[None, :, k]
+                    j, i = np.nonzero(close)
+                    for t in range(0, len(i), 50_000):
+                        a, b = i[t : t + 50_000], m[j[t : t + 50_000]]
+                        good = np.einsum("nd,nd->n", part[a], self.x[b]) >= model.least
+                        left.append(a[good] + s)
+                        right.append(b[good])
+        return np.concatenate(left), np.concatenate(right)
+
+    def ask(self, q: np.ndarray, ids: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, links in this tile, another class of its component): a row for each q that links and each member with a new lead."""
+        i, j = self.links(q, near, far)
+        other = ids[i] != self.ids[j]
+        i, j = i[other], j[other]
+        n = np.bincount(i, self.mult[j], len(q)).astype(np.int64)
+        old = self.lead.copy()
+        lead, self.lead = tile_leads(i, j, ids, self.lead)
+        linked, moved = np.flatnonzero(n), np.flatnonzero(self.lead != old)
+        return (
+            np.concatenate((ids[linked], self.ids[moved], old[moved])),
+            np.concatenate((n[linked], np.zeros(2 * len(moved), np.int64))),
+            np.concatenate((lead[linked], self.lead[moved], self.lead[moved])),
+        )
 
 
 def tile_leads(i: np.ndarray, j: np.ndarray, q_id: np.ndarray, x_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,20 +133,21 @@ def tile_leads(i: np.ndarray, j: np.ndarray, q_id: np.ndarray, x_id: np.ndarray)
             return a, b
 
 
-def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, reach: float = 1.0) -> DataFrame:
     """(id_col, n_links, component_id, kept), a row for each input row.
 
     Vectors link at a cosine of `least` or more, in double precision. Null, empty or zero
     vectors and those with null or non-finite components link with nothing and are kept; so are
     rows with a null id, whose component is null. Vectors of different lengths don't link.
-    Repeated rows count as vectors of their own. Ties go to the smaller id.
+    Repeated rows count as vectors of their own. Ties go to the smaller id. With a reach of 1 no link
+    is missed; below it the lists that a vector probes are fewer, and links found are still exact.
     """
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     good = named.filter(F.col("id").isNotNull() & takes_part(F.col("vec")))
     uniq = cut(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("vec")))
     found = None
     for dim, n in sorted(tuple(r) for r in uniq.groupBy("dim").count().collect()):  # a row for each length of vector
-        own = _tiles(uniq.filter(F.col("dim") == dim), dim, n, least)
+        own = _tiles(uniq.filter(F.col("dim") == dim), dim, n, least, reach)
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = named.sparkSession.createDataFrame([], "a long, n long, b long")
@@ -147,11 +173,11 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_co
     )
 
 
-def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
+def _tiles(uniq: DataFrame, dim: int, n: int, least: float, reach: float) -> DataFrame:
     """(a, n, b): links a class has in a tile, and the smallest class of its component there."""
     spark = uniq.sparkSession
     cells = int(min(CELLS, max(1, n // LIST)))
-    model = spark.sparkContext.broadcast(Quantiser(bounded_sample(uniq, "rep", "vec", SAMPLE, dim), cells, least))
+    model = spark.sparkContext.broadcast(Quantiser(bounded_sample(uniq, "rep", "vec", SAMPLE, dim), cells, least, reach))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,69 +197,56 @@ def _tiles(uniq: DataFrame, dim: int, n: int, least: float) -> DataFrame:
         )
     )
     sizes = sorted(tuple(r) for r in placed.groupBy("cell").count().collect())  # a row for each of CELLS at most
-    tiles, filled, tile = {}, 0, 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = min(BLOCK, max(LEAST_BLOCK, -(-n // parts)))
+    first, many, filled, tile = np.zeros(cells + 1, np.int64), np.zeros(cells + 1, np.int64), 0, 0  # of each cell: its first tile, and how many
     for c, size in sizes:
-        share, tiles[c] = -(-size // (-(-size // BLOCK))), []
-        for _ in range(-(-size // BLOCK)):
-            tile, filled = (tile + 1, 0) if filled + share > BLOCK else (tile, filled)
-            filled += share
-            tiles[c].append(tile)
-    chunks = -(-n // CHUNK)
+        many[c] = -(-size // block)
+        share = -(-size // many[c])
+        if filled + share > block:
+            tile, filled = tile + 1, 0
+        first[c] = tile
+        tile, filled = tile + many[c] - 1, share if many[c] > 1 else filled + share
+    known = np.array([c for c, _ in sizes])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each tile that holds a list which the row probes."""
-        known = np.array(sorted(tiles))
         for batch in (b.slice(s, 2048) for b in batches for s in range(0, len(b), 2048)):
             away = squared(unit(matrix(arrow_rows(batch, "vec"), dim)), model.value.centers)
             near = away.argmin(1)
             far = away[np.arange(len(away)), near]
-            probed = model.value.probes(away[:, known], known, near, far)
-            hit = np.zeros((len(batch), tile + 1), bool)
-            for k, c in enumerate(known):
-                hit[:, tiles[c]] |= probed[:, k, None]
-            row, at = np.nonzero(hit)
+            row, at = np.nonzero(model.value.probes(away[:, known], known, near, far))
+            low, high = first[known[at]], first[known[at]] + many[known[at]] - 1
+            new = np.append(True, (row[1:] != row[:-1]) | (low[1:] != high[:-1])) if len(row) else np.zeros(0, bool)
+            low = np.where(new, low, low + 1)  # lists follow each other in tiles, so a tile asked twice is asked twice in a row
+            count = np.maximum(high - low + 1, 0)
+            row, to = np.repeat(row, count), np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
             for s in range(0, len(row), 20_000):
                 own = pa.array(row[s : s + 20_000])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(at[s : s + 20_000].astype(np.int32)), arrow_rows(batch, "rep").take(own), arrow_rows(batch, "vec").take(own),
+                        pa.array(to[s : s + 20_000].astype(np.int32)), arrow_rows(batch, "rep").take(own), arrow_rows(batch, "vec").take(own),
                         pa.array(near.astype(np.int32)).take(own), pa.array(far).take(own),
                     ],
                     names=["tile", "rep", "vec", "near", "far"],
                 )
 
-    split = F.create_map(*[x for c, t in sorted(tiles.items()) if len(t) > 1 for x in (F.lit(int(c)), F.array(*[F.lit(i) for i in t]))])
-    plain = F.create_map(*[F.lit(int(x)) for c, t in sorted(tiles.items()) for x in (c, t[0])])
-    block = plain[F.col("cell")]
-    if any(len(t) > 1 for t in tiles.values()):
-        many = split[F.col("cell")]
-        block = F.when(many.isNotNull(), many[F.pmod(F.xxhash64("rep"), F.size(many)).cast("int")]).otherwise(block)
-    lists = placed.select(
-        block.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "rep", "mult", "vec", "cell", "code", "error", "own"
-    )
+    def build(table: pa.Table) -> Tile:
+        column = lambda name: table.column(name).to_numpy()
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(table), -1)
+        x = unit(matrix(table.column("vec").combine_chunks(), dim))
+        return Tile(model.value, x, column("rep"), column("mult"), column("cell"), codes, column("error"), column("own"))
+
+    def ask(held: Tile, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(s, 4096) for s in range(0, len(batch), 4096)):
+            own = held.ask(unit(matrix(arrow_rows(part, "vec"), dim)), *[arrow_rows(part, c).to_numpy() for c in ("rep", "near", "far")])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=["a", "n", "b"])
+
+    placed_at = F.create_map(*[F.lit(int(x)) for c in known for x in (c, first[c])])[F.col("cell")]
+    spread = F.create_map(*[F.lit(int(x)) for c in known for x in (c, many[c])])[F.col("cell")]
+    lists = placed.withColumn("tile", (placed_at + F.pmod(F.xxhash64("rep"), spread)).cast("int"))
     asked = placed.select("rep", "vec").mapInArrow(route, "tile int, rep long, vec array<double>, near int, far double")
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(chunks)).cast("int"))
-
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "n": [], "b": []}).astype("int64")
-        q, x = unit(np.stack(left["vec"].to_numpy())), unit(np.stack(right["vec"].to_numpy()))
-        q_id, x_id = left["rep"].to_numpy(), right["rep"].to_numpy()
-        codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        i, j = tile_links(model.value, q, left["near"].to_numpy(), left["far"].to_numpy(), x, right["cell"].to_numpy(), codes, right["error"].to_numpy(), right["own"].to_numpy())
-        other = q_id[i] != x_id[j]
-        i, j = i[other], j[other]
-        n = np.zeros(len(q), np.int64)
-        np.add.at(n, i, right["mult"].to_numpy()[j])
-        a, b = tile_leads(i, j, q_id, x_id)
-        linked, members = np.flatnonzero(n), np.unique(j)
-        return pd.DataFrame({
-            "a": np.concatenate((q_id[linked], x_id[members])),
-            "n": np.concatenate((n[linked], np.zeros(len(members), np.int64))),
-            "b": np.concatenate((a[linked], b[members])),
-        })
-
-    return asked.groupBy("tile", "chunk").cogroup(lists.groupBy("tile", "chunk")).applyInPandas(join, "a long, n long, b long")
+    return stream_tiles(lists, asked, int(tile) + 1, build, ask, "a long, n long, b long")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,35 @@
 """Approximate nearest neighbours over robust-pruned directed graphs, one for each shard.
 
 Equal vectors are one node, with their smallest ids attached, so that copies can't fill a node's
-edges. Nodes are dealt to shards of bounded size by hash; a shard is one group, and its graph
-is built and searched there:
+edges. Nodes are dealt to shards of bounded size by hash. A shard's graph is built once, and the
+queries stream past it in blocks:
 
 * greedy searches from the medoid propose a node's neighbours;
 * relaxed distance pruning keeps an edge only if no kept edge is clearly nearer to its end, and
   edges are also offered backwards;
-* a beam search finds each query's nearest nodes. Shards no longer than the beam are scanned.
+* a beam search finds each query's nearest nodes. A beam that has room for the whole shard is the
+  whole shard, for which no graph is needed.
 
 Distances of what is found are exact, in double precision, and shards' results merge by them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.vectors import takes_part
+from siftwork.llm.tiles import stream_tiles
+from siftwork.llm.vectors import matrix, takes_part
+from siftwork.llm.words import arrow_rows
 from siftwork.session import cut, table
 
 SHARD, DEGREE, BUILD_BEAM, BEAM, RELAX, GROUP, AHEAD = 4096, 32, 64, 128, 1.2, 256, 4
+#: Edges a node may have while the graph is built: it is pruned to DEGREE when they are full, and at the end.
+ROOM = 48
 
 
 def _near(x: np.ndarray, norm: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -94,12 +101,36 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int
     return out
 
 
+def _offer(x: np.ndarray, edges: np.ndarray, ends: np.ndarray, starts: np.ndarray, degree: int, relax: float) -> None:
+    """Edges from ends back to starts. Where a node has no room for its new ones, old and new are pruned."""
+    order = np.argsort(ends, kind="stable")
+    ends, starts = ends[order], starts[order]
+    new = ~(edges[ends] == starts[:, None]).any(1)
+    ends, starts = ends[new], starts[new]
+    at, where, count = np.unique(ends, return_index=True, return_counts=True)
+    edges[at] = -np.sort(-edges[at], axis=1)  # so that free places are last
+    have = (edges[at] >= 0).sum(1)
+    fits = have + count <= edges.shape[1]
+    own = np.repeat(fits, count)
+    rank = np.arange(len(ends)) - np.repeat(where, count)
+    edges[ends[own], (np.repeat(have, count) + rank)[own]] = starts[own]
+    at, where, count = at[~fits], where[~fits], count[~fits]
+    for t in range(0, len(at), GROUP):
+        full, w, c = at[t : t + GROUP], where[t : t + GROUP], count[t : t + GROUP]
+        back = np.full((len(full), int(c.max())), -1, np.int64)
+        r = np.repeat(np.arange(len(full)), c)
+        col = np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
+        back[r, col] = starts[np.repeat(w, c) + col]
+        edges[full, :degree] = robust_prune(x, full, np.concatenate((edges[full], back), 1), degree, relax)
+        edges[full, degree:] = -1
+
+
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX, seed: int = 5) -> tuple:
     """(edges, entry nodes) over the rows of x, which are distinct."""
     n = len(x)
     rng = np.random.default_rng(seed)
     norm = (x * x).sum(1)
-    edges = np.full((n, degree), -1, np.int64)
+    edges = np.full((n, max(degree, ROOM)), -1, np.int64)
     first = min(degree // 2, n - 1)
     if first:
         edges[:, :first] = (np.arange(n)[:, None] + rng.integers(1, n, (n, first))) % n
@@ -110,42 +141,68 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
         for s in range(0, n, GROUP):
             nodes = order[s : s + GROUP]
             found, _, _ = beam_search(x, norm, edges, entry, x[nodes], min(beam, n))
-            edges[nodes] = robust_prune(x, nodes, np.concatenate((found, edges[nodes]), 1), degree, step)
-            ends, starts = edges[nodes].ravel(), np.repeat(nodes, degree)
+            edges[nodes, :degree] = robust_prune(x, nodes, np.concatenate((found, edges[nodes]), 1), degree, step)
+            edges[nodes, degree:] = -1
+            ends, starts = edges[nodes, :degree].ravel(), np.repeat(nodes, degree)
             ends, starts = ends[ends >= 0], starts[ends >= 0]
-            sort = np.argsort(ends, kind="stable")
-            ends, starts = ends[sort], starts[sort]
-            at, where, count = np.unique(ends, return_index=True, return_counts=True)
-            for t in range(0, len(at), 4 * GROUP):
-                own, w, c = at[t : t + 4 * GROUP], where[t : t + 4 * GROUP], count[t : t + 4 * GROUP]
-                back = np.full((len(own), int(c.max())), -1, np.int64)
-                r = np.repeat(np.arange(len(own)), c)
-                col = np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
-                back[r, col] = starts[np.repeat(w, c) + col]
-                edges[own] = robust_prune(x, own, np.concatenate((edges[own], back), 1), degree, step)
+            _offer(x, edges, ends, starts, degree, step)
+    for s in range(0, n, GROUP):
+        nodes = np.arange(s, min(n, s + GROUP))
+        nodes = nodes[(edges[nodes] >= 0).sum(1) > degree]
+        edges[nodes, :degree] = robust_prune(x, nodes, edges[nodes], degree, relax)
+        edges[nodes, degree:] = -1
+    edges = -np.sort(-edges, axis=1)[:, :degree]
     return edges, entry
 
 
-def search_shard(x: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(node ids, exact distances) of about k nearest distinct rows of x for each row of q; -1 where none."""
-    scale = np.abs(x).max()
-    small, asked = (x / scale).astype(np.float32), (q / scale).astype(np.float32)
-    beam = min(len(x), max(beam, k))
-    keep = min(beam, k + 4)
-    if len(x) > beam:
-        edges, entry = build_graph(small)
-        norm = (small * small).sum(1)
-    out, far = np.full((len(q), keep), -1), np.full((len(q), keep), np.inf)
-    for s in range(0, len(q), GROUP):
-        own = slice(s, s + GROUP)
-        if len(x) > beam:
-            out[own] = beam_search(small, norm, edges, entry, asked[own], beam)[0][:, :keep]
+class Shard:
+    """Distinct vectors with their graph, built once and then searched in blocks of queries."""
+
+    def __init__(self, x: np.ndarray, k: int, beam: int = BEAM):
+        self.x, self.scale = x, np.abs(x).max()
+        self.small = (x / self.scale).astype(np.float32)
+        self.norm = (self.small * self.small).sum(1)
+        self.beam = min(len(x), max(beam, k))
+        self.keep = min(self.beam, k + 4)
+        self.graph = build_graph(self.small) if len(x) > self.beam else None
+
+    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node ids, exact distances) of about k nearest nodes for each row of q; -1 where none."""
+        asked = (q / self.scale).astype(np.float32)
+        if self.graph:
+            out = beam_search(self.small, self.norm, *self.graph, asked, self.beam)[0][:, : self.keep]
         else:
-            rough = (small * small).sum(1)[None, :] - 2 * asked[own] @ small.T
-            out[own] = np.argsort(rough, axis=1, kind="stable")[:, :keep]
-        far[own] = np.sqrt(np.cumsum((x[out[own]] - q[own][:, None, :]) ** 2, axis=2)[:, :, -1])  # in order, as SQL sums
-        far[own][out[own] < 0] = np.inf
-    return out, far
+            out = np.argsort(self.norm[None, :] - 2 * asked @ self.small.T, axis=1, kind="stable")[:, : self.keep]
+        far = np.sqrt(np.cumsum((self.x[out] - q[:, None, :]) ** 2, axis=2)[:, :, -1])  # in order, as SQL sums
+        far[out < 0] = np.inf
+        return out, far
+
+
+def _build(dim: int, k: int, beam: int):
+    def build(members: pa.Table) -> tuple[Shard, list]:
+        ids = members.column("ids").to_pylist()
+        order = np.argsort([i[0] for i in ids], kind="stable")  # so that a graph doesn't depend on the order of arrival
+        return Shard(matrix(members.column("vec").combine_chunks(), dim)[order], k + 1, beam), [ids[i] for i in order]
+
+    return build
+
+
+def _ask(dim: int, k: int):
+    def ask(state: tuple[Shard, list], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        shard, ids = state
+        queries, q = arrow_rows(batch, "id").to_numpy(), matrix(arrow_rows(batch, "vec"), dim)
+        for s in range(0, len(q), GROUP):
+            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+            found, far = shard.search(q[s : s + GROUP])
+            for query, nodes, scores in zip(queries[s : s + GROUP].tolist(), found.tolist(), far.tolist(), strict=True):
+                own = sorted((d, i) for n, d in zip(nodes, scores, strict=True) if n >= 0 for i in ids[n] if i != query)[:k]
+                out["query_id"] += [query] * len(own)
+                out["vec_id"] += [i for _, i in own]
+                out["score"] += [d for d, _ in own]
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return ask
 
 
 def nearest(
@@ -167,33 +224,16 @@ def nearest(
     sizes = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}  # a row for each length of vector
     if not sizes:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    shards = F.create_map(*[F.lit(int(v)) for d, n in sorted(sizes.items()) for v in (d, -(-n // shard))])
-    dealt = nodes.select("dim", F.pmod(F.xxhash64("vec"), shards[F.col("dim")]).cast("int").alias("shard"), "ids", "vec")
-    asked = (
-        good(queries)
-        .withColumn("dim", F.size("vec"))
-        .filter(shards[F.col("dim")].isNotNull())
-        .select("dim", F.explode(F.sequence(F.lit(0), shards[F.col("dim")] - 1)).alias("shard"), "id", "vec")
-    )
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            left = left.sort_values("id", kind="stable")
-            right = right.iloc[np.argsort([v[0] for v in right["ids"]], kind="stable")]
-            ids = right["ids"].to_list()
-            found, far = search_shard(np.stack(right["vec"].to_numpy()), np.stack(left["vec"].to_numpy()), k + 1, beam)
-            for query, nodes_, scores in zip(left["id"], found, far, strict=True):
-                own = sorted((s, i) for n, s in zip(nodes_, scores, strict=True) if n >= 0 for i in ids[n] if i != query)[:k]
-                out["query_id"] += [query] * len(own)
-                out["vec_id"] += [i for _, i in own]
-                out["score"] += [s for s, _ in own]
-        return pd.DataFrame({"query_id": pd.array(out["query_id"], "int64"), "vec_id": pd.array(out["vec_id"], "int64"), "score": np.array(out["score"], float)})
-
-    hits = asked.groupBy("dim", "shard").cogroup(dealt.groupBy("dim", "shard")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = None
+    for dim, n in sorted(sizes.items()):
+        count = -(-n // shard)
+        dealt = nodes.filter(F.col("dim") == dim).select(F.pmod(F.xxhash64("vec"), F.lit(count)).cast("int").alias("tile"), "ids", "vec")
+        asked = good(queries).filter(F.size("vec") == dim).select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("tile"), "id", "vec")
+        own = stream_tiles(dealt, asked, count, _build(dim, k, beam), _ask(dim, k), "query_id long, vec_id long, score double")
+        found = own if found is None else found.unionByName(own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return (
-        hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("vec_id").alias(id_col), "score")
+        found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("vec_id").alias(id_col), "score")
     )
 
 

@@ -48,6 +48,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_PLAIN = frozenset(("html", "body", "div", "p"))  # elements that tell nothing
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _APART = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\Z)|<(/?)({'|'.join(sorted(APART))})(?=[\s/>])[^>]*>", re.S | re.I
@@ -56,10 +57,10 @@ _APART = re.compile(
 
 @dataclass
 class Block:
-    """A leaf block: its text, the path of open elements above it, and how much of it is link text."""
+    """A leaf block: its text, the features of the open elements above it, and how much of it is link text."""
 
     text: str
-    path: tuple
+    above: tuple
     linked: int
     label: int | None = None
 
@@ -67,16 +68,24 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    names: str
+    features: list
     label: int | None = None
 
 
 @dataclass
 class _Page:
+    """The open elements. Each tag's places and each feature's count are kept, so that no step walks down the stack."""
+
+    known: frozenset | None = None
+    labelled: bool = False
     stack: list = field(default_factory=list)
+    places: dict = field(default_factory=dict)
+    active: dict = field(default_factory=dict)
+    solid: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
     parts: list = field(default_factory=list)
-    path: tuple | None = None
+    now: tuple | None = None
+    above: tuple | None = None
     label: int | None = None
     linked: int = 0
     links: int = 0
@@ -85,30 +94,59 @@ class _Page:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.path or (), min(self.linked, len(text)), self.label))
-            self.parts, self.path, self.linked, self.label = [], None, 0, None
+                self.blocks.append(Block(text, self.above or (), min(self.linked, len(text)), self.label))
+            self.parts, self.above, self.linked, self.label = [], None, 0, None
 
     def add(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        if self.path is None and text.strip():
-            self.path = tuple((o.tag, o.names) for o in self.stack)
-            self.label = next((o.label for o in reversed(self.stack) if o.label is not None), None)
+        if self.above is None and text.strip():
+            if self.now is None:
+                own = (f"own={self.stack[-1].tag if self.stack else ''}", f"leaf={self.solid[-1] if self.solid else ''}")
+                self.now = (*own, *self.active)
+            self.above = self.now
+            if self.labelled:
+                self.label = next((o.label for o in reversed(self.stack) if o.label is not None), None)
         self.parts.append(text)
         if self.links:
             self.linked += len(text.strip())
 
+    def push(self, tag: str, names: str, label: int | None) -> None:
+        own = {f"name={n}" for n in _NAME.findall(names)} if names else set()
+        if tag not in INLINE:
+            self.solid.append(tag)
+            if tag not in _PLAIN:
+                own.add(f"in={tag}")
+        features = sorted(f for f in own if self.known is None or f in self.known)
+        for f in features:
+            self.active[f] = self.active.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Open(tag, features, label))
+        self.links += tag == "a"
+        self.now = None
+
     def pop_to(self, at: int) -> None:
-        self.links -= sum(o.tag == "a" for o in self.stack[at:])
+        for o in reversed(self.stack[at:]):
+            self.places[o.tag].pop()
+            self.links -= o.tag == "a"
+            if o.tag not in INLINE:
+                self.solid.pop()
+            for f in o.features:
+                if self.active[f] == 1:
+                    del self.active[f]
+                else:
+                    self.active[f] -= 1
         del self.stack[at:]
+        self.now = None
 
-    def close(self, tags, until) -> None:
+    def innermost(self, tags) -> int:
+        """Place of the innermost open element among tags; -1 for none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def close(self, tags, until=()) -> None:
         """Close the innermost open element among tags, unless one of until is nearer."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at].tag in tags:
-                return self.pop_to(at)
-            if self.stack[at].tag in until:
-                return None
-        return None
+        at = self.innermost(tags)
+        if at >= 0 and at >= self.innermost(until):
+            self.pop_to(at)
 
 
 def _ends_apart(page: str) -> dict[int, int]:
@@ -125,14 +163,15 @@ def _ends_apart(page: str) -> dict[int, int]:
     return out
 
 
-def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
+def leaf_blocks(page: str, labelled: bool = True, known: frozenset | None = None) -> list[Block]:
     """The page's text in leaf blocks, in page order. Scripts, styles and comments are left out.
 
     So are closed elements of APART; where one is not closed, what follows it is parsed like the rest.
 
     labelled: data-label is read, as training pages carry it; on any other page it means nothing.
+    known: features of elements to note; all of them if None.
     """
-    state, at, n, apart = _Page(), 0, len(page), None
+    state, at, n, apart = _Page(known, labelled), 0, len(page), None
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -145,10 +184,7 @@ def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
         if tag not in INLINE:
             state.flush()
         if ending:
-            for k in range(len(state.stack) - 1, -1, -1):
-                if state.stack[k].tag == tag:
-                    state.pop_to(k)
-                    break
+            state.close((tag,))
             continue
         if tag in RAW:
             if not attrs.rstrip().endswith("/"):
@@ -173,26 +209,11 @@ def leaf_blocks(page: str, labelled: bool = True) -> list[Block]:
                     label = int(value) if labelled else None
                 else:
                     names += " " + value.lower()
-        state.stack.append(_Open(tag, names, label))
-        state.links += tag == "a"
+        state.push(tag, names, label)
     state.flush()
     return state.blocks
 
 
-@lru_cache(maxsize=20_000)
-def path_features(path: tuple) -> tuple:
-    """Features of the elements above a block."""
-    out = {f"own={path[-1][0]}" if path else "own="}
-    solid = [p for p in path if p[0] not in INLINE]
-    out.add("leaf=" + (solid[-1][0] if solid else ""))
-    for tag, names in path:
-        if tag not in INLINE and tag not in ("html", "body", "div", "p"):
-            out.add("in=" + tag)
-        for name in _NAME.findall(names):
-            out.add("name=" + name)
-    return tuple(sorted(out))
-
-
 def _bucket(x: float, edges: tuple) -> int:
     return sum(x >= e for e in edges)
 
@@ -217,9 +238,12 @@ class Chain:
     weights: dict
     steps: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.known = frozenset(f for f in self.weights if f.startswith(("in=", "name=")))
+
     def score(self, blocks: list[Block]) -> list[float]:
         get = self.weights.get
-        return [sum(get(f, 0.0) for f in path_features(b.path)) + sum(get(f, 0.0) for f in text_features(b)) for b in blocks]
+        return [sum(get(f, 0.0) for f in b.above) + sum(get(f, 0.0) for f in text_features(b)) for b in blocks]
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The most probable labels, by Viterbi."""
@@ -245,7 +269,7 @@ def train(pages: list[list[Block]], rounds: int = 200, rate: float = 0.1, decay:
     for r, blocks in enumerate(pages):
         for t, b in enumerate(blocks):
             gold[r, t] = b.label or 0
-            for f in (*path_features(b.path), *text_features(b)):
+            for f in (*b.above, *text_features(b)):
                 rows.append(r * longest + t)
                 cols.append(index.setdefault(f, len(index)))
     rows, cols = np.array(rows), np.array(cols)
@@ -424,7 +448,7 @@ def default_chain() -> Chain:
 
 def main_text(page: str | None, chain: Chain) -> str:
     """Content blocks in page order, joined by one space."""
-    blocks = leaf_blocks(page, labelled=False) if page else []
+    blocks = leaf_blocks(page, labelled=False, known=chain.known) if page else []
     return " ".join(b.text for b, y in zip(blocks, chain.decode(blocks), strict=True) if y) if blocks else ""
 
 

@@ -1,11 +1,11 @@
 """Line deduplication with DataFrame functions only.
 
-Lines are exploded in normalised, hashed form; distinct documents are counted per hash;
-lines over the threshold go everywhere but in the largest document holding them; what is
-left is joined again by position inside its row.
+Lines are exploded in normalised, hashed form with their position; distinct documents are counted
+per hash; lines over the threshold go everywhere but in the largest document holding them; what is
+left is joined again by position.
 
-Text moves once, in the final join by document. Counting moves 16 hash bytes and an id per
-distinct line of a document, pre-aggregated by document before the shuffle and by hash in it.
+Text moves once, in the final join by document. Counting moves 16 hash bytes a line and is
+pre-aggregated before the shuffle; lines that many documents hold are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.session import cut, table
+from siftwork.llm.skew import dealt_join
+from siftwork.session import stored, table
 
 #: The white space stripped at both ends, and the letters that are lower-cased.
 STRIP = " \t\n\x0b\x0c\r"
@@ -40,34 +41,34 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comes back as it was. Rows with a null id count for no line and keep all theirs; rows that
     repeat an id count as one document. The copy in the largest id stays, in all its lines.
     """
-    base = docs.drop("n_lines", "n_dropped")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    hashed = F.transform(lines, lambda x: _line_hash(x, min_chars))
-    held = cut(
+    base = docs.drop("n_lines", "n_dropped", "__lines", "__t")
+    base = base.withColumns({"__lines": F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), "__t": F.xxhash64(text_col)})  # __t tells texts of one id apart
+    hashed = F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), _line_hash(x, min_chars).alias("h")))
+    held = stored(
         base.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(hashed, lambda h: h.isNotNull()))).alias("h"))
-        .select("id", "h.h1", "h.h2")
+        .select(F.col(id_col).alias("id"), F.col("__t").alias("t"), F.explode(F.filter(hashed, lambda x: x["h"].isNotNull())).alias("x"))
+        .select("id", "t", "x.pos", "x.h.h1", "x.h.h2")
     )
-    often = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
-    hits = held.join(often, ["h1", "h2"], "left_semi").distinct()
-    shared = hits.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs)
+    key = ["h1", "h2"]
+    often = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("last"))
+    often = often.filter((F.col("n") >= min_docs) & ((F.col("least") < F.col("last")) | F.lit(min_docs <= 1))).select(*key, "n", "last")
+    hits = stored(dealt_join(held, often, key, "n"))
+    docs_of = hits.groupBy(*key, "id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+    shared = docs_of.groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")).filter(F.col("docs") >= min_docs).select(*key, "n")
+    counts = hits.groupBy(*key).agg(F.max("n").alias("n"))
     drops = (
-        hits.join(shared, ["h1", "h2"])
-        .filter(F.col("id") < F.col("last"))
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
-    )
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _line_hash(x, min_chars)), F.lit(False)))
-    joined = base.join(drops, F.col(id_col) == F.col("__id"), "left").withColumn(
-        "__kept", F.when(F.col("__drop").isNotNull(), kept)
+        dealt_join(hits.filter(F.col("id") < F.col("last")).select("id", "t", "pos", *key), shared, key, "n", counts)
+        .groupBy(F.col("id").alias("__id"), F.col("t").alias("__own"))
+        .agg(F.collect_set("pos").alias("__drop"))
     )
+    joined = base.join(drops, (F.col(id_col) == F.col("__id")) & (F.col("__t") == F.col("__own")), "left")
+    n_lines = F.size("__lines")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("__drop")), lambda i: F.get("__lines", i))
+    text = F.when(F.col("__drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return joined.select(
-        *[
-            F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
-            for c in base.columns
-        ],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("__kept").isNotNull(), F.size(lines) - F.size("__kept")).otherwise(0).cast("long").alias("n_dropped"),
+        *[text.alias(c) if c == text_col else F.col(c) for c in base.columns if c not in ("__lines", "__t")],
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.when(F.col("__drop").isNotNull(), F.col("__drop"))), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -10,7 +10,8 @@
    with the lists and not with their squares. Candidates with enough collisions are confirmed
    on whole shingle sets.
 5. Lists whose members are one component by now hold nothing more. In the others, members
-   outside the list's main component are compared with those of other components.
+   outside the list's main component are compared with those of other components; a long list is
+   cut in blocks of such members, so that a task compares one block with the list.
 
 Before a pair leaves a join, a parity sketch bounds its similarity from above: each shingle flips
 one of 1024 bits, so two sketches differ in at most as many bits as the sets have shingles not in
@@ -35,6 +36,8 @@ from siftwork.llm.words import WORD_BASE, U, arrow_rows, mix, ranges_hash, slice
 from siftwork.session import cut, table
 
 COORDINATES, MATCHES, SHINGLE, PARITY_BITS = 32, 16, 5, 1024
+#: Members of a list that meet the rest of it in one block.
+LIST_BLOCK = 2048
 _A = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
 _TAG = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x165667B19E3779F9))
 
@@ -161,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased (A-Z) and cut into distinct 5-word shingles; fewer words are one
     shingle. Documents link when 100 * intersection >= percent * union; percent is 80 or more.
     Null, empty and blank texts have no shingle, link with nothing and are kept. Rows with a
-    null id come back with a null component and are kept. Rows that repeat an id are one node;
-    where their texts differ, any of them may stand for it. Ties go to the smaller id.
+    null id come back with a null component and are kept. Rows that repeat an id are one node,
+    which links with whatever any of its texts links with. Ties go to the smaller id.
     """
     if percent < 80:
         raise ValueError("signatures are sized for a threshold of 80 or more")
@@ -172,9 +175,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.groupBy("key").agg(F.min("id").alias("rep"))
     reps = cut(
         named.join(classes, (named["key"] == classes["key"]) & (F.col("id") == F.col("rep")), "left_semi")
+        .dropDuplicates(["id", "key"])
         .select("id", "n_shingles", "sig", "parity")
-        .dropDuplicates(["id"])
     )
+    own = named.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("k0"), F.max("key").alias("k1")).filter("rows > 1")
+    same = None  # links between the classes of an id with several texts
+    if own.limit(1).count():
+        plain = plain.dropDuplicates()
+        mixed_ids = own.filter("k0 <> k1").select("id")
+        same = cut(named.join(mixed_ids, "id", "left_semi").join(classes, "key").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
     posted = reps.select("id", F.explode("sig").alias("token"))
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     prefix = cut(
@@ -187,20 +196,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     leads = prefix.groupBy("token").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = prefix.join(leads, "token").filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = cut(_verified(stars, reps, plain, percent))
+    links = _verified(stars, reps, plain, percent)
+    links = cut(links if same is None else links.unionByName(same))
     first = components(links, "a", "b")
 
     placed = prefix.join(leads, "token").join(first, F.col("id") == F.col("node"), "left").select(
         "token", "id", "lead", F.coalesce("component", "id").alias("comp")
     )
     sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    open_lists = cut(placed.join(mixed.select("token", F.col("top.comp").alias("main")), "token"))
-    ours = open_lists.filter("comp <> main").select("token", "lead", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-    theirs = open_lists.select("token", F.col("id").alias("b"), "comp", "main")
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).filter("k > 1")
+    blocks = F.ceil((F.col("all") - F.col("top.n")) / LIST_BLOCK).cast("int")
+    open_lists = cut(placed.join(mixed.select("token", F.col("top.comp").alias("main"), blocks.alias("blocks")), "token"))
+    ours = open_lists.filter("comp <> main").select(
+        "token", "lead", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    )
+    theirs = open_lists.select("token", F.col("id").alias("b"), "comp", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rest = (
         ours.join(_side(reps, "a"), "a")
-        .join(theirs.join(_side(reps, "b"), "b"), "token")
+        .join(theirs.join(_side(reps, "b"), "b"), ["token", "block"])
         .filter("comp_a <> comp AND (comp = main OR a < b) AND a <> lead AND b <> lead")
         .filter(_may_link(percent))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

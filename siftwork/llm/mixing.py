@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from siftwork.session import cut, table
 
 WIDTH = 4096
+#: A plan is broadcast up to this size.
+PLAN_BYTES = 16_000_000
 #: Production setting: close this part of the gap between the entropy of the sources and its maximum,
 #: but let no source come up more often than MAX_REPEATS.
 GAIN, MAX_REPEATS = 0.5, 4.0
@@ -46,14 +48,18 @@ def _block(place: Column, level: int) -> Column:
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, key: Column, id_: Column) -> DataFrame:
-    """rows with the plan's row of their source.
+    """rows with the plan's row of their source. plan: a checkpoint, so that its size is known at once.
 
-    A source may hold a third of all rows, so its rows are dealt over as many salts as there are
-    shuffle partitions, and its one row of the plan is repeated for each.
+    A plan of PLAN_BYTES at most is broadcast, and the rows stay where they are. Beyond it, as a source
+    may hold a third of all rows, they are dealt over as many salts as there are shuffle partitions,
+    and a source's one row of the plan is repeated for each.
     """
+    joined = rows.withColumn("__key", key)
+    if (plan.agg(F.sum(F.octet_length("__skey") + 100)).first()[0] or 0) <= PLAN_BYTES:
+        return joined.join(F.broadcast(plan), F.col("__key") == F.col("__skey")).drop("__key")
     salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     copies = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumns({"__key": key, "__own": F.pmod(F.xxhash64(id_, F.lit(11)), F.lit(salts)).cast("int")})
+    dealt = joined.withColumn("__own", F.pmod(F.xxhash64(id_, F.lit(11)), F.lit(salts)).cast("int"))
     return dealt.join(copies, (F.col("__key") == F.col("__skey")) & (F.col("__own") == F.col("__salt"))).drop("__key", "__own", "__salt")
 
 

@@ -90,11 +90,11 @@ def log_weights(column: pa.Array, model: np.ndarray) -> np.ndarray:
     """The sum of the model's log ratios over each text's n-grams."""
     out = []
     for part in slices(column):
-        total = np.zeros(len(part.start) + 1)
-        kinds = gram_buckets(part)
-        if kinds:
-            np.cumsum(sum(model[k] for k in kinds), out=total[1:])
-        out.append(total[part.first[1:]] - total[part.first[:-1]])
+        total = np.zeros(len(part.first) - 1)
+        full = np.flatnonzero(np.diff(part.first))
+        if len(full):  # each text on its own, so that its weight is the same in any batch
+            total[full] = np.add.reduceat(sum(model[k] for k in gram_buckets(part)), part.first[full])
+        out.append(total)
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -111,9 +111,8 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, bound: int)
 
 def fit(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Log ratio of target to raw for each bucket. sample has at most SAMPLE rows, so it is broadcast."""
-    own = docs.join(F.broadcast(sample), F.col(id_col) == F.col("sid"), "left").select(
-        F.col(text_col).alias("text"), F.coalesce(F.col("good") > 0, F.lit(False)).alias("good")
-    )
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))  # whatever else docs has
+    own = plain.join(F.broadcast(sample), F.col("__id") == F.col("sid"), "left").select("text", F.coalesce(F.col("good") > 0, F.lit(False)).alias("good"))
     counts = own.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts.collect():  # one row for each of BUCKETS at most
@@ -180,7 +179,7 @@ def quality_sample(
     """((id_col, log_weight, sort_key, kept) for each row, the sampled key from which rows are kept, the scoring UDF).
 
     Every row is scored on its whole text; a null, empty or blank text has weight 0. Rows that
-    repeat an id get the same noise. Ties at the cut are all kept. Without labels of both kinds
+    repeat an id get the same noise; of their weights the least counts for the label. Ties at the cut are all kept. Without labels of both kinds
     everything is kept. A null id has noise of its own and is judged like any other.
     """
     spark = docs.sparkSession
@@ -200,7 +199,8 @@ def quality_sample(
     scored = cut(
         plain.mapInArrow(score, "id long, log_weight double").withColumn("sort_key", F.col("log_weight") + gumbel(F.col("id"), seed))
     )
-    known = scored.join(F.broadcast(chosen), F.col("id") == F.col("sid")).select("log_weight", "good").collect()  # bounded by `sample`
+    labelled = scored.join(F.broadcast(chosen), F.col("id") == F.col("sid"))
+    known = labelled.groupBy("sid").agg(F.min("log_weight").alias("w"), F.max("good").alias("good")).select("w", "good").collect()  # `sample` rows at most
     at = best_cut(np.array([r[0] for r in known]), np.array([r[1] > 0 for r in known], bool))
     k = scored.filter(F.col("log_weight") >= at).count()
     least = kth_largest(scored, "sort_key", k)
@@ -209,7 +209,11 @@ def quality_sample(
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **options) -> DataFrame:
-    """The sampled rows of docs with all their columns; see quality_sample."""
+    """The sampled rows of docs with all their columns; see quality_sample.
+
+    Texts are scored again rather than shuffled to meet their decision: a text's weight depends on
+    nothing but the text, so the decision is the same, also when a task is run again.
+    """
     _, least, weight = quality_sample(docs, labels, id_col, text_col, seed=seed, **options)
     return docs.filter(weight(F.col(text_col)) + gumbel(F.col(id_col).cast("long"), seed) >= F.lit(least))
 

@@ -24,15 +24,30 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: One of these is enough to reject.
-STRICT = ("adult", "casino", "gambling", "hentai", "jackpot", "porn", "porno", "sex", "slots", "spam", "viagra", "warez", "xxx")
+#: One of these is enough to reject. Written for this filter, by subject: words that name adult content, games of
+#: chance, pirated goods, drugs sold without a prescription, or junk itself, and hardly anything else.
+STRICT = (
+    "adult", "bdsm", "blowjob", "bukkake", "camgirl", "camgirls", "camsex", "creampie", "cumshot", "deepthroat", "fetish",
+    "gangbang", "handjob", "hardcore", "hentai", "incest", "milf", "milfs", "nsfw", "nudes", "orgy", "porn", "porno", "pornhub",
+    "pornstar", "sex", "sexcam", "sexcams", "sexchat", "sexshop", "sexy", "shemale", "slut", "sluts", "threesome", "upskirt",
+    "webcamsex", "whore", "xrated", "xvideos", "xxx",
+    "baccarat", "bookmaker", "casino", "casinos", "gambling", "jackpot", "jackpots", "pokies", "roulette", "slots", "sportsbook",
+    "crackz", "serialz", "warez", "keygens", "nulled", "torrentz",
+    "cialis", "levitra", "tramadol", "viagra", "xanax",
+    "linkfarm", "malware", "phishing", "spam", "spyware",
+)
 
-#: Several distinct ones are needed to reject.
+#: Several distinct ones are needed to reject: words of the same subjects, and of advertising, that clean pages use too.
 SOFT = (
-    "ads", "bet", "bets", "betting", "bonus", "cam", "cams", "cheap", "click", "coupon", "crack", "dating", "deal", "deals",
-    "escort", "farm", "free", "hot", "keygen", "loan", "loans", "meds", "nude", "offer", "pills", "poker", "popup", "promo",
-    "replica", "torrent", "track", "tracker", "win", "winner",
-)
+    "babe", "babes", "cam", "cams", "dating", "erotic", "erotica", "escort", "escorts", "girls", "hookup", "hot", "kinky", "lingerie",
+    "naked", "naughty", "nude", "nudity", "playboy", "singles", "teen", "teens", "voyeur", "webcam",
+    "bet", "bets", "betting", "bingo", "blackjack", "bonus", "bookie", "lottery", "lotto", "odds", "poker", "slot", "wager", "win", "winner",
+    "crack", "cracked", "cracks", "hack", "hacks", "keygen", "leak", "leaked", "mod", "pirate", "proxy", "serial", "torrent", "torrents", "unblocked",
+    "diet", "meds", "pharma", "pharmacy", "pill", "pills", "prescription", "rx", "steroid", "steroids", "weightloss",
+    "affiliate", "banner", "buy", "cash", "cheap", "click", "clicks", "coupon", "coupons", "credit", "crypto", "deal", "deals", "discount",
+    "doubleclick", "earn", "farm", "free", "income", "loan", "loans", "money", "offer", "offers", "payday", "popunder", "popup", "prize",
+    "profit", "promo", "promos", "replica", "rich", "survey", "track", "tracker", "tracking", "voucher", "ads", "adserver",
+)
 
 STRICT_WEIGHT, SOFT_WEIGHT, REJECT_AT = 2, 1, 2
 
@@ -73,9 +88,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def url_filter(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT) -> DataFrame:
     """Add host, path, rule, n_strict, n_soft and verdict; input columns of these names are replaced.
 
-    The longest rule that fits decides (ties: the first given). Without one, distinct terms in
-    host and path add up their weights and reject from REJECT_AT on. A null or odd url has no
-    host, path, rule or term, and is allowed. One row out for each row in.
+    The longest rule that fits decides (ties: the first given). Without one, distinct terms anywhere
+    in the url, its query and fragment included, add up their weights and reject from REJECT_AT on. A
+    url without '://' has no host, path or rule, but may have terms. A null or empty url has
+    none and is allowed. One row out for each row in.
     """
     new = ("host", "path", "rule", "n_strict", "n_soft", "verdict")
     base = pages.drop(*[c for c in new if c != url_col])
@@ -95,7 +111,7 @@ def url_filter(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRIC
     out = out.withColumns({
         "__rule": rule if rule is not None else F.lit(None).cast("string"),
         "__ruled": verdict if verdict is not None else F.lit(None).cast("string"),
-        "__hits": hits(lower_ascii(F.concat("__host", "__path"))),
+        "__hits": hits(lower_ascii(F.coalesce(F.col(url_col), F.lit("")))),
     })
     weight = F.col("__hits.n_strict") * STRICT_WEIGHT + F.col("__hits.n_soft") * SOFT_WEIGHT
     return out.select(
@@ -125,14 +141,13 @@ def _oracle() -> str:
     count = lambda terms: " + ".join(f"regexp_matches(t, '(^|[^a-z0-9]){x}([^a-z0-9]|$)')::int" for x in terms)
     return f"""
 WITH cut AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, {lowered.format("coalesce(url, '')")} AS t,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
-  SELECT page_id, {lowered.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+  SELECT page_id, t, {lowered.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
-), texts AS (
-  SELECT *, {lowered.format("host || path")} AS t FROM parts
 ), counted AS (
-  SELECT *, ({count(STRICT)})::int AS n_strict, ({count(SOFT)})::int AS n_soft FROM texts
+  SELECT *, ({count(STRICT)})::int AS n_strict, ({count(SOFT)})::int AS n_soft FROM parts
 )
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits)} END AS rule,
        CASE {" ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)}
