@@ -1,21 +1,23 @@
 """Substring dedup: repeated passages of 50 words by compaction of a De Bruijn graph.
 
-1. Seeds. Of a window's 10-word grams the one with the smallest hash is its seed, so that equal windows
-   have equal seeds wherever they stand. Windows whose seed is in one document only can't repeat; they
-   are most of all text and go no further. This is a filter and decides nothing else.
-2. Edges. Every other window, a k-mer of 50 tokens, is an edge from its first 49 words to its last 49.
-   Equal windows are one edge; it repeats if it is in two documents or more.
-3. Compaction. Two edges that follow each other are one path if the second follows the first at each
-   occurrence of either: their numbers of occurrences and fingerprints of the occurrences (shifted by
-   one word) agree. A join of the repeated edges with themselves, by the coordinates of their first
-   occurrence, finds these steps, and steps in a row are a nonbranching path. Its edges occur in the
+1. Seeds. Of a window's 30-word grams the one with the smallest hash is its seed, so that equal windows
+   have equal seeds wherever they stand. Neighbouring windows of one seed are a stretch. Stretches whose
+   seed is in one document only can't repeat; they are most of all text and go no further.
+2. Edges. A window, a k-mer of 50 tokens, is an edge from its first 49 words to its last 49. Where all
+   stretches of a seed are alike, their edges are nonbranching among themselves, and the stretch stands
+   for them as one; any other stretch gives each of its windows. Equal edges are one, and an
+   edge repeats if it is in two documents or more.
+3. Compaction. Of two edges that follow each other at their first occurrence, the second belongs to the
+   path of the first if it follows at each occurrence of either: their numbers of occurrences agree, and so
+   do the fingerprints of where the first ends and the second starts. A join of the repeated edges with
+   themselves finds these steps; steps in a row are a nonbranching path. All of a path occurs in the
    same documents, so the path's smallest document is that of each of its windows.
-4. Verification. A path's source coordinates are those of its smallest document; the words there and at
+4. Verification. A path's source coordinates are those of its first occurrence; the words there and at
    each other occurrence are read again and compared by a digest of 128 bits. A stretch that differs
    from its source, which takes two windows of one 64-bit hash, is left alone.
 
-Occurrences of hot windows and seeds are dealt over many tasks (see skew). Texts move compressed, dealt
-by document. Windows are judged on the input; the words that verified stretches cover are cut from it.
+Hot edges, known as such from their seed's count, are dealt over many tasks. Texts move once, compressed and
+dealt by document. Windows are judged on the input; the words that verified paths cover are cut from it.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.skew import dealt_join
-from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, ranges_hash, slices
-from siftwork.session import stored, table
+from siftwork.llm import skew
+from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, mix, ranges_hash, slices
+from siftwork.session import table
 
-WINDOW, KMER = 50, 10
+#: Words of a window and of a seed. Longer seeds part stretches more finely, so that fewer windows stand alone.
+WINDOW, SEED = 50, 30
+#: A word's place is that in its document's texts: a text's number takes the upper bits.
+PLACE_BITS = 32
 
 
 def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -52,7 +57,7 @@ def _seeds(window: int, k: int):
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, versions = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "t")
+            ids, versions = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "v").to_numpy()
             for part in slices(arrow_rows(batch, "text")):
                 words = part.hashes()
                 if len(words) < window:
@@ -73,16 +78,17 @@ def _seeds(window: int, k: int):
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
                 at = np.flatnonzero(new)
                 low, high = start[at], start[np.append(at[1:], len(start)) - 1]
-                which = pa.array(row[at] + part.rows.start)
+                context = mix(ranges_hash(words, low, high + window, WORD_BASE) ^ (anchor[at] - low).astype(U))
+                which = row[at] + part.rows.start
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(which),
-                        versions.take(which),
+                        ids.take(pa.array(which)),
+                        pa.array((low - part.first[row[at]]) + (versions[which] << PLACE_BITS)),
+                        pa.array((high - low + 1).astype(np.int32)),
                         pa.array(grams[anchor[at]].view(np.int64)),
-                        pa.array((low - part.first[row[at]]).astype(np.int32)),
-                        pa.array((high - low).astype(np.int32)),
+                        pa.array(context.view(np.int64)),
                     ],
-                    names=["id", "t", "seed", "low", "more"],
+                    names=["id", "low", "len", "seed", "context"],
                 )
 
     return seeds
@@ -94,7 +100,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, data = buffers(arrow_rows(batch, "text"))
         packed = [pack(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([arrow_rows(batch, "id"), arrow_rows(batch, "t"), pa.array(packed, pa.binary())], names=["id", "t", "packed"])
+        yield pa.RecordBatch.from_arrays([arrow_rows(batch, "id"), arrow_rows(batch, "v"), pa.array(packed, pa.binary())], names=["id", "v", "packed"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -111,35 +117,30 @@ def _windows(window: int):
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _unpacked(batches):
-            ids, versions, spans = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "t"), arrow_rows(batch, "spans").to_pylist()
+            ids, spans = arrow_rows(batch, "id").cast(pa.int64()), arrow_rows(batch, "spans").to_pylist()
             for part in slices(texts):
-                words, starts, rows = part.hashes(), [], []
-                for r in range(part.rows.start, part.rows.stop):
-                    for s in spans[r]:
-                        starts.append(np.arange(s["low"], s["low"] + s["more"] + 1) + part.first[r - part.rows.start])
-                        rows.append(np.full(s["more"] + 1, r))
-                if not starts:
+                own = [(r, s["low"], s["len"], s["hot"]) for r in range(part.rows.start, part.rows.stop) for s in spans[r]]
+                if not own:
                     continue
-                start, row = np.concatenate(starts), np.concatenate(rows)
-                own = ranges_hash(words, start, start + window, WORD_BASE)
-                low = start - part.first[row - part.rows.start]
+                row, low, count, hot = (np.array(x) for x in zip(*own, strict=True))
+                row, hot = np.repeat(row, count), np.repeat(hot, count)
+                low = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+                start = (low & ((1 << PLACE_BITS) - 1)) + part.first[row - part.rows.start]
+                own = ranges_hash(part.hashes(), start, start + window, WORD_BASE)
                 for i in range(0, len(start), 100_000):
-                    which = pa.array(row[i : i + 100_000])
+                    cut = slice(i, i + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(which),
-                            versions.take(which),
-                            pa.array(own[i : i + 100_000].view(np.int64)),
-                            pa.array(low[i : i + 100_000].astype(np.int32)),
-                        ],
-                        names=["id", "t", "window", "low"],
+                        [ids.take(pa.array(row[cut])), pa.array(own[cut].view(np.int64)), pa.array(low[cut]), pa.array(hot[cut])],
+                        names=["id", "edge", "low", "hot"],
                     )
 
     return windows
 
 
-def _digest(words: list[bytes], low: int, more: int, window: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[low : low + more + window]), digest_size=16).digest()
+def _digest(words: list[bytes], low: int, n: int, window: int) -> bytes:
+    """Of the words that n windows from low on cover."""
+    low &= (1 << PLACE_BITS) - 1
+    return hashlib.blake2b(b" ".join(words[low : low + n + window - 1]), digest_size=16).digest()
 
 
 def _sources(window: int):
@@ -147,16 +148,13 @@ def _sources(window: int):
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _unpacked(batches):
-            out: dict[str, list] = {"window": [], "least": [], "more": [], "n": [], "digest": []}
+            out: dict[str, list] = {"edge": [], "hot": [], "least": [], "n": [], "digest": []}
             for i, text, paths in zip(arrow_rows(batch, "id").to_pylist(), texts, arrow_rows(batch, "paths").to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
                 for p in paths:
-                    out["window"].append(p["head"])
-                    out["least"].append(i)
-                    out["more"].append(p["more"])
-                    out["n"].append(p["n"])
-                    out["digest"].append(_digest(words, p["low"], p["more"], window))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                    for name, value in (("edge", p["edge"]), ("hot", p["hot"]), ("least", i), ("n", p["n"]), ("digest", _digest(words, p["low"], p["n"], window))):
+                        out[name].append(value)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return sources
@@ -169,12 +167,12 @@ def _cut_words(window: int):
             for text, own in zip(texts, arrow_rows(batch, "spans").to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
                 total.append(len(words))
-                own = [s for s in own or () if _digest(words, s["low"], s["more"], window) == s["digest"]]
+                own = [s for s in own or () if _digest(words, s["low"], s["n"], window) == s["digest"]]
                 if own:
                     delta = np.zeros(len(words) + 1, np.int64)
-                    low = np.array([s["low"] for s in own])
+                    low = np.array([s["low"] for s in own]) & ((1 << PLACE_BITS) - 1)
                     np.add.at(delta, low, 1)
-                    np.add.at(delta, low + np.array([s["more"] for s in own]) + window, -1)
+                    np.add.at(delta, low + np.array([s["n"] for s in own]) + window - 1, -1)
                     keep = np.cumsum(delta[:-1]) == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone.append(total[-1] - len(words))
@@ -192,47 +190,61 @@ def _cut_words(window: int):
     return cut_words
 
 
-def repeated_edges(docs: DataFrame, packed: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(id, t, window, low): every window whose seed is in more than one document, by its hash."""
-    seeds = stored(docs.mapInArrow(_seeds(window, kmer), "id long, t long, seed long, low int, more int"))
-    often = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
-    often = often.filter("least < most").select("seed", "n")
-    spans = dealt_join(seeds, often, ["seed"], "n").groupBy("id", "t").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
-    own = packed.join(spans, ["id", "t"]).select("id", "t", "packed", "spans")
-    return stored(own.mapInArrow(_windows(window), "id long, t long, window long, low int"))
+def _salts(spark: SparkSession) -> int:
+    return max(1, min(skew.HOT_ROWS // 10, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def compact_paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nonbranching paths of repeated edges, at their first occurrence: (id, t, low, more, head, n); and the
-    number n of occurrences of each repeated window.
+def repeated_edges(docs: DataFrame, packed: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(edge, salt, id, low, len): edges whose seed is in more than one document, and the windows each stands for.
 
-    A path has `more` + 1 windows, starts with the window `head` and occurs n times.
+    salt is -1, but for edges of hot seeds. docs: (id, v, text), packed: (id, v, packed) of the same.
     """
-    upper = lambda x: F.sum(F.shiftrightunsigned(x, 36))
-    lower = lambda x: F.sum(F.col(x).bitwiseAND(F.lit((1 << 28) - 1)))
-    nodes = stored(
-        edges.withColumns({"h": F.xxhash64("id", "t", "low"), "b": F.xxhash64("id", "t", F.col("low") - 1)})
-        .groupBy("window")
+    seeds = docs.mapInArrow(_seeds(window, seed), "id long, low long, len int, seed long, context long")
+    often = seeds.groupBy("seed").agg(
+        F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.count(F.lit(1)).alias("n")
+    )
+    often = often.filter("least < most").select("seed", (F.col("c0") != F.col("c1")).alias("branching"), "n")
+    found = skew.dealt_join(seeds.select("id", "low", "len", "seed"), often, ["seed"], "n").withColumn("hot", F.col("n") >= skew.HOT_ROWS)
+    whole = found.filter("NOT branching").select("id", F.xxhash64("seed").alias("edge"), "low", "hot", "len")
+    version = F.shiftright("low", PLACE_BITS)
+    spans = found.filter("branching").groupBy("id", version.alias("v")).agg(F.collect_list(F.struct("low", "len", "hot")).alias("spans"))
+    single = packed.join(spans, ["id", "v"]).select("id", "packed", "spans").mapInArrow(_windows(window), "id long, edge long, low long, hot boolean")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "low"), F.lit(_salts(docs.sparkSession))).cast("int")).otherwise(-1)
+    edges = whole.unionByName(single.withColumn("len", F.lit(1))).select("edge", salt.alias("salt"), "id", "low", "len")
+    return edges.repartition("edge", "salt")  # one exchange for the graph and for the occurrences of its paths
+
+
+def compact_paths(edges: DataFrame) -> DataFrame:
+    """(id, low, n, edge, hot): the nonbranching paths of repeated edges, at their first occurrence.
+
+    A path has n windows and starts with an edge.
+    """
+    own = edges.groupBy("edge", "salt").agg(
+        F.min(F.struct("id", "low")).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"), F.max("len").alias("len"),
+        F.bit_xor(F.xxhash64("id", "low")).alias("starts"), F.bit_xor(F.xxhash64("id", F.col("low") + F.col("len"))).alias("ends"),
+    )
+    hot = own.filter("salt >= 0").groupBy("edge").agg(
+        F.min("first").alias("first"), F.max("most").alias("most"), F.sum("n").alias("n"), F.max("len").alias("len"),
+        F.bit_xor("starts").alias("starts"), F.bit_xor("ends").alias("ends"),
+    )
+    all_ = own.filter("salt < 0").drop("salt").withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True)))
+    nodes = all_.filter("first.id < most").select("first.id", "first.low", "edge", "hot", "n", "len", "starts", "ends")
+    ahead = nodes.select("id", (F.col("low") + F.col("len")).alias("low"), "n", F.col("ends").alias("starts"), F.lit(True).alias("linked"))
+    steps = nodes.select("id", "low", "edge", "hot", "n", "len", "starts").join(ahead, ["id", "low", "n", "starts"], "left")
+    path = F.max(F.when(F.col("linked").isNull(), F.col("low"))).over(Window.partitionBy("id").orderBy("low"))
+    return (
+        steps.withColumn("path", path)
+        .groupBy("id", "path")
         .agg(
-            F.min(F.struct("id", "t", "low")).alias("first"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"),
-            upper("h").alias("h1"), lower("h").alias("h2"), upper("b").alias("b1"), lower("b").alias("b2"),
+            F.sum("len").alias("n"),
+            F.max(F.when(F.col("low") == F.col("path"), F.col("edge"))).alias("edge"),
+            F.max(F.when(F.col("low") == F.col("path"), F.col("hot"))).alias("hot"),
         )
-        .filter("first.id < most")
-        .select("first.id", "first.t", "first.low", "window", "n", "h1", "h2", "b1", "b2")
-    )
-    ahead = nodes.select("id", "t", (F.col("low") + 1).alias("low"), "n", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.lit(True).alias("linked"))
-    steps = nodes.join(ahead, ["id", "t", "low", "n", "b1", "b2"], "left")
-    start = F.max(F.when(F.col("linked").isNull(), F.col("low"))).over(Window.partitionBy("id", "t").orderBy("low"))
-    paths = (
-        steps.withColumn("start", start)
-        .groupBy("id", "t", F.col("start").alias("path"))
-        .agg((F.max("low") - F.min("low")).alias("more"), F.min_by("window", "low").alias("head"), F.max("n").alias("n"))
-        .select("id", "t", F.col("path").alias("low"), "more", "head", "n")
+        .select("id", F.col("path").alias("low"), "n", "edge", "hot")
     )
-    return paths, nodes.select("window", "n")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(id_col, n_words, n_removed, text): words left once repeated windows are cut, joined by one space.
 
     A word goes when a window that covers it also starts in a document with a smaller id. Texts
@@ -241,28 +253,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text among them is a reason to cut another; each is cut on its own. Extra columns are left out.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    plain = plain.withColumn("t", F.xxhash64("text"))  # tells texts of one id apart
     named = plain.filter("id IS NOT NULL")
-    packed = named.mapInArrow(_pack, "id long, t long, packed binary").filter("id IS NOT NULL AND t IS NOT NULL")  # as the inner joins add, so that all joins share one exchange
-    edges = repeated_edges(named, packed, window, kmer)
-    paths, counts = compact_paths(edges)
-    paths = paths.groupBy("id", "t").agg(F.collect_list(F.struct("low", "more", "head", "n")).alias("paths"))
-    sources = (
-        packed.join(paths, ["id", "t"])
-        .select("id", "packed", "paths")
-        .mapInArrow(_sources(window), "window long, least long, more int, n long, digest binary")
-        .dropDuplicates(["window"])  # of rows that are the same in id and text
-    )
+    pack = lambda df: df.mapInArrow(_pack, "id long, v long, packed binary").filter("id IS NOT NULL AND v IS NOT NULL")
+    if named.groupBy("id").count().filter("count > 1").limit(1).count():  # number the texts of an id
+        named = named.withColumn("v", (F.dense_rank().over(Window.partitionBy("id").orderBy("text")) - 1).cast("long"))
+        once = named.dropDuplicates(["id", "v"])
+        packed, texts = pack(named), pack(once)
+    else:
+        named = once = named.withColumn("v", F.lit(0).cast("long"))
+        packed = texts = pack(named)
+    edges = repeated_edges(once, texts, window, seed)
+    version = F.shiftright("low", PLACE_BITS).alias("v")
+    paths = compact_paths(edges).groupBy("id", version).agg(F.collect_list(F.struct("low", "n", "edge", "hot")).alias("paths"))
+    sources = texts.join(paths, ["id", "v"]).select("id", "packed", "paths").mapInArrow(_sources(window), "edge long, hot boolean, least long, n long, digest binary")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_salts(docs.sparkSession) - 1))).otherwise(F.array(F.lit(-1)))
     spans = (
-        dealt_join(edges, sources, ["window"], "n", counts)
+        edges.join(sources.withColumn("salt", F.explode(salts)), ["edge", "salt"])
         .filter("id > least")
-        .groupBy("id", "t")
-        .agg(F.collect_list(F.struct("low", "more", "digest")).alias("spans"))
+        .groupBy("id", version)
+        .agg(F.collect_list(F.struct("low", "n", "digest")).alias("spans"))
     )
-    held = packed.join(spans, ["id", "t"], "left").select("id", "packed", "spans")
-    rest = plain.filter("id IS NULL").mapInArrow(_pack, "id long, t long, packed binary")
+    held = packed.join(spans, ["id", "v"], "left").select("id", "packed", "spans")
+    rest = plain.filter("id IS NULL").withColumn("v", F.lit(0).cast("long")).mapInArrow(_pack, "id long, v long, packed binary")
     return (
-        held.unionByName(rest.select("id", "packed", F.expr("CAST(NULL AS array<struct<low:int,more:int,digest:binary>>)").alias("spans")))
+        held.unionByName(rest.select("id", "packed", F.expr("CAST(NULL AS array<struct<low:bigint,n:bigint,digest:binary>>)").alias("spans")))
         .mapInArrow(_cut_words(window), "id long, n_words long, n_removed long, text string")
         .withColumnRenamed("id", id_col)
     )
