@@ -186,6 +186,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two arrays of one length."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    return total / F.size(a)
+
+
 def softmax(scores: Column, scale: float = 100.0) -> Column:
     """Softmax of an array of scores, largest subtracted first."""
     raw = F.transform(F.array(scores), lambda a: F.transform(F.array(F.array_max(a)), lambda top: F.transform(a, lambda s: F.exp((s - top) * scale)))[0])
@@ -247,3 +253,27 @@ def album_of(folder: Column) -> Column:
     inside = (F.size(parts) == 4) & (F.get(parts, F.lit(1)) == "Takeout") & (F.get(parts, F.lit(2)) == "Google Photos")
     name = F.get(parts, F.lit(3))
     return F.when(inside & ~name.rlike(r"^Photos from \d{4}$"), name)
+
+
+def csv_quote(text: Column) -> Column:
+    """A CSV field: quoted, with quotes doubled; null is empty."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def html_escape(text: Column) -> Column:
+    """Text for a page or an attribute."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def file_url(path: Column) -> Column:
+    """A file's address, with each part of its path encoded."""
+    parts = F.transform(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit("file:///"), F.regexp_replace(F.array_join(parts, "/"), "^/+", ""))
+
+
+def bytes_text(size: Column) -> Column:
+    """A number of bytes for people: in GB, MB or kB with one decimal, or bytes."""
+    shown = lambda unit, name: F.concat(F.bround(size / unit, 1).cast("double").cast("string"), F.lit(f" {name}"))
+    return F.when(size >= 10**9, shown(10**9, "GB")).when(size >= 10**6, shown(10**6, "MB")).when(size >= 1000, shown(1000, "kB")).otherwise(F.concat(size.cast("string"), F.lit(" B")))

@@ -1,7 +1,9 @@
 """Exact duplicates: size pre-filter, content groups, scored keeper, reasons and summary.
 
-One shuffle on (size, hash) serves groups, scores, keeper and reasons: every window below has
-that partitioning. Hashing happens only for sizes that occur twice.
+What is known of a group is aggregated, with partial sums before the shuffle, and joined back to its
+members: a content of any number of copies is never one task's window. Where hashing means opening
+files, size_candidates says which ones; a content that is at hand in its row is cheaper hashed
+while it is scanned than moved to meet its size.
 """
 
 from __future__ import annotations
@@ -29,40 +31,37 @@ def duplicate_groups(files: DataFrame, size: str = "size", digest: str = "hash")
     )
 
 
+def duplicate_members(files: DataFrame, size: str = "size", digest: str = "hash") -> DataFrame:
+    """Files whose content another file has too."""
+    return files.join(duplicate_groups(files, size, digest).select(size, digest), [size, digest], "left_semi")
+
+
 def choose_keeper(files: DataFrame) -> DataFrame:
     """Score, recommendation, keeper and reason for every member of a duplicate group.
 
-    Needs path, size, hash, depth, in_trash, has_meta, meta_place, clean. The keeper is outside
-    trash if any is, has metadata if any of those does, then score, shortest path, path.
+    Needs path, size, hash, depth, in_trash, has_meta, meta_place, clean; a path is a file's name and
+    stands there once. The keeper is outside trash if any is, has metadata if any of those does,
+    then score, shortest path, path.
     """
-    group = Window.partitionBy("size", "hash")
-    rank = group.orderBy(
-        "in_trash", F.desc("has_meta"), F.desc("score"), F.length("path"), F.lower("path"), "path"
-    )
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    scored = (
-        files.withColumn("n", F.count(F.lit(1)).over(group))
-        .filter("n > 1")
-        .withColumn("min_depth", F.min("depth").over(group))
-        .withColumn(
-            "score",
-            F.when(F.col("has_meta"), 100).otherwise(0)
-            + F.when(F.col("meta_place") == "SameFolder", 2).otherwise(0)
-            + F.when(F.col("depth") == F.col("min_depth"), 5).otherwise(0)
-            + F.when(F.col("clean"), 1).otherwise(0),
+    groups = (
+        files.groupBy("size", "hash")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("depth").alias("min_depth"), F.bool_and("in_trash").alias("keeper_trash"),
+            F.count_if(~F.col("in_trash")).alias("n_outside"), F.count_if(F.col("has_meta")).alias("n_meta"),
+            F.count_if(F.col("has_meta") & ~F.col("in_trash")).alias("n_meta_outside"),
         )
-        .withColumns({
-            "n_outside": F.count_if(~F.col("in_trash")).over(group),
-            "n_meta": F.count_if(F.col("has_meta")).over(group),
-            "n_meta_outside": F.count_if(F.col("has_meta") & ~F.col("in_trash")).over(group),
-        })
-        .withColumns({
-            "place": F.row_number().over(rank),
-            "keeper": F.first("path").over(rank.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "keeper_trash": F.min("in_trash").over(whole),
-            "n_able": F.when(F.col("n_outside") > 0, F.col("n_meta_outside")).otherwise(F.col("n_meta")),
-        })
+        .filter("n > 1")
     )
+    scored = files.join(groups, ["size", "hash"]).withColumns({
+        "score": F.when(F.col("has_meta"), 100).otherwise(0)
+        + F.when(F.col("meta_place") == "SameFolder", 2).otherwise(0)
+        + F.when(F.col("depth") == F.col("min_depth"), 5).otherwise(0)
+        + F.when(F.col("clean"), 1).otherwise(0),
+        "n_able": F.when(F.col("n_outside") > 0, F.col("n_meta_outside")).otherwise(F.col("n_meta")),
+    })
+    order = F.struct("in_trash", (~F.col("has_meta")).alias("bare"), (-F.col("score")).alias("low"), F.length("path").alias("length"), F.lower("path").alias("folded"), "path")
+    best = scored.groupBy("size", "hash").agg(F.min(order).alias("best")).select("size", "hash", F.col("best.path").alias("keeper"))
+    scored = scored.join(best, ["size", "hash"])
     won = (
         F.when((F.col("n_able") == 0) & (F.col("n_meta") > 0), "KEEP: no copy outside trash has metadata; fallback order decides")
         .when(F.col("n_able") == 0, "KEEP: no copy in group has metadata; fallback order decides")
@@ -76,7 +75,7 @@ def choose_keeper(files: DataFrame) -> DataFrame:
         .when(F.col("has_meta"), "DELETE: another copy with metadata scored higher")
         .otherwise("DELETE: lower score than keeper")
     )
-    first = F.col("place") == 1
+    first = F.col("path") == F.col("keeper")
     return scored.withColumns({
         "recommendation": F.when(first, "KEEP").otherwise("DELETE"),
         "reason": F.when(first, won).otherwise(lost),

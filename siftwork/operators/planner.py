@@ -158,3 +158,42 @@ def albums_only(files: DataFrame, library: str = "Library") -> DataFrame:
     """Files of an album that aren't in its folder yet. Needs dir and album."""
     there = F.concat_ws("/", F.lit(library), F.lit("Albums"), S.safe_folder(F.col("album")))
     return files.filter((F.coalesce("album", F.lit("")) != "") & (F.lower("dir") != F.lower(there)))
+
+
+def deletion_plan(actions: DataFrame, typed: str) -> DataFrame:
+    """What a permanent deletion of quarantined files would remove: only after 'DELETE <number of files>' was typed."""
+    plan = actions.filter(F.col("action").isin("MovedMedia", "MovedMetadata")).select(F.col("destination").alias("path"), "size")
+    n = plan.count()
+    if typed != f"DELETE {n}":
+        raise ValueError(f"type 'DELETE {n}' to delete {n} files")
+    return plan
+
+
+def metadata_copy_plan(pairs: DataFrame) -> DataFrame:
+    """Copies of metadata from one file to another, each with the backup that is written first.
+
+    pairs: source, target, source_tags, target_tags (maps). Only tags that the target lacks are copied; nothing is planned where it has all.
+    """
+    absent = F.map_filter("source_tags", lambda k, v: ~F.map_contains_key("target_tags", k))
+    plan = pairs.select("source", "target", F.concat("target", F.lit("_original")).alias("backup"), absent.alias("tags"))
+    return plan.filter(F.size("tags") > 0)
+
+
+#: Width of a cell, in degrees, by which places meet zones.
+CELL = 1.0
+
+
+def zone_of(places: DataFrame, zones: DataFrame, default: str) -> DataFrame:
+    """places (lat, lon and others) with `zone`: that of the smallest box around them, else the default.
+
+    zones: zone, south, north, west, east, in degrees. An equi-join on cells of a degree: a box is a row in each cell
+    that it touches, a place one row, and no place is compared with boxes elsewhere.
+    """
+    grid = lambda low, high: F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL))
+    boxes = zones.withColumn("__area", (F.col("north") - F.col("south")) * (F.col("east") - F.col("west")))
+    boxes = boxes.withColumn("__y", F.explode(grid("south", "north"))).withColumn("__x", F.explode(grid("west", "east")))
+    keyed = places.withColumns({"__y": F.floor(F.col("lat") / CELL), "__x": F.floor(F.col("lon") / CELL)})
+    spots = keyed.select("lat", "lon", "__y", "__x").distinct()
+    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
+    near = spots.join(boxes, ["__y", "__x"]).filter(inside).groupBy("lat", "lon").agg(F.min(F.struct("__area", "zone")).alias("__best"))
+    return places.join(near, ["lat", "lon"], "left").select(*places.columns, F.coalesce("__best.zone", F.lit(default)).alias("zone"))

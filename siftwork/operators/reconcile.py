@@ -42,17 +42,15 @@ def archive_report(found: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def content_elsewhere(wanted: DataFrame, library: DataFrame, quarantine: DataFrame, hash_of: Column) -> DataFrame:
-    """wanted (id, size, content) with in_library, in_quarantine and other: a path of equal content, the library's first.
+    """wanted (size, content) with in_library, in_quarantine and other: a path of equal content, the library's first.
 
-    Only rows whose size occurs on the other side are hashed, on either side.
+    Contents are hashed while they are scanned, and only hashes move.
     """
     sides = library.withColumn("prio", F.lit(0)).unionByName(quarantine.withColumn("prio", F.lit(1)))
-    near = wanted.join(sides.select("size").distinct(), "size", "left_semi").select("id", "size", hash_of.alias("hash"))
-    far = sides.join(wanted.select("size").distinct(), "size", "left_semi").select("path", "size", "prio", hash_of.alias("hash"))
-    best = far.groupBy("size", "hash").agg(F.min(F.struct("prio", "path")).alias("b"))
-    hit = near.join(best, ["size", "hash"]).select("id", "b")
-    return wanted.join(hit, "id", "left").select(
-        *[c for c in wanted.columns if c != "content"], F.coalesce(F.col("b.prio") == 0, F.lit(False)).alias("in_library"),
+    best = sides.select("path", "size", "prio", hash_of.alias("__hash")).groupBy("size", "__hash").agg(F.min(F.struct("prio", "path")).alias("b"))
+    names = [c for c in wanted.columns if c != "content"]
+    return wanted.select(*names, hash_of.alias("__hash")).join(best, ["size", "__hash"], "left").select(
+        *names, F.coalesce(F.col("b.prio") == 0, F.lit(False)).alias("in_library"),
         F.coalesce(F.col("b.prio") == 1, F.lit(False)).alias("in_quarantine"), F.coalesce("b.path", F.lit("")).alias("other"),
     )
 
@@ -64,17 +62,22 @@ def verify_backup(source: DataFrame, backup: DataFrame) -> DataFrame:
 
 
 def album_members(current: DataFrame, lost: DataFrame, library: DataFrame) -> DataFrame:
-    """A row an album: files now there and found again in the library by name and fingerprint, and how many are lost.
+    """A row an album: how many files are there, the first and last of them, and how many of those lost were found again.
 
     current and lost have album, path, base_name, fingerprint; library has path, base_name, fingerprint.
     """
+    every = album_files(current, lost, library)
+    once = every.filter("path IS NOT NULL").groupBy("album", "path").agg(F.count_if("was_lost").alias("recovered"))
+    there = once.groupBy("album").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_file"), F.max("path").alias("last_file"), F.sum("recovered").alias("recovered"))
+    gone = every.groupBy("album").agg(F.count_if(F.col("path").isNull()).alias("not_in_library"))
+    return gone.join(there, "album", "left").fillna(0, ["n_files", "recovered"]).select("album", "n_files", "first_file", "last_file", "recovered", "not_in_library")
+
+
+def album_files(current: DataFrame, lost: DataFrame, library: DataFrame) -> DataFrame:
+    """(album, path, was_lost): files now there, and lost ones as the library has them by name and fingerprint, null if it doesn't."""
     first = library.groupBy("base_name", "fingerprint").agg(F.min("path").alias("found"))
     again = lost.join(first, ["base_name", "fingerprint"], "left").select("album", F.col("found").alias("path"), F.lit(True).alias("was_lost"))
-    every = current.select("album", "path", F.lit(False).alias("was_lost")).unionByName(again)
-    return every.groupBy("album").agg(
-        F.sort_array(F.collect_set("path")).alias("files"), F.count_if(F.col("was_lost") & F.col("path").isNotNull()).alias("recovered"),
-        F.count_if(F.col("path").isNull()).alias("not_in_library"),
-    )
+    return current.select("album", "path", F.lit(False).alias("was_lost")).unionByName(again)
 
 
 def unchanged(expected: DataFrame, now: DataFrame, *keys: str) -> DataFrame:

@@ -2,31 +2,98 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalars as S
 
 
+#: Chunks a 64-bit value is cut into, and the bits that may differ in one: a pair within 4 * (FLIPS + 1) - 1 bits has
+#: a chunk of 16 bits that differs in FLIPS at most.
+CHUNKS, FLIPS = 4, 2
+
+
 def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, distance: int, on: Column | None = None) -> DataFrame:
     """Pairs whose 64-bit values differ in at most `distance` bits, with that number as `distance`.
 
-    The value is cut into distance + 1 chunks, one of which must be equal: an equi-join on (chunk
-    number, chunk). A pair comes from its first equal chunk only, so nothing is made distinct.
+    The value is cut into four chunks of 16 bits. In one of them a pair differs in distance // 4 bits at most, so
+    the left side looks for each chunk with each choice of so many bits flipped: an equi-join on (chunk
+    number, chunk) of 16 bits. That is 4 rows of the left for a distance up to 3, 68 up to 7 and 548 up to
+    11. Farther ones are refused: they would meet by chance. The smaller side belongs on the left.
+    A pair comes from its first chunk that is near enough, so nothing is made distinct.
     on: a further condition, checked inside the join.
     """
-    parts = min(64, distance + 1)
-    cut = lambda df, c, name: df.withColumn(name, F.array(*[S.chunk(F.col(c), i, parts) for i in range(parts)])).select(
+    flips = distance // CHUNKS
+    if flips > FLIPS:
+        raise ValueError(f"a distance of {distance} bits is beyond what chunks of 16 bits select")
+    width = 64 // CHUNKS
+    masks = [sum(1 << i for i in c) for k in range(flips + 1) for c in itertools.combinations(range(width), k)]
+    cut = lambda df, c, name: df.withColumn(name, F.array(*[S.chunk(F.col(c), i, CHUNKS) for i in range(CHUNKS)])).select(
         "*", F.posexplode(name).alias(f"{name}_i", f"{name}_v")
     )
-    x, y = cut(left, a, "__a"), cut(right, b, "__b")
-    both = x.join(y, (F.col("__a_i") == F.col("__b_i")) & (F.col("__a_v") == F.col("__b_v")))
+    y = cut(right, b, "__b")
+    x = cut(left, a, "__a").withColumn("__m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+    both = x.withColumn("__v", F.col("__a_v").bitwiseXOR(F.col("__m"))).join(y, (F.col("__a_i") == F.col("__b_i")) & (F.col("__v") == F.col("__b_v")))
     first = F.lit(True)
-    for i in range(parts - 1):
-        first = first & ((F.col("__a_i") <= i) | (F.col("__a")[i] != F.col("__b")[i]))
+    for i in range(CHUNKS - 1):
+        first = first & ((F.col("__a_i") <= i) | (F.bit_count(F.col("__a")[i].bitwiseXOR(F.col("__b")[i])) > flips))
     near = S.hamming(F.col(a), F.col(b))
     both = both.filter((near <= distance) & first if on is None else on & (near <= distance) & first)
-    return both.withColumn("distance", near).drop("__a", "__b", "__a_i", "__b_i", "__a_v", "__b_v")
+    return both.withColumn("distance", near).drop("__a", "__b", "__a_i", "__b_i", "__a_v", "__b_v", "__m", "__v")
+
+
+def similar_pictures(pictures: DataFrame, distance: int = 3, residual: float = 6.0) -> DataFrame:
+    """(a, b, rotation, distance, diff) of pictures that look alike, a < b, with a turned by rotation * 90 degrees.
+
+    pictures: id, hashes and greys (each an array of four, one a rotation; a grey is a flat array), is_new. At least
+    one of a pair is new. The first rotation within `distance` bits and a mean difference of `residual` counts.
+    """
+    turned = pictures.select(
+        F.col("id").alias("a"), F.col("is_new").alias("new_a"), "greys", F.posexplode("hashes").alias("rotation", "ha")
+    ).select("a", "new_a", F.get("greys", F.col("rotation")).alias("grey_a"), "rotation", "ha")
+    plain = pictures.select(F.col("id").alias("b"), F.col("is_new").alias("new_b"), F.get("greys", F.lit(0)).alias("grey_b"), F.get("hashes", F.lit(0)).alias("hb"))
+    near = hamming_join(turned, plain, "ha", "hb", distance, (F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b")))
+    diff = S.mean_difference(F.col("grey_a"), F.col("grey_b"))
+    near = near.withColumn("diff", diff).filter(F.col("diff") <= residual)
+    return near.groupBy("a", "b").agg(F.min(F.struct("rotation", "distance", "diff")).alias("m")).select("a", "b", "m.*")
+
+
+def messenger_matches(copies: DataFrame, originals: DataFrame, distance: int = 6, aspect: float = 0.03, cosine: float | None = None) -> DataFrame:
+    """(copy, original, distance): the original that looks most like each copy, the larger of equals, then the smaller id.
+
+    Both sides have id, hash, width, height and, where `cosine` is given, embedding of length 1. The shapes differ by
+    `aspect` of the copy's at most.
+    """
+    side = lambda df, x: df.select(
+        F.col("id").alias(x), F.col("hash").alias(f"h_{x}"), (F.col("width") / F.greatest("height", F.lit(1))).alias(f"r_{x}"),
+        (F.col("width") * F.col("height")).alias(f"area_{x}"), *([F.col("embedding").alias(f"e_{x}")] if cosine is not None else []),
+    )
+    fits = F.abs(F.col("r_original") - F.col("r_copy")) <= aspect * F.col("r_copy")
+    if cosine is not None:
+        fits = fits & (S.dot(F.col("e_copy"), F.col("e_original")) >= cosine)
+    near = hamming_join(side(copies, "copy"), side(originals, "original"), "h_copy", "h_original", distance, fits)
+    best = near.groupBy("copy").agg(F.min(F.struct("distance", (-F.col("area_original")).alias("low"), "original")).alias("m"))
+    return best.select("copy", F.col("m.original").alias("original"), F.col("m.distance").alias("distance"))
+
+
+def video_copies(new: DataFrame, every: DataFrame, distance: int = 8, seconds: float = 0.5) -> DataFrame:
+    """(id, copy_of): the better copy of each new video that is as long to `seconds` and alike in all three frames.
+
+    Both have id, duration, frames (hashes), in_library, size. Library first, then the larger, then the smaller
+    id; a copy that is neither in the library nor larger is no better one.
+    """
+    side = lambda df, x: df.filter(F.size("frames") == 3).select(
+        F.col("id").alias(x), F.col("duration").alias(f"d_{x}"), F.col("frames").alias(f"f_{x}"), F.get("frames", F.lit(0)).alias(f"h_{x}"),
+        F.col("in_library").alias(f"l_{x}"), F.col("size").alias(f"s_{x}"),
+    )
+    on = (F.col("n") != F.col("m")) & (F.abs(F.col("d_n") - F.col("d_m")) <= seconds)
+    for i in (1, 2):
+        on = on & (S.hamming(F.col("f_n")[i], F.col("f_m")[i]) <= distance)
+    near = hamming_join(side(new.filter("duration > 0"), "n"), side(every, "m"), "h_n", "h_m", distance, on & (F.col("l_m") | (F.col("s_m") > F.col("s_n"))))
+    best = near.groupBy("n").agg(F.min(F.struct((~F.col("l_m")).alias("outside"), (-F.col("s_m")).alias("low"), "m")).alias("b"))
+    return best.select(F.col("n").alias("id"), F.col("b.m").alias("copy_of"))
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: float, on: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from siftwork.functions import scalars as S
 from siftwork.operators import dedupe, sidecars, tables
 from siftwork.plans import roles
 from siftwork.plans.register import query
-from siftwork.session import table
+from siftwork.session import cut, table
 
 
 @query("SELECT doc_id, size FROM (SELECT doc_id, strlen(text) AS size, count(*) OVER (PARTITION BY strlen(text)) AS n FROM documents) WHERE n > 1 AND size > 0")
@@ -25,15 +25,14 @@ def unique_by_size_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strlen(text) AS size, sha256(text) AS hash, count(*) AS n_files, strlen(text) * (count(*) - 1) AS reclaim FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only texts whose size occurs twice are hashed."""
-    docs = table(spark, sf_dir, "documents").select("text", F.octet_length("text").cast("long").alias("size"))
-    return dedupe.duplicate_groups(dedupe.size_candidates(docs).select("size", S.content_hash(F.encode("text", "UTF-8")).alias("hash")))
+    """Texts are hashed while they are scanned; only hashes move."""
+    return dedupe.duplicate_groups(roles.inventory(spark, sf_dir).select("size", "hash"))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = roles.inventory(spark, sf_dir).filter("size > 0")
-    side = roles.sidecars(spark, sf_dir)
-    hits = sidecars.match_sidecars(files, side)
+    """Members of duplicate groups, with their sidecars: files alone in their content meet none."""
+    files = cut(dedupe.duplicate_members(roles.inventory(spark, sf_dir).filter("size > 0")))
+    hits = sidecars.match_sidecars(files, roles.sidecars(spark, sf_dir))
     full = sidecars.attach(files, hits).withColumns({
         "depth": S.path_depth(F.col("path")), "clean": S.is_clean_name(F.col("name")), "in_trash": S.in_trash(F.col("path")),
     })
@@ -141,14 +140,18 @@ def sidecar_merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _CTE + """SELECT DISTINCT l.sidecar FROM hits l JOIN members m ON m.path = l.path AND m.recommendation = 'DELETE'
-    WHERE l.sidecar IN (SELECT h.sidecar FROM hits h WHERE h.path NOT IN (SELECT path FROM members WHERE recommendation = 'DELETE'))"""
+    """WITH f AS (SELECT DISTINCT source, lang, doc_id % 29 AS k, source IN ('src1', 'src2', 'src4') AND doc_id % 29 % 4 < 3 AS loser FROM documents),
+    s AS (SELECT DISTINCT lang, doc_id % 29 AS k, concat(source, '/Google Photos/', lang, '/IMG_', doc_id % 29, '.jpg.supplemental-metadata.json') AS sidecar FROM documents WHERE source IN ('src1', 'src5'))
+    SELECT DISTINCT sidecar FROM s WHERE EXISTS (SELECT 1 FROM f WHERE f.lang = s.lang AND f.k = s.k AND f.loser) AND EXISTS (SELECT 1 FROM f WHERE f.lang = s.lang AND f.k = s.k AND NOT f.loser)"""
 )
 def needed_by_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = roles.inventory(spark, sf_dir, hashed=False)
-    hits = sidecars.match_sidecars(files, roles.sidecars(spark, sf_dir))
-    losers = members(spark, sf_dir).filter("recommendation = 'DELETE'").select("path")
-    return sidecars.still_needed(losers, files.join(losers, "path", "left_anti"), hits)
+    """Sidecars that losers and kept files of several parts share, by folder and name below the part."""
+    k = (F.col("doc_id") % 29).cast("string")
+    docs = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("/Google Photos/"), "lang", F.lit("/IMG_"), k, F.lit(".jpg")).alias("rel"), (F.col("doc_id") % 29 % 4 < 3).alias("often"))
+    docs = docs.distinct()
+    files = docs.select(F.concat("source", "rel").alias("path"), (F.col("source").isin("src1", "src2", "src4") & F.col("often")).alias("loser"))
+    side = docs.filter(F.col("source").isin("src1", "src5")).select(F.concat("source", "rel", F.lit(S.SIDECAR_SUFFIX)).alias("path"))
+    return sidecars.still_needed(files.filter("loser"), files.filter("NOT loser"), sidecars.match_sidecars(files, side))
 
 
 @query(
@@ -248,3 +251,52 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flatness_topk_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.top_share(table(spark, sf_dir, "documents"), "lang", "source").select("lang", F.bround("share", 9).alias("share"))
+
+
+@query(
+    r"""SELECT page_id, regexp_matches(url, '[?#]') AS odd, concat('"', replace(url, '"', '""'), '"') AS csv,
+      replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe,
+      CASE WHEN n >= 1000000 THEN concat(round_even(n / 1000000.0, 1)::double, ' MB') WHEN n >= 1000 THEN concat(round_even(n / 1000.0, 1)::double, ' kB') ELSE concat(n, ' B') END AS size,
+      regexp_matches(p, '(^|[/\\])\.\.([/\\]|$)') OR regexp_matches(p, '^([/\\]|[A-Za-z]:)') AS unsafe, regexp_matches(concat(p, CASE WHEN page_id % 3 = 0 THEN '[1]' ELSE '' END), '[][]') AS wildcard
+    FROM (SELECT *, strlen(html) AS n, CASE page_id % 4 WHEN 0 THEN concat('../', page_id) WHEN 1 THEN concat('/', page_id) WHEN 2 THEN concat('a/..', page_id) ELSE concat('a/', page_id) END AS p FROM pages)"""
+)
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatters for pages and lists, and the path tests."""
+    i = F.col("page_id")
+    name = i.cast("string")
+    path = F.when(i % 4 == 0, F.concat(F.lit("../"), name)).when(i % 4 == 1, F.concat(F.lit("/"), name)).when(i % 4 == 2, F.concat(F.lit("a/.."), name)).otherwise(F.concat(F.lit("a/"), name))
+    marked = F.concat(path, F.when(i % 3 == 0, "[1]").otherwise(""))
+    return table(spark, sf_dir, "pages").select(
+        i, F.col("url").rlike("[?#]").alias("odd"), S.csv_quote(F.col("url")).alias("csv"), S.html_escape(F.substring("html", 1, 300)).alias("safe"),
+        S.bytes_text(F.octet_length("html").cast("long")).alias("size"), S.unsafe_entry(path).alias("unsafe"), S.has_wildcard(marked).alias("wildcard"),
+    )
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN lower(model) LIKE lower(make) || '%' THEN model ELSE trim(concat(make, ' ', model)) END AS camera FROM
+    (SELECT p_partkey, trim(coalesce(nullif(p_brand, 'Brand#11'), '')) AS make, trim(CASE WHEN p_partkey % 2 = 0 THEN concat(lower(p_brand), ' ', p_type) ELSE p_type END) AS model FROM part)"""
+)
+def camera_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make and model in one, without the make twice."""
+    make = F.when(F.col("p_brand") != "Brand#11", F.col("p_brand"))
+    model = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lower("p_brand"), F.lit(" "), "p_type")).otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.camera_label(make, model).alias("camera"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN parts[4] NOT SIMILAR TO 'Photos from [0-9]{4}' AND len(parts) = 4 AND parts[2] = 'Takeout' AND parts[3] = 'Google Photos' THEN parts[4] END AS album
+    FROM (SELECT doc_id, string_split(CASE doc_id % 5 WHEN 0 THEN concat(source, '/Takeout/Google Photos/', lang) WHEN 1 THEN concat(source, '/Takeout/Google Photos/Photos from ', 2000 + doc_id % 20)
+      WHEN 2 THEN concat(source, '/Takeout/Google Photos/', lang, '/deeper') WHEN 3 THEN concat(source, '/Takeout/Drive/', lang) ELSE concat('Takeout/Google Photos/', lang) END, '/') AS parts FROM documents)"""
+)
+def album_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The album of a folder: exactly '<part>/Takeout/Google Photos/<album>', and no year's folder."""
+    i = F.col("doc_id")
+    at = lambda *parts: F.concat(*[F.lit(p) if "/" in p else F.col(p) for p in parts])
+    folder = (
+        F.when(i % 5 == 0, at("source", "/Takeout/Google Photos/", "lang"))
+        .when(i % 5 == 1, F.concat("source", F.lit("/Takeout/Google Photos/Photos from "), (2000 + i % 20).cast("string")))
+        .when(i % 5 == 2, at("source", "/Takeout/Google Photos/", "lang", "/deeper"))
+        .when(i % 5 == 3, at("source", "/Takeout/Drive/", "lang"))
+        .otherwise(at("Takeout/Google Photos/", "lang"))
+    )
+    return table(spark, sf_dir, "documents").select(i, S.album_of(folder).alias("album"))

@@ -9,17 +9,37 @@ from siftwork.functions import scalars as S
 from siftwork.operators import decisions as D
 from siftwork.operators import planner, similar
 from siftwork.plans.register import query
-from siftwork.session import table
-
-#: The largest distance of a pair of fingerprints; the smallest that gives rows on the smallest tables.
-NEAR = 16
+from siftwork.session import cut, table
 
 BITS = """bits AS (
   SELECT vec_id, label, embedding, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > list_sort(embedding[2:])[(len(embedding)) // 2] THEN '1' ELSE '0' END), '') AS bits
   FROM embeddings)"""
-PAIRS = f"""WITH {BITS}, pairs AS (
-  SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits::BIT, b.bits::BIT))::int AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id
-  WHERE bit_count(xor(a.bits::BIT, b.bits::BIT)) <= {NEAR})"""
+#: Pictures out of parts: three of a kind share a hash and a grey up to few bits and small differences; the third is turned.
+PICTURES = """h AS (SELECT p_partkey AS id, p_partkey // 3 AS kind, p_partkey % 3 AS m, p_size AS s, p_partkey % 7 < 4 AS is_new, unnest([0, 1, 2, 3]) AS r FROM part),
+  x AS (SELECT *, CASE WHEN m = 2 THEN (r + kind) % 4 ELSE r END AS q FROM h),
+  y AS (SELECT *, sha256(concat(kind, '-', q)) AS d, CASE m WHEN 0 THEN 0 WHEN 1 THEN 1 << (kind % 31)::int ELSE (1 << (kind % 13)::int) + (1 << (13 + kind % 9)::int) + CASE WHEN kind % 5 < 3 THEN 0 ELSE (7 << 24) END END AS noise FROM x),
+  z AS (SELECT id, m, s, is_new, kind, r, ('0x' || substr(d, 1, 8))::BIGINT AS hi, xor(('0x' || substr(d, 9, 8))::BIGINT, noise::BIGINT) AS lo,
+    list_transform([0, 1, 2, 3], lambda i: (('0x' || substr(d, 17 + 2 * i::int, 2))::INT + m * (kind % 8))::DOUBLE) AS grey FROM y)"""
+PAIRS = f"""WITH {PICTURES}, near AS (SELECT a.id AS a, b.id AS b, a.r AS rotation, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::int AS distance,
+    (abs(a.grey[1] - b.grey[1]) + abs(a.grey[2] - b.grey[2]) + abs(a.grey[3] - b.grey[3]) + abs(a.grey[4] - b.grey[4])) / 4 AS diff
+    FROM z a JOIN z b ON a.id < b.id AND b.r = 0 AND (a.is_new OR b.is_new) AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3),
+  pairs AS (SELECT a, b, arg_min(rotation, rotation)::int AS rotation, arg_min(distance, rotation) AS distance, arg_min(diff, rotation) AS diff FROM near WHERE diff <= 6 GROUP BY a, b)"""
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, kind, m, s, is_new, hashes and greys of four rotations."""
+    i = F.col("p_partkey")
+    kind, m = F.floor(i / 3), i % 3
+    rows = table(spark, sf_dir, "part").select(i.alias("id"), kind.alias("kind"), m.alias("m"), F.col("p_size").alias("s"), (i % 7 < 4).alias("is_new"))
+    bit = lambda n: F.expr(f"shiftleft(1L, cast({n} as int))")
+    noise = F.when(F.col("m") == 0, F.lit(0).cast("long")).when(F.col("m") == 1, bit("kind % 31")).otherwise(
+        bit("kind % 13") + bit("13 + kind % 9") + F.when(F.col("kind") % 5 < 3, 0).otherwise(7 << 24)
+    )
+    digest = lambda r: F.sha2(F.concat(F.col("kind").cast("string"), F.lit("-"), F.when(F.col("m") == 2, (F.col("kind") + r) % 4).otherwise(r).cast("string")), 256)
+    hex_ = lambda d, at, n: F.conv(F.substring(d, at, n), 16, 10).cast("long")
+    hashes = [F.shiftleft(hex_(digest(r), 1, 8), 32).bitwiseOR(hex_(digest(r), 9, 8).bitwiseXOR(noise)) for r in range(4)]
+    greys = [F.array(*[(hex_(digest(r), 17 + 2 * k, 2) + F.col("m") * (F.col("kind") % 8)).cast("double") for k in range(4)]) for r in range(4)]
+    return cut(rows.withColumns({"hashes": F.array(*hashes), "greys": F.array(*greys)}))  # stands for a stored table
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +48,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fingerprints(spark, sf_dir).select("vec_id", "hash")
-    a, b = (own.select(F.col("vec_id").alias(x), F.col("hash").alias(f"h{x}")) for x in "ab")
-    return similar.hamming_join(a, b, "ha", "hb", NEAR, F.col("a") < F.col("b")).select("a", "b", "distance")
+    return similar.similar_pictures(pictures(spark, sf_dir))
 
 
 @query(f"WITH {BITS} SELECT vec_id, bits, substr(bits, 49, 16) AS chunk0 FROM bits")
@@ -40,29 +58,50 @@ def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("vec_id", wide(F.col("hash"), 64).alias("bits"), wide(S.chunk(F.col("hash"), 0, 4), 16).alias("chunk0"))
 
 
-@query(f"{PAIRS} SELECT a, b, distance FROM pairs")
+@query(f"{PAIRS} SELECT a, b, rotation, distance, diff FROM pairs")
 def hamming_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures alike within 3 bits at any of four rotations and a mean difference of 6, one of them new."""
     return pairs(spark, sf_dir)
 
 
 @query(
-    f"""WITH {BITS}, near AS (SELECT w.vec_id AS copy, o.vec_id AS original, bit_count(xor(w.bits::BIT, o.bits::BIT))::int AS distance, o.label AS area
-      FROM bits w JOIN bits o ON w.label % 2 = 0 AND o.label % 2 = 1 AND bit_count(xor(w.bits::BIT, o.bits::BIT)) <= {NEAR + 4}
-      AND list_dot_product(w.embedding::DOUBLE[], o.embedding::DOUBLE[]) >= 0.3)
+    f"""WITH {PICTURES}, v AS (SELECT id, m, hi, lo, s + 20 AS width, 40 + kind % 3 AS height, cos(m * (kind % 6) * 0.1) AS ex, sin(m * (kind % 6) * 0.1) AS ey FROM z WHERE r = 0),
+    near AS (SELECT c.id AS copy, o.id AS original, (bit_count(xor(c.hi, o.hi)) + bit_count(xor(c.lo, o.lo)))::int AS distance, o.width * o.height AS area FROM v c JOIN v o
+      ON c.m = 1 AND o.m <> 1 AND bit_count(xor(c.hi, o.hi)) + bit_count(xor(c.lo, o.lo)) <= 6 AND abs(o.width / o.height - c.width / c.height) <= 0.2 * (c.width / c.height)
+      AND c.ex * o.ex + c.ey * o.ey >= 0.92)
     SELECT copy, original, distance FROM (SELECT *, row_number() OVER (PARTITION BY copy ORDER BY distance, area DESC, original) AS r FROM near) WHERE r = 1"""
 )
 def hamming_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest original of each copy, by distance, area and id; cosine as a last gate."""
-    own = fingerprints(spark, sf_dir)
-    copies = own.filter("label % 2 = 0").select(F.col("vec_id").alias("copy"), F.col("hash").alias("hc"), F.col("embedding").alias("ec"))
-    others = own.filter("label % 2 = 1").select(F.col("vec_id").alias("original"), F.col("hash").alias("ho"), F.col("embedding").alias("eo"), "label")
-    near = similar.hamming_join(copies, others, "hc", "ho", NEAR + 4).filter(S.dot(F.col("ec"), F.col("eo")) >= 0.3)
-    return similar.best_match(near, "copy", F.col("distance"), F.desc("label"), F.col("original")).select("copy", "original", "distance")
+    """The nearest original of each copy within 6 bits, of about its shape and a cosine of 0.92.
+
+    Parts of a kind differ in size at random, so shapes may differ by a fifth here; the operator's own 3 % leave few rows.
+    """
+    angle = F.col("m") * (F.col("kind") % 6) * 0.1
+    own = pictures(spark, sf_dir).select(
+        "id", "m", F.get("hashes", F.lit(0)).alias("hash"), (F.col("s") + 20).alias("width"), (F.col("kind") % 3 + 40).alias("height"), F.array(F.cos(angle), F.sin(angle)).alias("embedding")
+    )
+    return similar.messenger_matches(own.filter("m = 1"), own.filter("m <> 1"), aspect=0.2, cosine=0.92)
 
 
-@query(f"{PAIRS} SELECT id AS vec_id, count(*) AS n_pairs FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY id HAVING count(*) >= 1")
+@query(
+    f"""WITH {PICTURES}, f AS (SELECT id, list(hi ORDER BY r) FILTER (r < 3) AS hi, list(lo ORDER BY r) FILTER (r < 3) AS lo, max(kind % 50 + m * 0.2) AS duration, bool_or(m = 2) AS lib, max(s) AS size, bool_or(m < 2) AS new FROM z WHERE m < 2 OR kind % 4 = 0 GROUP BY id),
+    near AS (SELECT n.id, o.id AS other, o.lib, o.size FROM f n JOIN f o ON n.new AND n.duration > 0 AND n.id <> o.id AND abs(n.duration - o.duration) <= 0.5 AND (o.lib OR o.size > n.size)
+      AND bit_count(xor(n.hi[1], o.hi[1])) + bit_count(xor(n.lo[1], o.lo[1])) <= 8 AND bit_count(xor(n.hi[2], o.hi[2])) + bit_count(xor(n.lo[2], o.lo[2])) <= 8
+      AND bit_count(xor(n.hi[3], o.hi[3])) + bit_count(xor(n.lo[3], o.lo[3])) <= 8)
+    SELECT id, other AS copy_of FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lib DESC, size DESC, other) AS r FROM near) WHERE r = 1"""
+)
+def video_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better copy of each new clip: as long to half a second, all three frames within 8 bits."""
+    own = pictures(spark, sf_dir).filter("m < 2 OR kind % 4 = 0").select(
+        "id", (F.col("kind") % 50 + F.col("m") * 0.2).alias("duration"), F.slice("hashes", 1, 3).alias("frames"), (F.col("m") == 2).alias("in_library"), F.col("s").alias("size")
+    )
+    return similar.video_copies(own.filter("NOT in_library"), own)
+
+
+@query(f"{PAIRS} SELECT id, count(*) AS n_pairs FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY id HAVING count(*) > 1")
 def pair_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_pairs")).filter("n_pairs >= 1")
+    """Pictures that are in more than one pair."""
+    return pairs(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_pairs")).filter("n_pairs > 1")
 
 
 @query(
@@ -130,11 +169,18 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.col("s.prompt").alias("prompt"), F.bround("s.c", 6).alias("cosine"), (F.col("i") + 1).alias("place"))
 
 
+#: Prompts at most that ride along with every row.
+PROMPTS = 10_000
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and its cosine with the mean of every label; labels are few and stand for prompts."""
     vectors = table(spark, sf_dir, "embeddings")
-    means = similar.mean_vector(vectors, "label", "embedding").agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("prompt"), "mean"))).alias("prompts"))
-    return vectors.crossJoin(F.broadcast(means)).select(  # one row
+    means = cut(similar.mean_vector(vectors, "label", "embedding"))
+    if means.count() > PROMPTS:
+        raise ValueError(f"more than {PROMPTS} prompts don't ride along in one row")
+    means = means.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("prompt"), "mean"))).alias("prompts"))
+    return vectors.crossJoin(F.broadcast(means)).select(  # one row of bounded size
         "vec_id", "label", F.transform("prompts", lambda p: F.struct(p["prompt"].alias("prompt"), S.dot(F.col("embedding"), p["mean"]).alias("c"))).alias("scores")
     )
 

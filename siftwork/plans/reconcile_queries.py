@@ -9,7 +9,8 @@ from siftwork.functions import scalars as S
 from siftwork.operators import decisions as D
 from siftwork.operators import planner, reconcile, tables
 from siftwork.plans.register import query
-from siftwork.session import table
+from siftwork.session import cut, table
+from siftwork.sources import files
 from siftwork.streaming import events as stream
 
 ENTRY = "concat('Takeout/', CASE WHEN l_linenumber = 7 THEN 'Google Photos/Trash/' ELSE '' END, l_orderkey, '_', l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN '.json' ELSE '.jpg' END)"
@@ -20,11 +21,13 @@ _ZIP = f"""lines AS (SELECT *, {ENTRY} AS entry, l_quantity::bigint AS size, l_o
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as archive entries; a key that repeats is one entry."""
+    """Lines as archive entries; a key that repeats is one entry. Worked out once for all that is asked of them."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))
     lines = lines.select("l_orderkey", "l_linenumber", "x.*")
-    return lines.select(
-        F.expr(ENTRY).alias("entry"), F.col("l_quantity").cast("long").alias("size"), F.floor(F.col("l_orderkey") / 16).alias("archive"), "l_suppkey", "l_orderkey"
+    return cut(
+        lines.select(
+            F.expr(ENTRY).alias("entry"), F.col("l_quantity").cast("long").alias("size"), F.floor(F.col("l_orderkey") / 16).alias("archive"), "l_suppkey", "l_orderkey"
+        )
     )
 
 
@@ -251,9 +254,7 @@ def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("album"), F.concat(F.lit("p"), F.lpad(i.cast("string"), 12, "0")).alias("path"), (i % 50).alias("base_name"), F.sha2(F.encode("text", "UTF-8"), 256).alias("fingerprint"), (i % 3).alias("k")
     )
-    albums = reconcile.album_members(docs.filter("k = 1"), docs.filter("k = 0"), docs.filter("k <> 0").select("path", "base_name", "fingerprint"))
-    files = F.col("files")
-    return albums.select("album", F.size(files).cast("long").alias("n_files"), files[0].alias("first_file"), F.element_at(files, -1).alias("last_file"), "recovered", "not_in_library")
+    return reconcile.album_members(docs.filter("k = 1"), docs.filter("k = 0"), docs.filter("k <> 0").select("path", "base_name", "fingerprint"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -309,3 +310,40 @@ def triage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact rows of a reviewer's page: one category, from a confidence on, with a text in their name."""
     shown = _overlay(spark, sf_dir).filter((F.col("category") == "en") & (F.col("confidence") >= 0.25) & F.col("doc_id").cast("string").contains("7"))
     return shown.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("category").alias("c"), F.col("suggestion").alias("s"), F.col("bytes").alias("b"))).alias("row"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'ReviewRequired' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'AlreadyInQuarantine'
+      WHEN event_id % 3 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN 'ReviewRequired' WHEN event_id % 17 = 0 THEN 'QuarantineFailedRolledBack' ELSE 'MovedMedia' END AS outcome FROM events"""
+)
+def quarantine_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each planned move comes to."""
+    by = lambda n: F.col("event_id") % n == 0
+    path = F.when(by(13), "a[1].jpg").otherwise("a.jpg")
+    return table(spark, sf_dir, "events").select("event_id", D.quarantine_outcome(~by(5), ~by(7), by(3), by(2), by(11), path, ~by(17)).alias("outcome"))
+
+
+_BOXES = [("Asia/Hong_Kong", 22.1, 22.6, 113.8, 114.4), ("Asia/Shanghai", 18.0, 54.0, 73.0, 135.0), ("Europe/Berlin", 47.0, 55.0, 6.0, 15.0), ("Europe/Paris", 42.0, 51.0, -5.0, 8.0), ("America/New_York", 25.0, 45.0, -85.0, -67.0)]
+
+
+@query(
+    "WITH z(zone, south, north, west, east) AS (VALUES " + ", ".join(map(str, _BOXES)) + """), p AS (SELECT c_custkey, (c_custkey * 37 % 1800) / 10.0::double - 90 AS lat, (c_custkey * 101 % 3600) / 10.0::double - 180 AS lon FROM customer)
+    SELECT c_custkey, lat, lon, coalesce((SELECT arg_min(zone, (north - south) * (east - west)) FROM z WHERE lat BETWEEN south AND north AND lon BETWEEN west AND east), 'UTC') AS zone FROM p"""
+)
+def zones_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone around each place, else UTC."""
+    key = F.col("c_custkey")
+    places = table(spark, sf_dir, "customer").select(key, ((key * 37 % 1800) / F.lit(10.0) - 90).alias("lat"), ((key * 101 % 3600) / F.lit(10.0) - 180).alias("lon"))
+    return planner.zone_of(places, spark.createDataFrame(_BOXES, "zone string, south double, north double, west double, east double"), "UTC")
+
+
+@query(
+    r"""SELECT event_id AS entry_id, concat('out/', e) AS destination, CASE WHEN regexp_matches(e, '(^|/)\.\.(/|$)') THEN 'Blocked' WHEN a <> min(a) OVER (PARTITION BY lower(e)) THEN 'Conflict' ELSE 'Extract' END AS action
+    FROM (SELECT event_id, concat('z', event_id % 3) AS a, CASE WHEN event_id % 11 = 0 THEN concat('../', event_id) ELSE concat('d/', event_id // 4, '.jpg') END AS e FROM events)"""
+)
+def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each entry of the archives would go; unsafe ones and second ones of a place don't."""
+    i = F.col("event_id")
+    entry = F.when(i % 11 == 0, F.concat(F.lit("../"), i.cast("string"))).otherwise(F.concat(F.lit("d/"), F.floor(i / 4).cast("string"), F.lit(".jpg")))
+    entries = table(spark, sf_dir, "events").select(i.alias("entry_id"), F.concat(F.lit("z"), (i % 3).cast("string")).alias("archive"), entry.alias("entry"), F.lit(False).alias("unreadable"))
+    return files.extraction_plan(entries, "out").select("entry_id", "destination", "action")

@@ -125,7 +125,7 @@ def test_copy_and_video_tables(spark):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=2, max_size=20), st.integers(0, 6))
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=2, max_size=20), st.integers(0, 11))
 def test_hamming_join_is_brute_force(spark, values, distance):
     values = values + [values[0] ^ 1, values[-1] ^ 5]
     rows = spark.createDataFrame(list(enumerate(values)), "i long, h long")
@@ -135,6 +135,33 @@ def test_hamming_join_is_brute_force(spark, values, distance):
     assert got == {(i, j) for i, j in itertools.combinations(range(len(values)), 2) if bits(values[i], values[j]) <= distance}
 
 
+def test_hamming_join_refuses_what_meets_by_chance(spark):
+    rows = spark.createDataFrame([(1, 1)], "i long, h long")
+    with pytest.raises(ValueError):
+        similar.hamming_join(rows, rows.withColumnRenamed("h", "g"), "h", "g", 12)
+
+
+def test_similar_pictures(spark):
+    grey = [0.0] * 4
+    rows = [
+        (1, [0, 10**9, 2**40, 77], [grey, grey, [9.0] * 4, grey], True), (2, [7, 1, 2, 3], [grey] * 4, False), (3, [2**40 + 1, 5, 6, 8], [[8.0] * 4] * 4, False),
+        (4, [0xFFFF, 11, 12, 13], [grey] * 4, True), (5, [7, 1, 2, 3], [[7.0] * 4] * 4, False),
+    ]
+    df = spark.createDataFrame(rows, "id long, hashes array<long>, greys array<array<double>>, is_new boolean")
+    assert {(r.a, r.b, r.rotation, r.distance, r["diff"]) for r in similar.similar_pictures(df).collect()} == {(1, 2, 0, 3, 0.0), (1, 3, 2, 1, 1.0)}
+
+
+def test_messenger_and_video_matches(spark):
+    columns = "id long, hash long, width int, height int, embedding array<double>"
+    copies = spark.createDataFrame([(1, 0, 100, 100, [1.0, 0.0]), (2, 2**50, 100, 50, [1.0, 0.0])], columns)
+    originals = spark.createDataFrame([(11, 63, 102, 100, [1.0, 0.0]), (12, 1, 90, 100, [1.0, 0.0]), (13, 63, 204, 200, [1.0, 0.0]), (14, 0, 100, 100, [0.0, 1.0]), (15, 127, 100, 100, [1.0, 0.0])], columns)
+    assert [tuple(r) for r in similar.messenger_matches(copies, originals, cosine=0.92).collect()] == [(1, 13, 6)]
+    assert [tuple(r) for r in similar.messenger_matches(copies, originals).collect()] == [(1, 14, 0)]
+    rows = [(1, 10.0, [0, 0, 0], False, 5), (2, 10.5, [1, 2, 255], False, 9), (3, 10.4, [0, 0, 511], True, 50), (4, 9.4, [0, 0, 0], True, 50), (5, 9.9, [0, 0, 0], False, 4), (6, 0.0, [0, 0, 0], False, 1), (7, 10.2, [0, 0], False, 90)]
+    every = spark.createDataFrame(rows, "id long, duration double, frames array<long>, in_library boolean, size long")
+    assert {(r.id, r.copy_of) for r in similar.video_copies(every.filter("NOT in_library"), every).collect()} == {(1, 2), (2, 3), (5, 4)}
+
+
 def test_band_join(spark):
     xs = [0.0, 0.4, 0.5, 1.0, -0.2, 7.0]
     rows = spark.createDataFrame(list(enumerate(xs)), "i long, v double")
@@ -177,15 +204,69 @@ def test_group_numbers_and_sample(spark):
 def test_archives(spark, tmp_path):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("Takeout/a.jpg", b"123")
+        z.writestr(zipfile.ZipInfo("Takeout/a.jpg", (2023, 5, 6, 7, 8, 10)), b"123")
         z.writestr("Takeout/dir/", b"")
+        z.writestr("../evil.jpg", b"1")
     (tmp_path / "a.zip").write_bytes(raw.getvalue())
     (tmp_path / "b.zip").write_bytes(b"no archive")
-    got = {(r.entry, r.size, r.unreadable) for r in sources.list_archives(sources.scan(spark, str(tmp_path), content=True)).collect()}
-    assert got == {("Takeout/a.jpg", 3, False), (None, None, True)}
+    listed = sources.list_archives(sources.scan(spark, str(tmp_path)))
+    got = {(r.entry, r.size, r.modified if r.entry == "Takeout/a.jpg" else None, r.unreadable) for r in listed.collect()}
+    assert got == {("Takeout/a.jpg", 3, "2023-05-06 07:08:10", False), ("../evil.jpg", 1, None, False), (None, None, None, True)}
+    plan = sources.extraction_plan(listed, "out")
+    assert {r.entry: r.action for r in plan.collect()} == {"Takeout/a.jpg": "Extract", "../evil.jpg": "Blocked", None: "Unreadable"}
+    there = spark.createDataFrame([("out/Takeout/a.jpg", 2)], "path string, size long")
+    assert [r.status for r in sources.verify_extraction(plan, there).collect()] == ["SizeDiffers"]
+    assert [r.status for r in sources.verify_extraction(plan, there.limit(0)).collect()] == ["Missing"]
     assert [r[0] for r in spark.createDataFrame([("../x",), ("a/../../b",), ("/abs",), ("C:x",), ("fine/..x",)], "e string").select(S.unsafe_entry(F.col("e"))).collect()] == [True, True, True, True, False]
 
 
+def test_walk(spark, tmp_path):
+    base = tmp_path / "part1/Takeout/Google Photos"
+    for rel, data in (("Trip/a.jpg", b"1"), ("Trip/deep/b.jpg", b"22"), ("Trash/c.jpg", b"3"), ("Photos from 2020/d.jpg", b"4"), ("Trip/e.mp4", b"")):
+        (base / rel).parent.mkdir(parents=True, exist_ok=True)
+        (base / rel).write_bytes(data)
+    (base / "Trip/link").symlink_to(base / "Trip")
+    (base / f"Trip/a.jpg{S.SIDECAR_SUFFIX}").write_text("{}")
+    roots = {"Library": str(tmp_path), "Again": str(tmp_path) + "/", "Gone": str(tmp_path / "nowhere")}
+    files, errors = sources.walk(spark, roots)
+    name = lambda p: p.rsplit("/", 1)[1]
+    assert sorted(name(r.path) for r in files.collect()) == ["a.jpg", f"a.jpg{S.SIDECAR_SUFFIX}", "b.jpg", "c.jpg", "d.jpg", "e.mp4"]
+    assert {(r.root, name(r.path)) for r in errors.collect()} == {("Gone", "nowhere")} and {r.root for r in files.collect()} == {"Library"}
+    with pytest.raises(RuntimeError):
+        sources.incomplete_scan_guard(errors.select("path"), report_only=False)
+    clean, none = sources.walk(spark, {"Library": str(tmp_path)}, prune_trash=True, empty=False)
+    assert sorted(name(r.path) for r in clean.collect()) == ["a.jpg", f"a.jpg{S.SIDECAR_SUFFIX}", "b.jpg", "d.jpg"] and none.isEmpty()
+    assert [(r.album, r.base_name) for r in sources.album_scan(files.filter("path LIKE '%.jpg'"), str(tmp_path)).collect()] in ([("Trip", "a.jpg"), ("Trash", "c.jpg")], [("Trash", "c.jpg"), ("Trip", "a.jpg")])
+    assert [name(r.path) for r in sources.trash_inventory(files).collect()] == ["c.jpg"]
+    library = sources.scan_library(files, files.filter(F.col("path").rlike(S.SIDECAR)), (".jpg",)).collect()
+    assert sorted((name(r.path), r.has_meta) for r in library) == [("a.jpg", True), ("b.jpg", False), ("d.jpg", False)]
+    assert [(r.is_new, name(r.path)) for r in sources.video_scans(files, files, (".mp4",)).collect()] == [(False, "e.mp4")]
+    assert {r.part_rel for r in sources.file_index(files, str(tmp_path)).filter("name = 'b.jpg'").collect()} == {"takeout/google photos/trip/deep/b.jpg"}
+    assert sources.scan_roots(spark, {"One": str(tmp_path), "Two": str(tmp_path)}).select("root").distinct().count() == 1
+
+
+def test_zones(spark):
+    places = spark.createDataFrame([(22.3, 114.1), (31.2, 121.5), (0.0, 0.0), (None, 5.0), (22.1, 113.8)], "lat double, lon double")
+    zones = spark.createDataFrame([("small", 22.1, 22.6, 113.8, 114.4), ("large", 18.0, 54.0, 73.0, 135.0)], "zone string, south double, north double, west double, east double")
+    got = {(r.lat, r.lon): r.zone for r in planner.zone_of(places, zones, "home").collect()}
+    assert got == {(22.3, 114.1): "small", (31.2, 121.5): "large", (0.0, 0.0): "home", (None, 5.0): "home", (22.1, 113.8): "small"}
+
+
+def test_deletion_and_metadata_plans(spark):
+    done = spark.createDataFrame([("MovedMedia", "q/a", 1), ("ReviewRequired", "q/b", 2)], "action string, destination string, size int")
+    assert [r.path for r in planner.deletion_plan(done, "DELETE 1").collect()] == ["q/a"]
+    with pytest.raises(ValueError):
+        planner.deletion_plan(done, "yes")
+    pairs = spark.createDataFrame([("a", "b", {"x": "1", "y": "2"}, {"y": "3"}), ("c", "d", {"x": "1"}, {"x": "1"})], "source string, target string, source_tags map<string,string>, target_tags map<string,string>")
+    assert [(r.target, r.backup, r.tags) for r in planner.metadata_copy_plan(pairs).collect()] == [("b", "b_original", {"x": "1"})]
+
+
+def test_formats(spark):
+    row = spark.createDataFrame([("a\\b c/\u00e9&.jpg", 1_234_567)], "p string, n long")
+    got = row.select(S.file_url(F.col("p")), S.csv_quote(F.lit('say "x"')), S.html_escape(F.lit("<a&b>")), S.bytes_text(F.col("n")), S.bytes_text(F.lit(999)), sources.log_line(F.timestamp_seconds(F.lit(0)), "warn", F.lit("odd"))).first()
+    assert tuple(got) == ("file:///a/b%20c/%C3%A9%26.jpg", '"say ""x"""', "&lt;a&amp;b&gt;", "1.2 MB", "999 B", "[1970-01-01 00:00:00] [WARN] odd")
+
+
 def test_sidecar_json_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/x.json").write_text(json.dumps({"photoTakenTime": {"timestamp": "12"}, "people": [{"name": "A"}, {"name": "B"}], "geoData": {"latitude": 22.3, "longitude": 114.1, "altitude": 0}}))
@@ -215,6 +296,8 @@ def test_vision():
     assert vision.perceptual_hash(grey) == vision.perceptual_hash(grey + 3)
     assert len(set(vision.rotations(grey))) == 4
     assert vision.flatness(np.zeros((8, 8, 3), np.uint8)) == 1.0
+    assert vision.thumbnail(np.full((300, 1000, 3), 7, np.uint8), 50)[16:24] == (50).to_bytes(4, "big") + (15).to_bytes(4, "big")
+    assert vision.strip([np.zeros((4, 3, 3), np.uint8)] * 3).shape == (4, 17, 3)
     other = np.zeros((64, 64))
     other[:16, :16] = 8
     assert vision.worst_patch(np.zeros((64, 64)), other) == 8
