@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIDE, KEEP = 32, 8
-_X = np.arange(SIDE)
-_COS = np.cos(np.pi * (2 * _X[None, :] + 1) * _X[:, None] / (2 * SIDE))
+#: The lowest KEEP cosine waves over a side, one a row, each sampled in the middle of its pixels.
+_WAVES = np.cos(np.outer(np.arange(KEEP), (np.arange(SIDE) + 0.5) * np.pi / SIDE))
 
 
 def perceptual_hash(grey: np.ndarray) -> int:
     """64 bits: low cosine frequencies of a 32x32 picture above their median (the constant one left out), signed."""
-    low = (_COS @ grey.astype(float) @ _COS.T)[:KEEP, :KEEP].ravel()
-    bits = low > np.median(low[1:])
-    return int(np.packbits(bits).view(">i8")[0])
+    amount = np.einsum("ay,yx,bx->ab", _WAVES, np.asarray(grey, float), _WAVES, optimize=True).ravel()
+    middle = np.median(amount[1:])
+    return int.from_bytes(np.packbits(amount > middle).tobytes(), "big", signed=True)
 
 
 def rotations(grey: np.ndarray) -> list[int]:

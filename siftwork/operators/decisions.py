@@ -40,7 +40,7 @@ def protection_reasons(people: Column, camera: Column, gps: Column) -> Column:
 
 
 def decide(category: Column, confidence: Column, protected: Column, photo: Column, camera_shape: Column, threshold: float = 0.75, most_photo: float = 0.15) -> Column:
-    """(suggestion, note)."""
+    """(suggestion, note). The notes are fixed values."""
     answer = lambda s, n: F.struct(F.lit(s).alias("suggestion"), (n if isinstance(n, Column) else F.lit(n)).alias("note"))
     junk = category.isin(*S.JUNK)
     looks = F.concat(F.lit("looks like "), category)

@@ -97,7 +97,9 @@ def collision_free(plan: DataFrame, existing: DataFrame | None = None) -> DataFr
 
     Order is lower(dir), lower(name), lower(source). A generated name may meet a real one, so a
     name depends on those before it. Only names whose stems, apart from such numbers, meet in a
-    folder can do so: each such family is one group, and a folder isn't gathered.
+    folder can do so: each such family is one group, and a folder isn't gathered. Within a family
+    naming is sequential: a family of a million names keeps one task busy for some seconds with a few
+    hundred MB, which is the limit of this operator.
     """
     stem, ext = S.split_name(F.col("name"))
     family = F.concat(F.lower("dir"), F.lit("\0"), F.lower(F.regexp_replace(stem, r"( \(\d+\))+$", "")), F.lower(ext))
