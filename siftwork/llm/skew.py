@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key with so many rows is hot; so many hot keys at most are told to the side with the rows.
-HOT_ROWS, HOT_KEYS = 20_000, 16_384
+HOT_ROWS, HOT_KEYS = 2_000, 16_384
 
 
 def dealt_join(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, counts: DataFrame | None = None) -> DataFrame:

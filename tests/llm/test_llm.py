@@ -763,5 +763,18 @@ def test_pipeline_near_dedup_is_brute_force_at_80(spark):
     assert len(gone) == 5
 
 
+def test_pipeline_stages_on_odd_tables(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    for table_ in (docs, docs.limit(0)):
+        kept = table_
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SMALL)
+            assert kept.columns == docs.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL)
+        assert out.count() == kept.count() <= 2 * table_.count()
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
