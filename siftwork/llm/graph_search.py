@@ -27,9 +27,9 @@ from siftwork.llm.vectors import matrix, takes_part
 from siftwork.llm.words import arrow_rows
 from siftwork.session import cut, table
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, RELAX, GROUP, AHEAD = 4096, 32, 64, 128, 1.2, 256, 4
+SHARD, DEGREE, BUILD_BEAM, BEAM, RELAX, GROUP, AHEAD = 8192, 32, 40, 128, 1.2, 256, 8
 #: Edges a node may have while the graph is built: it is pruned to DEGREE when they are full, and at the end.
-ROOM = 48
+ROOM = 40
 
 
 def _near(x: np.ndarray, norm: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
