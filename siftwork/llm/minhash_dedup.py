@@ -10,8 +10,9 @@
    with the lists and not with their squares. Candidates with enough collisions are confirmed
    on whole shingle sets.
 5. Lists whose members are one component by now hold nothing more. In the others, members
-   outside the list's main component are compared with those of other components; a long list is
-   cut in blocks of such members, so that a task compares one block with the list.
+   outside the list's main component are compared with those of other components, each pair in one of
+   the lists that it shares; a long list is cut in blocks of such members, so that a task compares
+   one block with the list.
 
 Before a pair leaves a join, a parity sketch bounds its similarity from above: each shingle flips
 one of 1024 bits, so two sketches differ in at most as many bits as the sets have shingles not in
@@ -207,15 +208,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).filter("k > 1")
     blocks = F.ceil((F.col("all") - F.col("top.n")) / LIST_BLOCK).cast("int")
     open_lists = cut(placed.join(mixed.select("token", F.col("top.comp").alias("main"), blocks.alias("blocks")), "token"))
+    held = open_lists.groupBy("id").agg(F.collect_set("token").alias("in"))  # fewer than COORDINATES tokens a text
+    open_lists = open_lists.join(held, "id")
     ours = open_lists.filter("comp <> main").select(
-        "token", "lead", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+        "token", "lead", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("in").alias("in_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     )
-    theirs = open_lists.select("token", F.col("id").alias("b"), "comp", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    theirs = open_lists.select("token", F.col("id").alias("b"), "comp", "main", F.col("in").alias("in_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rest = (
         ours.join(_side(reps, "a"), "a")
         .join(theirs.join(_side(reps, "b"), "b"), ["token", "block"])
         .filter("comp_a <> comp AND (comp = main OR a < b) AND a <> lead AND b <> lead")
-        .filter(_may_link(percent))
+        .filter(_may_link(percent) & (F.col("token") == F.array_min(F.array_intersect("in_a", "in_b"))))  # in the first list they share, once
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
