@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm import skew
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, mix, ranges_hash, slices
-from siftwork.session import table
+from siftwork.session import stored, table
 
 #: Words of a window and of a seed. Longer seeds part stretches more finely, so that fewer windows stand alone.
 WINDOW, SEED = 50, 30
@@ -204,7 +204,8 @@ def repeated_edges(docs: DataFrame, packed: DataFrame, window: int = WINDOW, see
         F.min("id").alias("least"), F.max("id").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.count(F.lit(1)).alias("n")
     )
     often = often.filter("least < most").select("seed", (F.col("c0") != F.col("c1")).alias("branching"), "n")
-    found = skew.dealt_join(seeds.select("id", "low", "len", "seed"), often, ["seed"], "n").withColumn("hot", F.col("n") >= skew.HOT_ROWS)
+    found = skew.dealt_join(seeds.select("id", "low", "len", "seed"), often, ["seed"], "n")
+    found = stored(found.select("id", "low", "len", "seed", "branching", (F.col("n") >= skew.HOT_ROWS).alias("hot")))
     whole = found.filter("NOT branching").select("id", F.xxhash64("seed").alias("edge"), "low", "hot", "len")
     version = F.shiftright("low", PLACE_BITS)
     spans = found.filter("branching").groupBy("id", version.alias("v")).agg(F.collect_list(F.struct("low", "len", "hot")).alias("spans"))
