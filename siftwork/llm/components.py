@@ -29,22 +29,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link to another.
 
-    Links may repeat, point either way or at the node itself; null ends are ignored.
+    The steps settle after a number of rounds of the order of the square of the logarithm of the
+    nodes. Links may repeat, point either way or at the node itself; null ends are ignored.
     """
     edges = cut(
         links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     state = _state(edges)
-    for _ in range(max_rounds):
+    before = None
+    while state != before:
         edges = cut(_small_star(_large_star(edges)))
         before, state = state, _state(edges)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
