@@ -37,6 +37,8 @@ from siftwork.llm.words import WORD_BASE, U, arrow_rows, mix, ranges_hash, slice
 from siftwork.session import cut, table
 
 COORDINATES, MATCHES, SHINGLE, PARITY_BITS = 32, 16, 5, 1024
+#: Pairs up to which their texts' ids, 16 bytes a pair, are broadcast; beyond it texts are dealt by id.
+BROADCAST_PAIRS = 500_000
 #: Members of a list that meet the rest of it in one block.
 LIST_BLOCK = 2048
 _A = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
@@ -150,6 +152,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     )
     close = cut(close)
     wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if close.count() <= BROADCAST_PAIRS:
+        wanted = F.broadcast(wanted)  # so that texts are filtered where they are scanned
     sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, own binary")
     return (
         close.join(sets.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")

@@ -136,6 +136,7 @@ def test_minhash_rows_of_one_id(spark):
 
 def test_minhash_long_lists_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "LIST_BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_PAIRS", 0)
     test_minhash_is_brute_force_around_the_threshold(spark)
 
 
