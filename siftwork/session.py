@@ -53,6 +53,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_session(spark: SparkSession, **conf: str) -> SparkSession:
+    """A session beside the caller's, with its settings and those given: what it reads and plans keeps to them."""
+    own = spark.newSession()
+    for key, value in (spark.conf.getAll | conf).items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
+#: For own_session: Arrow batches of fewer rows than Spark's default, where rows are whole documents.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
