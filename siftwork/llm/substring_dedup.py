@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm import skew
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, buffers, mix, ranges_hash, slices
-from siftwork.session import stored, table
+from siftwork.session import SMALL_BATCHES, own_session, stored, table
 
 #: Words of a window and of a seed. Longer seeds part stretches more finely, so that fewer windows stand alone.
 WINDOW, SEED = 50, 30
@@ -284,8 +284,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring dedup of documents; one digest row a document."""
-    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Substring dedup of documents; one digest row a document. It runs in a session of its own, with small batches."""
+    out = substring_dedup(table(own_session(spark, **SMALL_BATCHES), sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
