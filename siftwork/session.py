@@ -62,10 +62,17 @@ def own_session(spark: SparkSession, **conf: str) -> SparkSession:
     return own
 
 
-#: For own_session: Arrow batches of fewer rows than Spark's default, where rows are whole documents.
+#: Arrow batches of fewer rows than Spark's default, where rows are whole documents.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """SMALL_BATCHES for a session that the application owns, unless it has a setting of its own."""
+    for key, value in SMALL_BATCHES.items():
+        if spark.conf.get(key) == "10000":
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
