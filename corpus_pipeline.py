@@ -1,6 +1,7 @@
 """Corpus pipeline: documents through the stages of STAGES, each written as Parquet and reread.
 
-Each stage gets all that the one before it kept. All but the last return the columns of
+Each stage gets all that the one before it kept. Stages whose Python code reads whole documents run with small
+Arrow batches, a setting of the pipeline's session that no operator touches. All but the last return the columns of
 documents. Nothing is gathered on the driver, and stage tables go to the shared folder that the
 cluster names in spark.checkpoint.dir.
 """
@@ -22,7 +23,7 @@ from siftwork.llm.minhash_dedup import near_duplicates  # noqa: E402
 from siftwork.llm.mixing import mix  # noqa: E402
 from siftwork.llm.quality import quality_filter  # noqa: E402
 from siftwork.llm.sentencepiece_codec import encode_documents  # noqa: E402
-from siftwork.session import ensure_checkpoint_dir, table  # noqa: E402
+from siftwork.session import ensure_checkpoint_dir, small_batches, table  # noqa: E402
 
 
 #: Similarity from which the near-dedup stage links, in percent; 85 is the contract of op1 alone.
@@ -31,6 +32,7 @@ NEAR_PERCENT = 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards labelled good text draws."""
+    small_batches(spark)
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
@@ -46,6 +48,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.80 or more), its smallest doc_id."""
+    small_batches(spark)
     gone = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -57,6 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
+    small_batches(spark)
     return encode_documents(docs).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
