@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import arrow_rows
-from siftwork.session import table
+from siftwork.session import SMALL_BATCHES, own_session, table
 
 #: Fixed values of HTML: elements without content, without markup inside, left out where they are closed, that don't break a line, and that close each other.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -473,4 +473,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return extract_text(table(own_session(spark, **SMALL_BATCHES), sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

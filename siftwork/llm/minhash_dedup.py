@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.components import components
 from siftwork.llm.words import WORD_BASE, U, arrow_rows, mix, ranges_hash, slices
-from siftwork.session import cut, table
+from siftwork.session import SMALL_BATCHES, cut, own_session, table
 
 COORDINATES, MATCHES, SHINGLE, PARITY_BITS = 32, 16, 5, 1024
 #: Pairs up to which their texts' ids, 16 bytes a pair, are broadcast; beyond it texts are dealt by id.
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(own_session(spark, **SMALL_BATCHES), sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE = r"""

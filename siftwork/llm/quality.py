@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import U, Slice, arrow_rows, mix, slices
-from siftwork.session import cut, table
+from siftwork.session import SMALL_BATCHES, cut, own_session, table
 
 BUCKETS = 1 << 16
 #: Labelled rows used for the target model and for the cut, at most; taken in hash order.
@@ -220,5 +220,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and decision for every document, with labels' quality as the target."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_sample(docs, table(spark, sf_dir, "labels"))[0]
+    own = own_session(spark, **SMALL_BATCHES)
+    docs = table(own, sf_dir, "documents").select("doc_id", "text")
+    return quality_sample(docs, table(own, sf_dir, "labels"))[0]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.words import U, buffers, mix, ranges_hash
-from siftwork.session import table
+from siftwork.session import SMALL_BATCHES, own_session, table
 
 #: The public model; the path is read on the driver and its pieces are sent to the workers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,8 +42,8 @@ MARK = "▁"
 BASE = U(0x9E3779B97F4A7C15)
 MARK_CODE = ord(MARK)
 #: Characters worked on at once, at most but for a longer word; words remembered; longest word that is batched.
-SLICE_CHARS, CACHE_WORDS, LONG = 1_500_000, 400_000, 256
-BLOCK_CHARS, CACHE_BITS = 1_000_000, 20
+SLICE_CHARS, CACHE_WORDS, LONG = 500_000, 400_000, 256
+BLOCK_CHARS, CACHE_BITS = 300_000, 20
 CACHE_SLOTS = 1 << CACHE_BITS
 _BETWEEN = re.compile(f"(?<!{MARK}){MARK}")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -551,6 +551,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text again (its marks as spaces)."""
-    both = round_trip_udf(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", both(F.col("text")).alias("b"))
+    own = own_session(spark, **SMALL_BATCHES)
+    both = round_trip_udf(own)
+    docs = table(own, sf_dir, "documents").select("doc_id", both(F.col("text")).alias("b"))
     return docs.select("doc_id", F.size("b.ids").alias("n_tokens"), F.col("b.ids").alias("ids"), F.col("b.same").alias("round_trip"))
