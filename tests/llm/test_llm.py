@@ -434,6 +434,25 @@ def test_embedding_groups_longer_than_a_tile(spark, monkeypatch):
     assert got == {i: (int(n), int(c)) for i, (n, c) in enumerate(zip(link.sum(1), comp, strict=True))}
 
 
+def written_to_shuffles(spark):
+    """Bytes by stage."""
+    gate, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_embedding_shuffles_grow_with_the_rows(spark, monkeypatch):
+    """Vectors that probe many tiles are not written once for each of them."""
+    monkeypatch.setattr(embedding_dedup, "LEAST_BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    x = np.random.default_rng(3).normal(size=(1000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = written_to_shuffles(spark)
+    assert embedding_dedup.embedding_near_duplicates(df).agg(F.sum("n_links")).first()[0] == 0
+    assert sum(n for k, n in written_to_shuffles(spark).items() if k not in before) < 4 * x.nbytes
+
+
 # -- 6 HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:">"}</style><script>var a="<p>no</p>";</script></head><body>
