@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwork.llm import bpe_codec, conversation_repair, embedding_dedup, graph_search, html_extract, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, substring_dedup, url_filter
+from siftwork.llm import bpe_codec, conversation_repair, divergence, embedding_dedup, graph_search, html_extract, line_dedup, minhash_dedup, mixing, quality, sentencepiece_codec, substring_dedup, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash_dedup.op1_minhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_nearest_neighbours": graph_search.op10_nearest_neighbours,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_bpe": bpe_codec.op12_bpe,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_nearest_neighbours": graph_search.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
