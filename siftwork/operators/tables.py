@@ -14,9 +14,9 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def to_do(items: DataFrame, cache: DataFrame, key: str, value: str, error: str) -> DataFrame:
-    """Items not in the cache, or there without value and without error."""
-    known = cache.select(F.col(key).alias("__k"), F.col(value).alias("__v"), F.col(error).alias("__e"))
-    return items.join(known, F.col(key) == F.col("__k"), "left").filter("__v IS NULL AND __e IS NULL").select(*items.columns)
+    """Items not in the cache, or there without value and without error. A key that the cache holds often counts once."""
+    known = cache.filter(F.col(value).isNotNull() | F.col(error).isNotNull()).select(F.col(key).alias("__k")).distinct()
+    return items.join(known, F.col(key) == F.col("__k"), "left_anti")
 
 
 def reuse_hash(new: DataFrame, old: DataFrame, key: str, size: str, digest: str) -> DataFrame:

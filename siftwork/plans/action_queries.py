@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.operators import actions
 from siftwork.plans.register import query
-from siftwork.session import table
+from siftwork.session import ensure_checkpoint_dir, table
+from siftwork.sources.store import KeyedTable, run_logged
 
 # A customer's file goes through five places, a move an order, and comes home with every fifth; a later file may take its place.
 _CHAINS = """o AS (
@@ -175,3 +180,45 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 def emptied_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders of the trash that hold nothing once the plan's files are gone."""
     return actions.emptied_folders(*_tree(spark, sf_dir))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity::bigint AS q FROM lineitem)
+    SELECT l_orderkey AS archive, l_linenumber AS position, l_partkey AS entry, q AS size FROM l WHERE l_orderkey % 100 <> 7
+    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey + 1, q FROM l WHERE l_orderkey % 100 = 7 AND l_linenumber % 2 = 1
+    UNION ALL SELECT -o_orderkey, 0, 0, 1 FROM orders WHERE o_orderkey % 500 = 7"""
+)
+def contents_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of archives, kept by archive: archives read again lose their old entries, new ones are added, the rest stays as it is on disk."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("entry"), F.col("l_quantity").cast("long").alias("size")
+    ).distinct()
+    store = KeyedTable(spark, _folder(spark, "contents"), "archive", buckets=16)
+    store.create(lines)
+    again = lines.filter("archive % 100 = 7 AND position % 2 = 1").withColumn("entry", F.col("entry") + 1)
+    gone = lines.filter("archive % 100 = 7").select("archive").distinct().join(again, "archive", "left_anti")
+    store.merge(again)
+    new = table(spark, sf_dir, "orders").filter("o_orderkey % 500 = 7").select((-F.col("o_orderkey")).alias("archive"), F.lit(0).alias("position"), F.lit(0).alias("entry"), F.lit(1).alias("size"))
+    store.merge(new.select(*[F.col(c).cast(lines.schema[c].dataType) for c in lines.columns]))
+    return store.read().join(gone, "archive", "left_anti")
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stands for work on files: those of an odd size fail."""
+    for b in batches:
+        failed = b["size"] % 2 == 1
+        yield pd.DataFrame({"path": b["path"], "result": failed.map({True: "FAILED", False: "OK"}), "detail": failed.map({True: "odd size", False: ""})})
+
+
+@query("SELECT concat('f', event_id) AS path, CASE WHEN user_id % 2 = 1 THEN 'FAILED' ELSE 'OK' END AS result, CASE WHEN user_id % 2 = 1 THEN 'odd size' ELSE '' END AS detail FROM events")
+def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of actions worked through in steps; a second call with the same state adds nothing."""
+    todo = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("user_id").cast("long").alias("size"))
+    base = _folder(spark, "actions")
+    for _ in range(2):
+        run_logged(todo, _settle, "path string, result string, detail string", f"{base}/log", f"{base}/state", flush=20_000)
+    return spark.read.parquet(f"{base}/log")

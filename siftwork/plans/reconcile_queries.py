@@ -338,12 +338,20 @@ def zones_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT event_id AS entry_id, concat('out/', e) AS destination, CASE WHEN regexp_matches(e, '(^|/)\.\.(/|$)') THEN 'Blocked' WHEN a <> min(a) OVER (PARTITION BY lower(e)) THEN 'Conflict' ELSE 'Extract' END AS action
-    FROM (SELECT event_id, concat('z', event_id % 3) AS a, CASE WHEN event_id % 11 = 0 THEN concat('../', event_id) ELSE concat('d/', event_id // 4, '.jpg') END AS e FROM events)"""
+    r"""WITH e AS (SELECT event_id, event_id // 1000 AS position, concat('zips/', CASE WHEN event_id % 9 = 0 THEN 'old/' ELSE '' END, 'z', event_id % 5, CASE WHEN event_id % 2 = 0 THEN '.zip' ELSE '.ZIP' END) AS archive,
+      CASE WHEN event_id % 11 = 0 THEN concat('../', event_id) WHEN event_id % 6 = 0 THEN concat('D/', event_id // 8, '.JPG') ELSE concat('d/', event_id // 8, '.jpg') END AS entry, event_id % 97 = 0 AS unreadable FROM events),
+    d AS (SELECT *, concat('out/', regexp_replace(regexp_extract(archive, '([^/]*)$', 1), '\.zip$', '', 'i')) AS folder FROM e),
+    c AS (SELECT *, concat(folder, '/', entry) AS destination, NOT unreadable AND NOT regexp_matches(entry, '(^|/)\.\.(/|$)') AS able FROM d)
+    SELECT event_id AS entry_id, destination, CASE WHEN unreadable THEN 'Unreadable' WHEN folder = 'out/z4' THEN 'Skip' WHEN NOT able THEN 'Blocked'
+      WHEN row_number() OVER (PARTITION BY lower(destination), able ORDER BY archive, position) > 1 THEN 'Conflict' ELSE 'Extract' END AS action FROM c"""
 )
 def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each entry of the archives would go; unsafe ones and second ones of a place don't."""
+    """Where each entry of the archives would go; unsafe ones, second ones of a place and archives that are there already don't."""
     i = F.col("event_id")
-    entry = F.when(i % 11 == 0, F.concat(F.lit("../"), i.cast("string"))).otherwise(F.concat(F.lit("d/"), F.floor(i / 4).cast("string"), F.lit(".jpg")))
-    entries = table(spark, sf_dir, "events").select(i.alias("entry_id"), F.concat(F.lit("z"), (i % 3).cast("string")).alias("archive"), entry.alias("entry"), F.lit(False).alias("unreadable"))
-    return files.extraction_plan(entries, "out").select("entry_id", "destination", "action")
+    number = i.cast("string")
+    eighth = F.floor(i / 8).cast("string")
+    archive = F.concat(F.lit("zips/"), F.when(i % 9 == 0, "old/").otherwise(""), F.lit("z"), (i % 5).cast("string"), F.when(i % 2 == 0, ".zip").otherwise(".ZIP"))
+    entry = F.when(i % 11 == 0, F.concat(F.lit("../"), number)).when(i % 6 == 0, F.concat(F.lit("D/"), eighth, F.lit(".JPG"))).otherwise(F.concat(F.lit("d/"), eighth, F.lit(".jpg")))
+    entries = table(spark, sf_dir, "events").select(i.alias("entry_id"), F.floor(i / 1000).alias("position"), archive.alias("archive"), entry.alias("entry"), (i % 97 == 0).alias("unreadable"))
+    there = table(spark, sf_dir, "events").filter("event_id % 5 = 4").select(F.lit("OUT/z4").alias("path"))
+    return files.extraction_plan(entries, "out", there).select("entry_id", "destination", "action")

@@ -139,11 +139,11 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", SIDECAR_SCHEMA).alias("j")).select("path", "j.*")
 
 
-ENTRIES = "archive string, entry string, size long, modified string, crc long, unreadable boolean"
+ENTRIES = "archive string, entry string, position long, size long, modified string, crc long, unreadable boolean"
 
 
 def list_archives(files: DataFrame) -> DataFrame:
-    """(archive, entry, size, modified, crc, unreadable) of the zip files at the paths of `files`. Folders are left out.
+    """(archive, entry, position, size, modified, crc, unreadable) of the zip files at the paths of `files`. Folders are left out.
 
     Only an archive's directory, at its end, is read, whatever its size. One that can't be opened is one row with a null entry.
     """
@@ -154,13 +154,13 @@ def list_archives(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(_local(path)) as z:
                         rows = [
-                            (path, i.filename, i.file_size, "{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}".format(*i.date_time), i.CRC, False)
-                            for i in z.infolist() if not i.is_dir()
+                            (path, i.filename, n, i.file_size, "{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}".format(*i.date_time), i.CRC, False)
+                            for n, i in enumerate(z.infolist()) if not i.is_dir()
                         ]
                 except (zipfile.BadZipFile, OSError):
-                    rows = [(path, None, None, None, None, True)]
+                    rows = [(path, None, None, None, None, None, True)]
                 for s in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[s : s + 10_000], columns=["archive", "entry", "size", "modified", "crc", "unreadable"]).astype({"size": "Int64", "crc": "Int64"})
+                    yield pd.DataFrame(rows[s : s + 10_000], columns=["archive", "entry", "position", "size", "modified", "crc", "unreadable"]).astype({"position": "Int64", "size": "Int64", "crc": "Int64"})
 
     return files.select("path").mapInPandas(entries, ENTRIES)
 
@@ -169,12 +169,32 @@ def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
-def extraction_plan(entries: DataFrame, target: str) -> DataFrame:
-    """entries with where each would be written; entries that would leave `target` are blocked, and so are the second of one place."""
-    place = F.concat(F.lit(target.rstrip("/") + "/"), "entry")
-    first = F.min("archive").over(Window.partitionBy(F.lower("entry")))
-    action = F.when(F.col("unreadable"), "Unreadable").when(S.unsafe_entry(F.col("entry")), "Blocked").when(F.col("archive") != first, "Conflict").otherwise("Extract")
-    return entries.withColumns({"destination": place, "action": action})
+def extraction_plan(entries: DataFrame, target: str, folders: DataFrame | None = None) -> DataFrame:
+    """entries with where each would be written and an action. Each archive has a folder of its own under target, by its base name.
+
+    entries: archive, entry, position (its place in the archive), unreadable. folders: paths of folders there are;
+    an archive whose folder exists is skipped whole, as it was extracted before. Actions: Unreadable, Skip, Blocked (the
+    entry would leave the folder), Conflict (an earlier entry of the same archive, or an archive of the same base name in
+    another folder, has its place, in any case of letters), Extract. Archives that share a base name share a folder.
+    """
+    base = F.regexp_replace(F.regexp_extract("archive", r"([^/\\\\]*)$", 1), r"(?i)\.zip$", "")
+    folder = F.concat(F.lit(target.rstrip("/") + "/"), base)
+    rows = entries.withColumns({"folder": folder, "destination": F.concat(folder, F.lit("/"), "entry")})
+    able = ~F.coalesce("unreadable", F.lit(False)) & ~F.coalesce(S.unsafe_entry(F.col("entry")), F.lit(True))
+    firsts = rows.filter(able).groupBy(F.lower("destination").alias("place")).agg(F.min(F.struct("archive", "position")).alias("first"))
+    rows = rows.withColumn("place", F.lower("destination")).join(firsts, "place", "left")
+    done = F.lit(False)
+    if folders is not None:
+        rows = rows.join(folders.select(F.lower("path").alias("there")).distinct(), F.lower("folder") == F.col("there"), "left")
+        done = F.col("there").isNotNull()
+    action = (
+        F.when(F.col("unreadable"), "Unreadable")
+        .when(done, "Skip")
+        .when(~able, "Blocked")
+        .when(F.struct("archive", "position") != F.col("first"), "Conflict")
+        .otherwise("Extract")
+    )
+    return rows.withColumn("action", action).select(*entries.columns, "folder", "destination", "action")
 
 
 def verify_extraction(plan: DataFrame, files: DataFrame) -> DataFrame:
@@ -204,7 +224,7 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_manifest(actions: DataFrame, path: str, flush: int = 500) -> None:
-    """Append actions to a manifest table; a file is closed after `flush` rows, so that no more than those are ever unwritten."""
+    """Append actions to a manifest table, in files of at most `flush` rows. They all appear when the job ends; run_logged logs step by step."""
     rows = actions.select(*[F.col(f.name).cast(f.dataType) for f in MANIFEST])
     rows.write.mode("append").option("maxRecordsPerFile", flush).parquet(path)
 

@@ -214,12 +214,28 @@ def test_archives(spark, tmp_path):
     assert got == {("Takeout/a.jpg", 3, "2023-05-06 07:08:10", False), ("../evil.jpg", 1, None, False), (None, None, None, True)}
     plan = sources.extraction_plan(listed, "out")
     assert {r.entry: r.action for r in plan.collect()} == {"Takeout/a.jpg": "Extract", "../evil.jpg": "Blocked", None: "Unreadable"}
-    there = spark.createDataFrame([("out/Takeout/a.jpg", 2)], "path string, size long")
+    there = spark.createDataFrame([("out/a/Takeout/a.jpg", 2)], "path string, size long")
     assert [r.status for r in sources.verify_extraction(plan, there).collect()] == ["SizeDiffers"]
     assert [r.status for r in sources.verify_extraction(plan, there.limit(0)).collect()] == ["Missing"]
     assert [r[0] for r in spark.createDataFrame([("../x",), ("a/../../b",), ("/abs",), ("C:x",), ("fine/..x",)], "e string").select(S.unsafe_entry(F.col("e"))).collect()] == [True, True, True, True, False]
 
 
+def test_extraction_places(spark):
+    rows = [("r/x.zip", "P.jpg", 0), ("r/x.zip", "p.jpg", 1), ("r/x.zip", "y.jpg", 2), ("r/x.zip", "y.jpg", 3), ("r/b.ZIP", "p.jpg", 0), ("s/x.zip", "z.jpg", 0), ("s/x.zip", "Y.jpg", 1), ("r/c.zip", "p.jpg", 0), ("r/c.zip", "/abs", 1)]
+    entries = spark.createDataFrame([(*x, False) for x in rows], "archive string, entry string, position long, unreadable boolean")
+    plan = {(r.archive, r.position): (r.destination, r.action) for r in sources.extraction_plan(entries, "out/", spark.createDataFrame([("OUT/C",)], "path string")).collect()}
+    assert plan == {
+        ("r/x.zip", 0): ("out/x/P.jpg", "Extract"), ("r/x.zip", 1): ("out/x/p.jpg", "Conflict"), ("r/x.zip", 2): ("out/x/y.jpg", "Extract"), ("r/x.zip", 3): ("out/x/y.jpg", "Conflict"),
+        ("r/b.ZIP", 0): ("out/b/p.jpg", "Extract"), ("s/x.zip", 0): ("out/x/z.jpg", "Extract"), ("s/x.zip", 1): ("out/x/Y.jpg", "Conflict"), ("r/c.zip", 0): ("out/c/p.jpg", "Skip"), ("r/c.zip", 1): ("out/c//abs", "Skip"),
+    }
+
+
+def test_to_do_gives_each_item_once(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k long")
+    cache = spark.createDataFrame([(1, None, None), (1, None, None), (2, None, None), (2, "v", None), (3, None, "e")], "k long, v string, e string")
+    assert sorted((r.k for r in tables.to_do(items, cache, "k", "v", "e").collect()), key=str) == [1, None]
+
+
 def test_walk(spark, tmp_path):
     base = tmp_path / "part1/Takeout/Google Photos"
     for rel, data in (("Trip/a.jpg", b"1"), ("Trip/deep/b.jpg", b"22"), ("Trash/c.jpg", b"3"), ("Photos from 2020/d.jpg", b"4"), ("Trip/e.mp4", b"")):
