@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalars as S
+from siftwork.session import stored
 
 VIDEO = (".mp4", ".mov", ".m4v", ".3gp")
 NOT_WRITABLE = (".avi", ".bmp")
@@ -95,44 +95,75 @@ def tags_text(tags: Column) -> Column:
 def collision_free(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Add dest: dir/name, or 'name (2).ext' and so on where that is planned before or exists; case is ignored.
 
-    Order is lower(dir), lower(name), lower(source). A generated name may meet a real one, so a
-    name depends on those before it. Only names whose stems, apart from such numbers, meet in a
-    folder can do so: each such family is one group, and a folder isn't gathered. Within a family
-    naming is sequential: a family of a million names keeps one task busy for some seconds with a few
-    hundred MB, which is the limit of this operator.
+    Order is lower(dir), lower(name), lower(source), source. The rows of a name get its own place, if that is free, and then the
+    free numbers from 2 on. A number of a name is taken where a file of that name exists or is planned before the name; the j-th
+    free one is j + 1 + the number of taken ones with fewer than j free before them. Rows and taken numbers are counted over
+    range partitions, so a name of a million rows is spread over many tasks.
+
+    Null folders and names count as empty. Whether a name's own place is free may depend on another name's numbers: that is so without an extension alone
+    ('a' comes before 'a (2)', but 'a (2).jpg' before 'a.jpg'). Such names are settled level by level, a level
+    for each number at the end of a name.
     """
-    stem, ext = S.split_name(F.col("name"))
-    family = F.concat(F.lower("dir"), F.lit("\0"), F.lower(F.regexp_replace(stem, r"( \(\d+\))+$", "")), F.lower(ext))
-    rows = plan.select("source", "dir", "name", F.lit(False).alias("there"), family.alias("family"))
+    key = ["ldir", "lname"]
+    low = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    rows = plan.select("source", "dir", "name", low("dir").alias("ldir"), low("name").alias("lname"))
+    names = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).withColumn("there", F.lit(False))
     if existing is not None:
-        rows = rows.unionByName(existing.select(F.lit("").alias("source"), "dir", "name", F.lit(True).alias("there"), family.alias("family")))
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        low = lambda c: rows[c].str.lower()
-        rows = rows.assign(a=~rows["there"], b=low("name"), c=low("source")).sort_values(["a", "b", "c"], kind="stable")
-        taken, last, dest = set(), {}, []
-        for name, there in zip(rows["name"], rows["there"], strict=True):
-            if there:
-                taken.add(name.lower())
-                dest.append(name)
-                continue
-            dot = name.rfind(".")
-            s, e = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-            n, new = last.get(name.lower(), 1), name
-            while new.lower() in taken:
-                n += 1
-                new = f"{s} ({n}){e}"
-            last[name.lower()] = n
-            taken.add(new.lower())
-            dest.append(new)
-        rows = rows.assign(dest=dest)
-        return rows.loc[~rows["there"], ["source", "dir", "name", "dest"]]
-
-    alone = F.count(F.lit(1)).over(Window.partitionBy("family"))
-    rows = rows.withColumn("n", alone)
-    one = rows.filter("n = 1 AND NOT there").select("source", "dir", "name", F.col("name").alias("dest"))
-    more = rows.filter("n > 1").groupBy("family").applyInPandas(settle, "source string, dir string, name string, dest string")
-    return one.unionByName(more).withColumn("renamed", F.col("name") != F.col("dest"))
+        old = existing.select(low("dir").alias("ldir"), low("name").alias("lname")).distinct()
+        names = names.unionByName(old.select(*key, F.lit(0).cast("long").alias("m"), F.lit(True).alias("there")))
+        names = names.groupBy(*key).agg(F.max("m").alias("m"), F.max("there").alias("there"))
+    stem, ext = S.split_name(F.col("lname"))
+    number = F.regexp_extract(stem, r"^.* \(([1-9]\d{0,17})\)$", 1)
+    number = F.when(number != "", number.cast("long"))
+    parent = F.concat(F.regexp_replace(stem, r" \(\d+\)$", ""), ext)
+    names = stored(names.withColumns({"n": F.when(number > 1, number), "parent": F.when(number > 1, parent)}))
+    child = names.filter("n IS NOT NULL").select("ldir", F.col("parent").alias("lname"), "n", F.col("lname").alias("child"), "there")
+    taken = child.filter(F.col("there") | (F.col("child") < F.col("lname")))
+    taken = stored(running(taken.select(*key, "n"), key, ["n"], F.lit(1)).select(*key, "n", (F.col("n") - 1 - F.col("total")).alias("free")))  # free: numbers below n that are free
+    # a name's own place: taken by a file, or by a number of a name without extension before it
+    asked = child.filter(~F.col("there") & (F.col("child") > F.col("lname")))
+    both = asked.select(*key, "n", "child", F.lit(0).alias("one")).unionByName(taken.select(*key, "n", F.lit(None).cast("string").alias("child"), F.lit(1).alias("one")))
+    asked = running(both, key, ["n", "one"], F.col("one")).filter("one = 0").select("ldir", F.col("child").alias("lname"), F.col("lname").alias("parent"), (F.col("n") - 1 - F.col("total")).alias("place"))
+    planned = names.filter("m > 0").select(*key, "m", "there").join(asked, key, "left")
+    above = names.filter("m > 0").select("ldir", F.col("lname").alias("parent"), F.lit(True).alias("waits"))
+    left = stored(planned.join(above, ["ldir", "parent"], "left"))
+    settled = [left.filter("waits IS NULL").select(*key, "m", (~F.col("there")).alias("own"))]
+    left = left.filter("waits")
+    while not left.isEmpty():
+        got = settled[-1].select("ldir", F.col("lname").alias("parent"), (F.col("m") - F.col("own").cast("long")).alias("made"))
+        level = stored(left.join(got, ["ldir", "parent"]).select(*key, "m", (~F.col("there") & (F.col("place") > F.col("made"))).alias("own")))
+        left = stored(left.join(level.select(*key), key, "left_anti"))
+        settled.append(level)
+    own = settled[0]
+    for level in settled[1:]:
+        own = own.unionByName(level)
+    placed = running(rows.withColumn("lsource", low("source")), key, ["lsource", "source"], F.lit(1)).join(own.select(*key, "own"), key)
+    placed = placed.withColumn("j", F.col("total") - F.col("own").cast("long"))
+    both = placed.select(*key, "source", "dir", "name", "j", F.lit(0).alias("one")).unionByName(
+        taken.select(*key, F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("dir"), F.lit(None).cast("string").alias("name"), F.col("free").alias("j"), F.lit(1).alias("one"))
+    )
+    done = running(both, key, ["j", "one"], F.col("one")).filter("one = 0")
+    plain_stem, plain_ext = S.split_name(F.col("name"))
+    dest = F.when(F.col("j") == 0, F.col("name")).otherwise(F.concat(plain_stem, F.lit(" ("), (F.col("j") + 1 + F.col("total")).cast("string"), F.lit(")"), plain_ext))
+    return done.select("source", "dir", "name", dest.alias("dest")).withColumn("renamed", F.col("name") != F.col("dest"))
+
+
+def running(rows: DataFrame, key: list[str], order: list[str], amount: Column) -> DataFrame:
+    """rows with total: the sum of amount over the rows of their key up to and with theirs, in the given order.
+
+    A key may be of any size: rows are sorted into ranges over all keys, summed in each, and what a key has in the ranges
+    before, a row for each key and range, is added. Rows equal in key and order are taken in any order.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.xxhash64(F.monotonically_increasing_id())  # so that equal rows may lie in several ranges
+    dealt = rows.withColumns({"__amount": amount.cast("long"), "__salt": salt}).repartitionByRange(parts, *key, *order, "__salt")
+    dealt = stored(dealt.withColumn("__range", F.spark_partition_id()))
+    inside = F.sum("__amount").over(Window.partitionBy("__range", *key).orderBy(*order, "__salt").rowsBetween(Window.unboundedPreceding, 0))
+    sums = dealt.groupBy("__range", *key).agg(F.sum("__amount").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select("__range", *key, F.coalesce(before, F.lit(0)).alias("__before"))
+    out = dealt.withColumn("__inside", inside).join(before, ["__range", *key])
+    return out.select(*rows.columns, (F.col("__inside") + F.col("__before")).alias("total"))
 
 
 def restore_plan(manifest: DataFrame) -> DataFrame:
