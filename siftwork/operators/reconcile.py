@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalars as S
 from siftwork.operators import decisions as D
 from siftwork.operators import similar
+from siftwork.session import stored
 
 
 def vote_folder(entries: DataFrame, disk: DataFrame, least: float = 0.5) -> DataFrame:
@@ -41,16 +44,22 @@ def archive_report(found: DataFrame, archives: DataFrame) -> DataFrame:
     return all_.withColumns({"status": D.archive_status(F.col("files"), ok, F.col("missing"), F.col("missing_trash")), "percent": share})
 
 
-def content_elsewhere(wanted: DataFrame, library: DataFrame, quarantine: DataFrame, hash_of: Column) -> DataFrame:
-    """wanted (size, content) with in_library, in_quarantine and other: a path of equal content, the library's first.
+def content_elsewhere(wanted: DataFrame, library: DataFrame, quarantine: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """wanted with in_library, in_quarantine and other: a path of equal content, the library's first, then the least.
 
-    Contents are hashed while they are scanned, and only hashes move.
+    All three have path (unique in wanted) and size. read gives (path, hash) for a table of paths; it is asked only for
+    files whose size occurs on both sides, so whatever has a size of its own is never opened. Sizes and paths move first,
+    then hashes. Null sizes and hashes are equal to nothing.
     """
-    sides = library.withColumn("prio", F.lit(0)).unionByName(quarantine.withColumn("prio", F.lit(1)))
-    best = sides.select("path", "size", "prio", hash_of.alias("__hash")).groupBy("size", "__hash").agg(F.min(F.struct("prio", "path")).alias("b"))
-    names = [c for c in wanted.columns if c != "content"]
-    return wanted.select(*names, hash_of.alias("__hash")).join(best, ["size", "__hash"], "left").select(
-        *names, F.coalesce(F.col("b.prio") == 0, F.lit(False)).alias("in_library"),
+    side = lambda df, n: df.select("path", "size", F.lit(n).alias("prio"))
+    sides = side(library, 0).unionByName(side(quarantine, 1))
+    held = stored(sides.join(wanted.select("size").distinct(), "size", "left_semi"))
+    asked = stored(wanted.select("path", "size").join(held.select("size").distinct(), "size", "left_semi"))
+    hashes = stored(read(held.select("path").union(asked.select("path")).distinct()).select("path", "hash"))
+    best = held.join(hashes, "path").groupBy("size", "hash").agg(F.min(F.struct("prio", "path")).alias("b"))
+    found = asked.join(hashes, "path").join(best, ["size", "hash"]).select("path", "b")
+    return wanted.join(found, "path", "left").select(
+        *wanted.columns, F.coalesce(F.col("b.prio") == 0, F.lit(False)).alias("in_library"),
         F.coalesce(F.col("b.prio") == 1, F.lit(False)).alias("in_quarantine"), F.coalesce("b.path", F.lit("")).alias("other"),
     )
 

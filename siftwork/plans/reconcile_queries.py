@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalars as S
@@ -92,15 +94,19 @@ _TRASH = """t AS (SELECT doc_id AS id, source, text, strlen(text) AS size, lang
     coalesce('d' || lpad(m.other::varchar, 12, '0'), '') AS other FROM t LEFT JOIN m USING (id))"""
 
 
+def _reader(spark: SparkSession, sf_dir: str, path: Column) -> Callable[[DataFrame], DataFrame]:
+    """Reads the contents behind paths: here texts of documents."""
+    texts = table(spark, sf_dir, "documents").select(path, S.content_hash(F.encode("text", "UTF-8")).alias("hash"))
+    return lambda paths: texts.join(paths, "path", "left_semi")
+
+
 def _trash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "source", "lang", F.octet_length("text").cast("long").alias("size"), F.col("text").alias("content"),
-        F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"),
-    )
+    path = F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path")
+    docs = table(spark, sf_dir, "documents").select(path, F.col("doc_id").alias("id"), "source", "lang", F.octet_length("text").cast("long").alias("size"))
     trash = F.col("source").isin("src3", "src4")
-    side = lambda c: docs.filter(~trash & c).select("path", "size", "content")
-    wanted = docs.filter(trash).select("id", "source", (F.col("lang") != "fr").alias("is_media"), "size", "content")
-    found = reconcile.content_elsewhere(wanted, side(F.col("source") != "src5"), side(F.col("source") == "src5"), S.content_hash(F.encode("content", "UTF-8")))
+    side = lambda c: docs.filter(~trash & c).select("path", "size")
+    wanted = docs.filter(trash).select("path", "id", "source", (F.col("lang") != "fr").alias("is_media"), "size")
+    found = reconcile.content_elsewhere(wanted, side(F.col("source") != "src5"), side(F.col("source") == "src5"), _reader(spark, sf_dir, path))
     return found.withColumn("status", D.trash_status(F.col("is_media"), F.col("size"), F.col("in_library"), F.col("in_quarantine")))
 
 
@@ -128,11 +134,10 @@ def trash_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def missing_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether what archives lack is somewhere else by size and content: in the library, else in quarantine."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("archive"), F.octet_length("text").alias("size"), F.col("text").alias("content"), F.col("doc_id").cast("string").alias("path")
-    )
-    side = lambda k: docs.filter(F.col("id") % 3 == k).select("path", "size", "content")
-    found = reconcile.content_elsewhere(docs.filter("id % 3 = 0").drop("path"), side(1), side(2), S.content_hash(F.encode("content", "UTF-8")))
+    path = F.col("doc_id").cast("string").alias("path")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("archive"), F.octet_length("text").alias("size"), path)
+    side = lambda k: docs.filter(F.col("id") % 3 == k)
+    found = reconcile.content_elsewhere(side(0), side(1), side(2), _reader(spark, sf_dir, path))
     return found.groupBy("archive").agg(
         F.count(F.lit(1)).alias("missing"), F.count_if("in_library").alias("in_source"), F.count_if("in_quarantine").alias("in_quarantine_only"),
         F.count_if(~F.col("in_library") & ~F.col("in_quarantine")).alias("nowhere"),

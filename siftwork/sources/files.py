@@ -5,6 +5,7 @@ Metadata-only scans prune the content column, so that listing doesn't read files
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zipfile
@@ -169,6 +170,31 @@ def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def hash_files(paths: DataFrame, buffer: int = 1 << 20) -> DataFrame:
+    """(path, hash, bytes) of the files at the given paths: SHA-256 in lower-case hex, read a buffer at a time. Null hash where a file can't be read.
+
+    bytes is what was read. Paths are dealt over all tasks first, so that a list in one partition is read by many.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                digest, n = hashlib.sha256(), 0
+                try:
+                    with open(_local(path), "rb") as f:
+                        while part := f.read(buffer):
+                            digest.update(part)
+                            n += len(part)
+                    rows.append((path, digest.hexdigest(), n))
+                except OSError:
+                    rows.append((path, None, n))
+            yield pd.DataFrame(rows, columns=["path", "hash", "bytes"])
+
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paths.select("path").repartition(parts, "path").mapInPandas(read, "path string, hash string, bytes long")
+
+
 def extraction_plan(entries: DataFrame, target: str, folders: DataFrame | None = None) -> DataFrame:
     """entries with where each would be written and an action. Each archive has a folder of its own under target, by its base name.
 
