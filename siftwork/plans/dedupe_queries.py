@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from siftwork.functions import scalars as S
 from siftwork.operators import dedupe, sidecars, tables
 from siftwork.plans import roles
 from siftwork.plans.register import query
-from siftwork.session import cut, table
+from siftwork.session import cut, ensure_checkpoint_dir, table
+from siftwork.sources import files as sources
 
 
 @query("SELECT doc_id, size FROM (SELECT doc_id, strlen(text) AS size, count(*) OVER (PARTITION BY strlen(text)) AS n FROM documents) WHERE n > 1 AND size > 0")
@@ -103,6 +106,21 @@ def sidecar_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    _HITS + """SELECT count(*) AS files, sum(size)::bigint AS bytes, count(*) FILTER (h.path IS NULL) AS none, count(*) FILTER (h.same) AS same_folder, count(*) FILTER (NOT h.same) AS other_part,
+    count(*) FILTER (regexp_matches(f.path, 'Google Photos/(Trash|Bin)/', 'i')) AS in_trash FROM files f LEFT JOIN (SELECT path, bool_or(place = 'SameFolder') AS same FROM hits GROUP BY path) h USING (path)"""
+)
+def report_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a coverage report, gathered while the report is written."""
+    files = roles.inventory(spark, sf_dir, hashed=False)
+    full = sidecars.attach(files, sidecars.match_sidecars(files, roles.sidecars(spark, sf_dir))).select("path", "size", "meta_place")
+    counters = {"files": F.count(F.lit(1)), "bytes": F.sum("size")}
+    counters |= {n: F.count_if(F.col("meta_place") == p) for n, p in (("none", "None"), ("same_folder", "SameFolder"), ("other_part", "OtherPart"))}
+    counters["in_trash"] = F.count_if(S.in_trash(F.col("path")))
+    got = sources.write_report(full, f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}", counters)
+    return spark.createDataFrame([tuple(got[n] for n in counters)], ", ".join(f"{n} long" for n in counters))
+
+
 @query(_HITS + "SELECT doc_id, path FROM sides WHERE path NOT IN (SELECT sidecar FROM hits)")
 def orphan_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = roles.sidecars(spark, sf_dir)

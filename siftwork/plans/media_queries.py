@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.functions import inference
 from siftwork.functions import scalars as S
 from siftwork.operators import decisions as D
 from siftwork.operators import planner, similar, zones
@@ -379,3 +380,25 @@ def zones_by_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     outlines = table(spark, sf_dir, "nation").select(F.col("n_name").alias("zone"), F.explode(F.array(*rings)).alias("points"))
     places = table(spark, sf_dir, "events").select(i, ((i * 37 % 1801) / F.lit(10.0) - 90).alias("lat"), ((i * 7919 % 3601) / F.lit(10.0) - 180).alias("lon"))
     return zones.zone_in_outlines(places, outlines, "UTC")
+
+
+def _toy_model():
+    """Stands for a model: where a vector is greatest, and how many of its components are above 0."""
+    import numpy as np
+
+    return lambda x: np.stack([x.argmax(axis=1), (x > 0).sum(axis=1)], axis=1).astype(np.float32)
+
+
+@query(
+    """SELECT vec_id AS key, CASE WHEN vec_id % 10 <> 7 THEN list_position(embedding, list_max(embedding)) - 1 END AS top, CASE WHEN vec_id % 10 <> 7 THEN len(list_filter(embedding, lambda v: v > 0)) END AS above,
+    CASE WHEN vec_id % 10 = 7 THEN 'unreadable' END AS error FROM embeddings WHERE vec_id % 4 <> 0 OR vec_id % 12 = 0"""
+)
+def cached_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model says of the vectors that a cache doesn't answer; some are unreadable."""
+    key = F.col("vec_id").alias("key")
+    items = table(spark, sf_dir, "embeddings").select(key, F.when(F.col("vec_id") % 10 != 7, F.col("embedding")).alias("pixels"))
+    cache = table(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0").select(
+        key, F.when(F.col("vec_id") % 12 == 4, F.array(F.lit(1.0).cast("float"))).alias("embedding"), F.when(F.col("vec_id") % 12 == 8, "failed").alias("error")
+    )
+    said = inference.embed_missing(items, cache, _toy_model)
+    return said.select("key", F.get("embedding", F.lit(0)).cast("long").alias("top"), F.get("embedding", F.lit(1)).cast("long").alias("above"), "error")
