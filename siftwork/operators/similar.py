@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalars as S
+from siftwork.operators.skew import dealt_join
+from siftwork.session import stored
 
 
 #: Chunks a 64-bit value is cut into, and the bits that may differ in one: a pair within 4 * (FLIPS + 1) - 1 bits has
 #: a chunk of 16 bits that differs in FLIPS at most.
 CHUNKS, FLIPS = 4, 2
+#: Rows of one chunk that meet in one task; a chunk of more is dealt over blocks of so many.
+BLOCK = 2_000
 
 
 def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, distance: int, on: Column | None = None) -> DataFrame:
@@ -22,7 +26,9 @@ def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, distance: in
     the left side looks for each chunk with each choice of so many bits flipped: an equi-join on (chunk
     number, chunk) of 16 bits. That is 4 rows of the left for a distance up to 3, 68 up to 7 and 548 up to
     11. Farther ones are refused: they would meet by chance. The smaller side belongs on the left.
-    A pair comes from its first chunk that is near enough, so nothing is made distinct.
+    A pair comes from its first chunk that is near enough, so nothing is made distinct. The right side's rows of a chunk of more
+    than BLOCK are dealt over blocks, and the left side's are repeated for each; there are 262,144 chunks at most, of which the hot ones are told to both sides.
+    Equal values all meet: where many are equal, join classes of them (`picture_classes`).
     on: a further condition, checked inside the join.
     """
     flips = distance // CHUNKS
@@ -35,13 +41,43 @@ def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, distance: in
     )
     y = cut(right, b, "__b")
     x = cut(left, a, "__a").withColumn("__m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
-    both = x.withColumn("__v", F.col("__a_v").bitwiseXOR(F.col("__m"))).join(y, (F.col("__a_i") == F.col("__b_i")) & (F.col("__v") == F.col("__b_v")))
+    x = x.withColumn("__v", F.col("__a_v").bitwiseXOR(F.col("__m")))
+    hot = y.groupBy(F.col("__b_i").alias("__hi"), F.col("__b_v").alias("__hv")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__blocks")).filter("__blocks > 1")
+    blocks = F.coalesce("__blocks", F.lit(1))
+    y = y.join(F.broadcast(hot), (F.col("__b_i") == F.col("__hi")) & (F.col("__b_v") == F.col("__hv")), "left")
+    y = y.withColumn("__b_k", F.pmod(F.xxhash64(*right.columns), blocks).cast("int")).drop("__hi", "__hv", "__blocks")
+    x = x.join(F.broadcast(hot), (F.col("__a_i") == F.col("__hi")) & (F.col("__v") == F.col("__hv")), "left")
+    x = x.withColumn("__a_k", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__hi", "__hv", "__blocks")
+    both = x.join(y, (F.col("__a_i") == F.col("__b_i")) & (F.col("__v") == F.col("__b_v")) & (F.col("__a_k") == F.col("__b_k")))
     first = F.lit(True)
     for i in range(CHUNKS - 1):
         first = first & ((F.col("__a_i") <= i) | (F.bit_count(F.col("__a")[i].bitwiseXOR(F.col("__b")[i])) > flips))
     near = S.hamming(F.col(a), F.col(b))
     both = both.filter((near <= distance) & first if on is None else on & (near <= distance) & first)
-    return both.withColumn("distance", near).drop("__a", "__b", "__a_i", "__b_i", "__a_v", "__b_v", "__m", "__v")
+    return both.withColumn("distance", near).drop("__a", "__b", "__a_i", "__b_i", "__a_v", "__b_v", "__a_k", "__b_k", "__m", "__v")
+
+
+def picture_classes(pictures: DataFrame) -> DataFrame:
+    """(id, class_id, n, any_new) of pictures (id, hashes, greys, is_new): pictures of equal hashes and greys are one class, named by its least id.
+
+    A picture whose hashes or greys are null is a class of its own. Rows move as 128 hash bits; a class of any size is folded in each task first.
+    """
+    whole = F.col("hashes").isNotNull() & F.col("greys").isNotNull()
+    own = F.when(whole, F.lit(None).cast("string")).otherwise(F.col("id").cast("string"))
+    rows = pictures.select("id", "is_new", F.xxhash64("hashes", "greys", own).alias("h1"), F.xxhash64(F.lit(7), "greys", own, "hashes").alias("h2"))
+    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("is_new"), F.lit(False)).alias("any_new"))
+    return dealt_join(rows.select("id", "h1", "h2"), classes, ["h1", "h2"], "n").select("id", "class_id", "n", "any_new")
+
+
+def similar_classes(pictures: DataFrame, distance: int = 3, residual: float = 6.0) -> tuple[DataFrame, DataFrame]:
+    """(membership, pairs): picture_classes, and similar_pictures of one picture a class. At least one picture of two classes is new.
+
+    Pictures of a class are alike at no distance, and are not given as pairs; every pair of different pictures that are alike is one of
+    its classes' pair.
+    """
+    members = stored(picture_classes(pictures))
+    first = members.filter("id = class_id").select("id", F.col("any_new").alias("is_new"))
+    return members, similar_pictures(pictures.drop("is_new").join(first, "id"), distance, residual)
 
 
 def similar_pictures(pictures: DataFrame, distance: int = 3, residual: float = 6.0) -> DataFrame:
@@ -82,17 +118,22 @@ def video_copies(new: DataFrame, every: DataFrame, distance: int = 8, seconds: f
     """(id, copy_of): the better copy of each new video that is as long to `seconds` and alike in all three frames.
 
     Both have id, duration, frames (hashes), in_library, size. Library first, then the larger, then the smaller
-    id; a copy that is neither in the library nor larger is no better one.
+    id; a copy that is neither in the library nor larger is no better one. Clips meet by duration and a piece of the first frame
+    together, 27 rows a new clip at 8 bits.
     """
+    pieces = distance + 1  # hashes that differ in `distance` bits agree in one of so many pieces
+    width = 64 // pieces
+    piece = lambda i: F.shiftrightunsigned(F.get("frames", F.lit(0)), i * width).bitwiseAND((1 << (width if i < pieces - 1 else 64 - i * width)) - 1)
     side = lambda df, x: df.filter(F.size("frames") == 3).select(
-        F.col("id").alias(x), F.col("duration").alias(f"d_{x}"), F.col("frames").alias(f"f_{x}"), F.get("frames", F.lit(0)).alias(f"h_{x}"),
-        F.col("in_library").alias(f"l_{x}"), F.col("size").alias(f"s_{x}"),
+        F.col("id").alias(x), F.col("duration").alias(f"d_{x}"), F.col("frames").alias(f"f_{x}"), F.col("in_library").alias(f"l_{x}"), F.col("size").alias(f"s_{x}"),
+        F.floor(F.col("duration") / seconds).alias("band"), F.posexplode(F.array(*[piece(i) for i in range(pieces)])).alias("i", "piece"),
     )
-    on = (F.col("n") != F.col("m")) & (F.abs(F.col("d_n") - F.col("d_m")) <= seconds)
-    for i in (1, 2):
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+    both = side(new.filter("duration > 0"), "n").withColumn("band", near).join(side(every, "m"), ["band", "i", "piece"])
+    on = (F.col("n") != F.col("m")) & (F.abs(F.col("d_n") - F.col("d_m")) <= seconds) & (F.col("l_m") | (F.col("s_m") > F.col("s_n")))
+    for i in range(3):
         on = on & (S.hamming(F.col("f_n")[i], F.col("f_m")[i]) <= distance)
-    near = hamming_join(side(new.filter("duration > 0"), "n"), side(every, "m"), "h_n", "h_m", distance, on & (F.col("l_m") | (F.col("s_m") > F.col("s_n"))))
-    best = near.groupBy("n").agg(F.min(F.struct((~F.col("l_m")).alias("outside"), (-F.col("s_m")).alias("low"), "m")).alias("b"))
+    best = both.filter(on).groupBy("n").agg(F.min(F.struct((~F.col("l_m")).alias("outside"), (-F.col("s_m")).alias("low"), "m")).alias("b"))
     return best.select(F.col("n").alias("id"), F.col("b.m").alias("copy_of"))
 
 

@@ -402,3 +402,34 @@ def cached_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     said = inference.embed_missing(items, cache, _toy_model)
     return said.select("key", F.get("embedding", F.lit(0)).cast("long").alias("top"), F.get("embedding", F.lit(1)).cast("long").alias("above"), "error")
+
+
+#: The pictures again, with up to five equal ones of every fourth, of which some are new.
+_COPIES = f"""{PICTURES}, c AS (SELECT z.* REPLACE (z.id * 10 + k AS id, CASE WHEN k = 0 THEN z.is_new ELSE z.id % 3 = 0 END AS is_new) FROM z, unnest(range(CASE WHEN z.id % 4 = 0 THEN 1 + z.id % 6 ELSE 1 END)) AS u(k)),
+  g AS (SELECT id, bool_or(is_new) AS is_new, list(struct_pack(hi, lo, grey) ORDER BY r) AS face FROM c GROUP BY id),
+  m AS (SELECT id, min(id) OVER w AS class_id, count(*) OVER w AS n, bool_or(is_new) OVER w AS any_new FROM g WINDOW w AS (PARTITION BY face))"""
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pictures(spark, sf_dir)
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("id") % 4 == 0, F.col("id") % 6).otherwise(0)))
+    more = own.withColumn("k", k)
+    return more.select((F.col("id") * 10 + F.col("k")).alias("id"), F.when(F.col("k") == 0, F.col("is_new")).otherwise(F.col("id") % 3 == 0).alias("is_new"), "hashes", "greys")
+
+
+@query(f"WITH {_COPIES} SELECT id, class_id, n, any_new FROM m")
+def picture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal pictures as classes."""
+    return similar.picture_classes(_copies(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_COPIES}, s AS (SELECT c.*, any_new FROM c JOIN m USING (id) WHERE id = class_id),
+    near AS (SELECT a.id AS a, b.id AS b, a.r AS rotation, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::int AS distance,
+      (abs(a.grey[1] - b.grey[1]) + abs(a.grey[2] - b.grey[2]) + abs(a.grey[3] - b.grey[3]) + abs(a.grey[4] - b.grey[4])) / 4 AS diff
+      FROM s a JOIN s b ON a.id < b.id AND b.r = 0 AND (a.any_new OR b.any_new) AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3)
+    SELECT a, b, arg_min(rotation, rotation)::int AS rotation, arg_min(distance, rotation) AS distance, arg_min(diff, rotation) AS diff FROM near WHERE diff <= 6 GROUP BY a, b"""
+)
+def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal pictures that look alike, one of either new."""
+    return similar.similar_classes(_copies(spark, sf_dir))[1]
