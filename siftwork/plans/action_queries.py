@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.operators import actions
@@ -14,13 +14,13 @@ from siftwork.plans.register import query
 from siftwork.session import ensure_checkpoint_dir, table
 from siftwork.sources.store import KeyedTable, run_logged
 
-# A customer's file goes through five places, a move an order, and comes home with every fifth; a later file may take its place.
+# A conversation's file goes through five places, a move a turn, and comes home with every fifth; a later file may take its place.
 _CHAINS = """o AS (
-  SELECT o_orderkey AS seq, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders
+  SELECT conv_id * 100000 + turn * 2 AS seq, conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations
 ), m AS (
   SELECT seq, CASE seq % 2 WHEN 0 THEN 'MovedMedia' ELSE 'MovedMetadata' END AS action, concat('q', (i - 1) % 5, '/', c) AS source, concat('q', i % 5, '/', c) AS destination, c AS size FROM o
   UNION ALL SELECT seq + 1, 'ReviewRequired', concat('q0/', c), '', c FROM o WHERE i = 1
-  UNION ALL SELECT 1000000000 + c, 'MovedMedia', concat('new/', c), concat('q0/', c), 7 FROM o WHERE i = n AND n % 5 <> 0 AND c % 3 = 0
+  UNION ALL SELECT 1000000000000000 + c, 'MovedMedia', concat('new/', c), concat('q0/', c), 7 FROM o WHERE i = n AND n % 5 <> 0 AND c % 3 = 0
 ), now AS (
   SELECT concat('q', n % 5, '/', c) AS path FROM o WHERE i = n AND c % 11 <> 0
   UNION SELECT concat('q0/', c) FROM o WHERE i = n AND (c % 3 = 0 OR c % 13 = 0)
@@ -29,9 +29,9 @@ _CHAINS = """o AS (
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("c"))
-    o.createOrReplaceTempView("__orders")
-    numbered = spark.sql("SELECT *, row_number() OVER (PARTITION BY c ORDER BY seq) AS i, count(*) OVER (PARTITION BY c) AS n FROM __orders")
+    o = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn") * 2).alias("seq"), F.col("conv_id").alias("c"))
+    w = Window.partitionBy("c")
+    numbered = o.withColumns({"i": F.row_number().over(w.orderBy("seq")), "n": F.count(F.lit(1)).over(w)})
     place = lambda i: F.concat(F.lit("q"), (i % 5).cast("string"), F.lit("/"), F.col("c").cast("string"))
     named = lambda top: F.concat(F.lit(f"{top}/"), F.col("c").cast("string"))
     row = lambda df, seq, action, a, b, size: df.select(seq.alias("seq"), action.alias("action"), a.alias("source"), b.alias("destination"), size.cast("long").alias("size"))
@@ -40,7 +40,7 @@ def _chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     manifest = (
         row(numbered, seq, F.when(seq % 2 == 0, "MovedMedia").otherwise("MovedMetadata"), place(i - 1), place(i), c)
         .union(row(numbered.filter("i = 1"), seq + 1, F.lit("ReviewRequired"), named("q0"), F.lit(""), c))
-        .union(row(last.filter("n % 5 <> 0 AND c % 3 = 0"), 1_000_000_000 + c, F.lit("MovedMedia"), named("new"), named("q0"), F.lit(7)))
+        .union(row(last.filter("n % 5 <> 0 AND c % 3 = 0"), 1_000_000_000_000_000 + c, F.lit("MovedMedia"), named("new"), named("q0"), F.lit(7)))
     )
     now = last.filter("c % 11 <> 0").select(place(n).alias("path")).union(last.filter("c % 3 = 0 OR c % 13 = 0").select(named("q0"))).union(last.filter("c % 21 = 0").select(named("new")))
     return manifest, now
@@ -65,8 +65,8 @@ def restore_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.restore(*_chains(spark, sf_dir))
 
 
-# A pair an event. What was moved, lost, changed or logged differs by its number.
-_PAIRS = """e AS (SELECT event_id AS i, value, event_id % 3 <> 0 AS paired, event_id % 19 AS k FROM events), p AS (
+# A pair a document. What was moved, lost, changed or logged differs by its number.
+_PAIRS = """e AS (SELECT doc_id AS i, doc_id % 3 <> 0 AS paired, doc_id % 19 AS k FROM documents), p AS (
   SELECT i AS pair_id, concat('keep/', i) AS keeper, concat('lib/', i, CASE WHEN i % 23 = 0 THEN '[1]' ELSE '' END, '.jpg') AS media, concat('q/', i, '.jpg') AS media_to,
          i % 1000 AS size, concat('h', i % 97) AS hash, CASE WHEN paired THEN concat('lib/', i, '.json') END AS side, CASE WHEN paired THEN concat('q/', i, '.json') END AS side_to, k, paired FROM e
 ), m AS (
@@ -86,7 +86,7 @@ _PAIRS = """e AS (SELECT event_id AS i, value, event_id % 3 <> 0 AS paired, even
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     i, k = F.col("pair_id"), F.col("k")
     text = lambda a, b="": F.concat(F.lit(a), i.cast("string"), b if not isinstance(b, str) else F.lit(b))
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pair_id"), (F.col("event_id") % 3 != 0).alias("paired"), (F.col("event_id") % 19).alias("k"))
+    e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 3 != 0).alias("paired"), (F.col("doc_id") % 19).alias("k"))
     p = e.withColumns({
         "keeper": text("keep/"), "media": text("lib/", F.concat(F.when(i % 23 == 0, "[1]").otherwise(""), F.lit(".jpg"))), "media_to": text("q/", ".jpg"),
         "size": (i % 1000).cast("long"), "hash": F.concat(F.lit("h"), (i % 97).cast("string")), "side": F.when(F.col("paired"), text("lib/", ".json")), "side_to": F.when(F.col("paired"), text("q/", ".json")),
@@ -154,19 +154,19 @@ def quarantine_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.quarantine_state(*_pairs(spark, sf_dir))
 
 
-# Trash folders with a level for each binary digit of a line's order; some files move, some stay.
+# Trash folders with a level for each binary digit of a document's number; some files move, some stay.
 _TREE = """t AS (
-  SELECT concat('Takeout/Part ', l_suppkey % 5, '/', CASE WHEN l_suppkey % 2 = 0 THEN 'Trash' ELSE 'Bin' END) AS trash,
-         concat('/', array_to_string(string_split(bin(l_orderkey), ''), '/')) AS below, concat('/f', l_linenumber, '-', l_partkey, '.jpg') AS name, l_suppkey % 5 < 2 OR l_partkey % 50 <> 0 AS moves FROM lineitem
+  SELECT concat('Takeout/Part ', doc_id % 5, '/', CASE WHEN doc_id % 2 = 0 THEN 'Trash' ELSE 'Bin' END) AS trash,
+         concat('/', array_to_string(string_split(bin(doc_id // 4), ''), '/')) AS below, concat('/f', doc_id, '.jpg') AS name, doc_id % 5 < 2 OR doc_id % 7 <> 0 AS moves FROM documents
 ), files AS (SELECT DISTINCT concat(trash, below, name) AS path, concat(trash, below) AS folder, moves FROM t)"""
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    i = F.col("l_suppkey")
+    i = F.col("doc_id")
     trash = F.concat(F.lit("Takeout/Part "), (i % 5).cast("string"), F.when(i % 2 == 0, "/Trash").otherwise("/Bin"))
-    below = F.concat(F.lit("/"), F.array_join(F.split(F.bin("l_orderkey"), ""), "/"))
-    name = F.concat(F.lit("/f"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"), F.lit(".jpg"))
-    t = table(spark, sf_dir, "lineitem").select(trash.alias("trash"), F.concat(trash, below).alias("folder"), F.concat(trash, below, name).alias("path"), ((i % 5 < 2) | (F.col("l_partkey") % 50 != 0)).alias("moves"))
+    below = F.concat(F.lit("/"), F.array_join(F.split(F.bin(F.floor(i / 4)), ""), "/"))
+    name = F.concat(F.lit("/f"), i.cast("string"), F.lit(".jpg"))
+    t = table(spark, sf_dir, "documents").select(trash.alias("trash"), F.concat(trash, below).alias("folder"), F.concat(trash, below, name).alias("path"), ((i % 5 < 2) | (i % 7 != 0)).alias("moves"))
     above = t.select("folder").distinct().select(F.explode(F.array_append(actions.folders_above(F.col("folder")), F.col("folder"))).alias("path")).distinct()
     return above, t.select("path"), t.filter("moves").select("path"), t.select(F.col("trash").alias("path"))
 
@@ -187,24 +187,21 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 @query(
-    """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity::bigint AS q FROM lineitem)
-    SELECT l_orderkey AS archive, l_linenumber AS position, l_partkey AS entry, q AS size FROM l WHERE l_orderkey % 100 <> 7
-    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey + 1, q FROM l WHERE l_orderkey % 100 = 7 AND l_linenumber % 2 = 1
-    UNION ALL SELECT -o_orderkey, 0, 0, 1 FROM orders WHERE o_orderkey % 500 = 7"""
+    """SELECT conv_id AS archive, turn AS position, role AS entry, length(text) AS size FROM conversations WHERE conv_id % 100 <> 7
+    UNION ALL SELECT conv_id, turn, concat(role, '!'), length(text) FROM conversations WHERE conv_id % 100 = 7 AND turn % 2 = 0
+    UNION ALL SELECT DISTINCT -conv_id - 1, 0, 'new', 1 FROM conversations WHERE conv_id % 50 = 7"""
 )
 def contents_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contents of archives, kept by archive: archives read again lose their old entries, new ones are added, the rest stays as it is on disk."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("entry"), F.col("l_quantity").cast("long").alias("size")
-    ).distinct()
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("archive"), F.col("turn").alias("position"), F.col("role").alias("entry"), F.length("text").cast("long").alias("size")
+    )
     store = KeyedTable(spark, _folder(spark, "contents"), "archive", buckets=16)
-    store.create(lines)
-    again = lines.filter("archive % 100 = 7 AND position % 2 = 1").withColumn("entry", F.col("entry") + 1)
-    gone = lines.filter("archive % 100 = 7").select("archive").distinct().join(again, "archive", "left_anti")
-    store.merge(again)
-    new = table(spark, sf_dir, "orders").filter("o_orderkey % 500 = 7").select((-F.col("o_orderkey")).alias("archive"), F.lit(0).alias("position"), F.lit(0).alias("entry"), F.lit(1).alias("size"))
-    store.merge(new.select(*[F.col(c).cast(lines.schema[c].dataType) for c in lines.columns]))
-    return store.read().join(gone, "archive", "left_anti")
+    store.create(rows)
+    store.merge(rows.filter("archive % 100 = 7 AND position % 2 = 0").withColumn("entry", F.concat("entry", F.lit("!"))))
+    new = rows.filter("archive % 50 = 7").select((-F.col("archive") - 1).alias("archive")).distinct()
+    store.merge(new.select("archive", F.lit(0).cast("long").alias("position"), F.lit("new").alias("entry"), F.lit(1).cast("long").alias("size")))
+    return store.read()
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,10 +211,10 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": b["path"], "result": failed.map({True: "FAILED", False: "OK"}), "detail": failed.map({True: "odd size", False: ""})})
 
 
-@query("SELECT concat('f', event_id) AS path, CASE WHEN user_id % 2 = 1 THEN 'FAILED' ELSE 'OK' END AS result, CASE WHEN user_id % 2 = 1 THEN 'odd size' ELSE '' END AS detail FROM events")
+@query("SELECT concat('f', doc_id) AS path, CASE WHEN n_chars % 2 = 1 THEN 'FAILED' ELSE 'OK' END AS result, CASE WHEN n_chars % 2 = 1 THEN 'odd size' ELSE '' END AS detail FROM documents")
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of actions worked through in steps; a second call with the same state adds nothing."""
-    todo = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("user_id").cast("long").alias("size"))
+    todo = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("long").alias("size"))
     base = _folder(spark, "actions")
     for _ in range(2):
         run_logged(todo, _settle, "path string, result string, detail string", f"{base}/log", f"{base}/state", flush=20_000)

@@ -366,19 +366,19 @@ _AROUND = [(1.0, 0.0), (0.875, 0.5), (0.5, 0.875), (0.0, 1.0), (-0.5, 0.875), (-
       SELECT n_nationkey, n_name, ring, k, dx, dy, CASE WHEN ring = 1 THEN 2.0::double ELSE 4.0::double + (n_nationkey * 7 + k * 5) % 11 END AS r FROM nation, d, (VALUES (0), (1)) q(ring))),
     e AS (SELECT a.zone, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.zone = b.zone AND a.ring = b.ring AND b.k = (a.k + 1) % 12),
     z AS (SELECT zone, (max(x1) - min(x1)) * (max(y1) - min(y1)) AS area FROM e GROUP BY zone),
-    p AS (SELECT event_id, (event_id * 37 % 1801) / 10.0::double - 90 AS lat, (event_id * 7919 % 3601) / 10.0::double - 180 AS lon FROM events),
+    p AS (SELECT doc_id, (doc_id * 37 % 1801) / 10.0::double - 90 AS lat, (doc_id * 7919 % 3601) / 10.0::double - 180 AS lon FROM documents),
     s AS (SELECT DISTINCT lat, lon, unnest([lon, lon + 360, lon - 360]) AS x FROM p),
     i AS (SELECT lat, lon, x, zone FROM s JOIN e ON (y1 <= lat) <> (y2 <= lat) AND x < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY lat, lon, x, zone HAVING count(*) % 2 = 1),
     m AS (SELECT lat, lon, arg_min(zone, (area, zone)) AS zone FROM i JOIN z USING (zone) GROUP BY lat, lon)
-    SELECT event_id, lat, lon, coalesce(zone, 'UTC') AS zone FROM p LEFT JOIN m USING (lat, lon)"""
+    SELECT doc_id, lat, lon, coalesce(zone, 'UTC') AS zone FROM p LEFT JOIN m USING (lat, lon)"""
 )
 def zones_by_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone whose outline is around each place, with holes and beyond the date line; else UTC."""
-    n, i = F.col("n_nationkey"), F.col("event_id")
+    n, i = F.col("n_nationkey"), F.col("doc_id")
     point = lambda k, r: F.struct(((n * 29 % 36) * F.lit(10.0) - 175 + _AROUND[k][0] * r).alias("lon"), ((n * 17 % 13) * F.lit(10.0) - 60 + _AROUND[k][1] * r).alias("lat"))
     rings = [F.array(*[point(k, r(k)) for k in range(12)]) for r in (lambda k: (n * 7 + k * 5) % 11 + F.lit(4.0), lambda k: F.lit(2.0))]
     outlines = table(spark, sf_dir, "nation").select(F.col("n_name").alias("zone"), F.explode(F.array(*rings)).alias("points"))
-    places = table(spark, sf_dir, "events").select(i, ((i * 37 % 1801) / F.lit(10.0) - 90).alias("lat"), ((i * 7919 % 3601) / F.lit(10.0) - 180).alias("lon"))
+    places = table(spark, sf_dir, "documents").select(i, ((i * 37 % 1801) / F.lit(10.0) - 90).alias("lat"), ((i * 7919 % 3601) / F.lit(10.0) - 180).alias("lon"))
     return zones.zone_in_outlines(places, outlines, "UTC")
 
 
