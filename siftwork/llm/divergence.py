@@ -5,7 +5,7 @@ neither has adds the difference of their baselines (the share of a count of 0),
 that, and corrected for those that one or both have. Shares below the highest baseline are few distinct values and
 are summed from a histogram of them; terms of both come from a join of a term's sources.
 
-The first terms of a group are found by radix selection: histograms over 16 bits of the values, top bits first, give
+The first terms of a group are found by radix selection: histograms over the bits of the values, leading bits first, give
 the digit in which the k-th lies; what is above is in, what is below is out, what is in that digit goes on. Ties
 that remain go on over their UTF-8 bytes. No group is ordered as a whole.
 """
@@ -23,8 +23,8 @@ from siftwork.session import stored, table
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Shares are parts of SCALE; every count is raised by PRIOR.
 SCALE, PRIOR = 1_000_000_000, 5
-#: Bits and bytes of a digit of the selection.
-BITS, BYTES = 16, 2
+#: Bits and bytes of a digit of the selection; the first digit is a value's bit length and so many leading bits.
+BITS, BYTES, LEADING = 16, 2, 10
 #: Copies of the groups of a language, so that its rows are spread.
 SALTS = 32
 GROUP = ["lang", "source"]
@@ -49,6 +49,18 @@ def term_counts(docs: DataFrame, lang: Column, source: Column, text: Column) ->
     )
 
 
+def _length(value: str) -> Column:
+    """Number of bits of a value."""
+    return F.when(F.col(value) == 0, 0).otherwise(F.length(F.bin(value))).cast("int")
+
+
+def _leading(value: str) -> Column:
+    """A digit by which greater values come first: bit length, then leading bits. Small and great values are told apart alike."""
+    n = _length(value)
+    top = F.call_function("shiftright", F.col(value), F.greatest(n - LEADING, F.lit(0))).cast("int")
+    return F.lit(1 << 20) - (n * F.lit(1 << LEADING) + top)
+
+
 def first_ranked(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k first rows of each group by value, largest first, ties by item in UTF-8 order; with rank from 1.
 
@@ -56,8 +68,9 @@ def first_ranked(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """
     live = stored(rows.select(*keys, "value", "item", F.lit(k).cast("long").alias("need")))
     bits = (live.agg(F.max("value")).first()[0] or 0).bit_length()
-    full = (1 << BITS) - 1
-    values = [F.lit(full) - F.shiftright("value", s).bitwiseAND(full) for s in reversed(range(0, max(bits, 1), BITS))]
+    values, low = [_leading("value")], F.col("value").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(_length("value") - LEADING, F.lit(0))) - 1)
+    for shift in reversed(range(0, max(bits - LEADING, 0), BITS)):
+        values.append(F.lit((1 << BITS) - 1) - F.shiftright(low, shift).bitwiseAND((1 << BITS) - 1))
     sure, turn = [], 0
     while True:
         at = (turn - len(values)) * BYTES + 1
