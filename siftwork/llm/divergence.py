@@ -19,8 +19,8 @@ from siftwork.llm.line_dedup import lower_ascii
 from siftwork.llm.skew import dealt_join
 from siftwork.session import stored, table
 
-#: Fixed value: what a term is.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between terms.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Shares are parts of SCALE; every count is raised by PRIOR.
 SCALE, PRIOR = 1_000_000_000, 5
 #: Bits and bytes of a digit of the selection; the first digit is a value's bit length and so many leading bits.
@@ -37,13 +37,29 @@ def share(count: str, total: str, terms: str) -> Column:
     )
 
 
+def _code(name: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), name)
+
+
+def group_codes(names: DataFrame) -> DataFrame:
+    """(lang_name, source_name, lang, source, seed): 64-bit codes for languages and sources, by which all counting goes; the seed is one for which no two names have one code."""
+    names, seed = stored(names), 0
+    while True:
+        coded = names.select("*", _code(F.col("lang_name"), seed).alias("lang"), _code(F.col("source_name"), seed).alias("source"), F.lit(seed).alias("seed"))
+        double = [coded.groupBy(c).agg(F.count_distinct(f"{c}_name").alias("n")).filter("n > 1").select("n") for c in GROUP]
+        if double[0].union(double[1]).isEmpty():
+            return coded
+        seed += 1
+
+
 def term_counts(docs: DataFrame, lang: Column, source: Column, text: Column) -> DataFrame:
-    """(lang, source, term, c, d): occurrences and documents of each term."""
-    terms = F.sort_array(F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0)))
+    """(lang, source, term, c, d): occurrences and documents of each term. lang and source may be codes."""
+    terms = F.sort_array(F.split(lower_ascii(text), BETWEEN))
     marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), (i == 0) | (F.get("t", i - 1) != x)))
     return (
         docs.select(lang.alias("lang"), source.alias("source"), terms.alias("t"))
         .select(*GROUP, F.explode(marked).alias("x"))
+        .filter("x.term <> ''")
         .groupBy(*GROUP, F.col("x.term").alias("term"))
         .agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("x.col2"), 1)).alias("d"))
     )
@@ -135,22 +151,27 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     columns of the input are not read. An empty table gives no rows.
     """
     lang, source, text = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col, text_col))
+    names = group_codes(docs.select(lang.alias("lang_name"), source.alias("source_name")).distinct())
+    seed = names.first()
+    lang, source = _code(lang, seed["seed"] if seed else 0), _code(source, seed["seed"] if seed else 0)
     counts = stored(term_counts(docs, lang, source, text))
     kept = counts.groupBy("lang", "term").agg(F.sum("c").alias("lc"), F.sum("d").alias("ld")).filter(F.col("ld") >= min_docs)
     kept = stored(kept.select("lang", "term", "lc"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lc").alias("ln"))
     own = stored(counts.join(kept, ["lang", "term"]).select(*GROUP, "term", "c", "lc"))
     present = own.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("held"), F.sum("c").alias("n"))
-    groups = docs.select(lang.alias("lang"), source.alias("source")).distinct().join(present, GROUP, "left").join(langs, "lang", "left")
+    groups = names.select(*GROUP).join(present, GROUP, "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["held", "n", "v", "ln"]).withColumn("z", F.coalesce(share("0", "n", "v"), F.lit(0).cast("long")))
     groups = stored(groups.withColumn("top", F.max("z").over(Window.partitionBy("lang"))))
     shares = dealt_join(own, groups.filter("held > 0"), GROUP, "held")
     shares = stored(shares.select(*GROUP, "term", share("c", "n", "v").alias("p"), share("lc", "ln", "v").alias("q"), "z", "top"))
     terms = first_ranked(shares.filter("p > q").select(*GROUP, (F.col("p") - F.col("q")).alias("value"), F.col("term").alias("item")), GROUP, top)
+    pairs = pair_sums(shares, groups).withColumnRenamed("item", "other")
+    pairs = pairs.join(names.select("lang", F.col("source").alias("other"), F.col("source_name").alias("item")), ["lang", "other"])
     place = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item"))
-    pairs = pair_sums(shares, groups).withColumn("rank", place)
-    names = ("lang", "source", "part", "item", "value", "rank")
-    return pairs.withColumn("part", F.lit("pair")).select(*names).unionByName(terms.withColumn("part", F.lit("term")).select(*names))
+    pairs = pairs.select(*GROUP, "item", "value", place.alias("rank"), F.lit("pair").alias("part"))
+    out = pairs.unionByName(terms.withColumn("part", F.lit("term"))).join(names, GROUP)
+    return out.select(F.col("lang_name").alias("lang"), F.col("source_name").alias("source"), "part", "item", "value", "rank")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,17 @@ def test_first_ranked(spark):
             own = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2].encode()))[:k]
             want |= {(*x, i) for i, x in enumerate(own, 1)}
         assert {tuple(x) for x in first_ranked(df, ["g"], k).collect()} == want
+
+
+def test_codes_are_never_shared(spark, monkeypatch):
+    """Two names of one code make another seed."""
+    from pyspark.sql import functions as F
+
+    from siftwork.llm import divergence
+
+    names = spark.createDataFrame([("en", "a"), ("fr", "a"), ("en", "b")], "lang_name string, source_name string")
+    assert {r["seed"] for r in divergence.group_codes(names).collect()} == {0}
+    real = divergence._code
+    monkeypatch.setattr(divergence, "_code", lambda name, seed: real(name, seed) if seed > 1 else F.length(name).cast("long"))
+    got = divergence.group_codes(names).collect()
+    assert {r["seed"] for r in got} == {2} and len({r["lang"] for r in got}) == 2 and len({r["source"] for r in got}) == 2
