@@ -29,6 +29,8 @@ def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, distance: in
     A pair comes from its first chunk that is near enough, so nothing is made distinct. The right side's rows of a chunk of more
     than BLOCK are dealt over blocks, and the left side's are repeated for each; there are 262,144 chunks at most, of which the hot ones are told to both sides.
     Equal values all meet: where many are equal, join classes of them (`picture_classes`).
+    Both sides are shuffled, whatever Spark takes their size to be: its estimate knows nothing of the rows that chunks and masks add, and a side
+    that it takes for small would go whole through the driver. All columns are repeated with each of those rows; wide ones are better joined to the pairs.
     on: a further condition, checked inside the join.
     """
     flips = distance // CHUNKS
@@ -36,25 +38,23 @@ def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, distance: in
         raise ValueError(f"a distance of {distance} bits is beyond what chunks of 16 bits select")
     width = 64 // CHUNKS
     masks = [sum(1 << i for i in c) for k in range(flips + 1) for c in itertools.combinations(range(width), k)]
-    cut = lambda df, c, name: df.withColumn(name, F.array(*[S.chunk(F.col(c), i, CHUNKS) for i in range(CHUNKS)])).select(
-        "*", F.posexplode(name).alias(f"{name}_i", f"{name}_v")
-    )
+    chunk = lambda c, i: S.chunk(F.col(c), i, CHUNKS)
+    cut = lambda df, c, name: df.select("*", F.posexplode(F.array(*[chunk(c, i) for i in range(CHUNKS)])).alias(f"{name}_i", f"{name}_v"))
     y = cut(right, b, "__b")
     x = cut(left, a, "__a").withColumn("__m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
-    x = x.withColumn("__v", F.col("__a_v").bitwiseXOR(F.col("__m")))
+    x = x.withColumn("__v", F.col("__a_v").bitwiseXOR(F.col("__m"))).drop("__a_v", "__m")
     hot = y.groupBy(F.col("__b_i").alias("__hi"), F.col("__b_v").alias("__hv")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__blocks")).filter("__blocks > 1")
     blocks = F.coalesce("__blocks", F.lit(1))
     y = y.join(F.broadcast(hot), (F.col("__b_i") == F.col("__hi")) & (F.col("__b_v") == F.col("__hv")), "left")
     y = y.withColumn("__b_k", F.pmod(F.xxhash64(*right.columns), blocks).cast("int")).drop("__hi", "__hv", "__blocks")
     x = x.join(F.broadcast(hot), (F.col("__a_i") == F.col("__hi")) & (F.col("__v") == F.col("__hv")), "left")
     x = x.withColumn("__a_k", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__hi", "__hv", "__blocks")
-    both = x.join(y, (F.col("__a_i") == F.col("__b_i")) & (F.col("__v") == F.col("__b_v")) & (F.col("__a_k") == F.col("__b_k")))
-    first = F.lit(True)
-    for i in range(CHUNKS - 1):
-        first = first & ((F.col("__a_i") <= i) | (F.bit_count(F.col("__a")[i].bitwiseXOR(F.col("__b")[i])) > flips))
+    both = x.join(y.hint("merge"), (F.col("__a_i") == F.col("__b_i")) & (F.col("__v") == F.col("__b_v")) & (F.col("__a_k") == F.col("__b_k")))
     near = S.hamming(F.col(a), F.col(b))
-    both = both.filter((near <= distance) & first if on is None else on & (near <= distance) & first)
-    return both.withColumn("distance", near).drop("__a", "__b", "__a_i", "__b_i", "__a_v", "__b_v", "__a_k", "__b_k", "__m", "__v")
+    fits = near <= distance if on is None else (near <= distance) & on
+    for i in range(CHUNKS - 1):
+        fits = fits & ((F.col("__a_i") <= i) | (F.bit_count(chunk(a, i).bitwiseXOR(chunk(b, i))) > flips))
+    return both.filter(fits).withColumn("distance", near).drop("__a_i", "__b_i", "__b_v", "__a_k", "__b_k", "__v")
 
 
 def picture_classes(pictures: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def similar_classes(pictures: DataFrame, distance: int = 3, residual: float = 6.
     """
     members = stored(picture_classes(pictures))
     first = members.filter("id = class_id").select("id", F.col("any_new").alias("is_new"))
-    return members, similar_pictures(pictures.drop("is_new").join(first, "id"), distance, residual)
+    return members, similar_pictures(pictures.drop("is_new").join(first.hint("merge"), "id"), distance, residual)
 
 
 def similar_pictures(pictures: DataFrame, distance: int = 3, residual: float = 6.0) -> DataFrame:
