@@ -99,17 +99,17 @@ def similar_pictures(pictures: DataFrame, distance: int = 3, residual: float = 6
 def messenger_matches(copies: DataFrame, originals: DataFrame, distance: int = 6, aspect: float = 0.03, cosine: float | None = None) -> DataFrame:
     """(copy, original, distance): the original that looks most like each copy, the larger of equals, then the smaller id.
 
-    Both sides have id, hash, width, height and, where `cosine` is given, embedding of length 1. The shapes differ by
-    `aspect` of the copy's at most.
+    Both sides have id, hash, width, height and, where `cosine` is given, embedding of length 1; id names one row. The shapes differ by
+    `aspect` of the copy's at most. Embeddings are joined to the pairs whose hashes and shapes fit, not repeated with each chunk.
     """
-    side = lambda df, x: df.select(
-        F.col("id").alias(x), F.col("hash").alias(f"h_{x}"), (F.col("width") / F.greatest("height", F.lit(1))).alias(f"r_{x}"),
-        (F.col("width") * F.col("height")).alias(f"area_{x}"), *([F.col("embedding").alias(f"e_{x}")] if cosine is not None else []),
-    )
+    side = lambda df, x, *more: df.select(F.col("id").alias(x), F.col("hash").alias(f"h_{x}"), (F.col("width") / F.greatest("height", F.lit(1))).alias(f"r_{x}"), *more)
+    area = (F.col("width") * F.col("height")).alias("area_original")
     fits = F.abs(F.col("r_original") - F.col("r_copy")) <= aspect * F.col("r_copy")
+    near = hamming_join(side(copies, "copy"), side(originals, "original", area), "h_copy", "h_original", distance, fits).select("copy", "original", "area_original", "distance")
     if cosine is not None:
-        fits = fits & (S.dot(F.col("e_copy"), F.col("e_original")) >= cosine)
-    near = hamming_join(side(copies, "copy"), side(originals, "original"), "h_copy", "h_original", distance, fits)
+        for df, x in ((copies, "copy"), (originals, "original")):
+            near = near.join(df.select(F.col("id").alias(x), F.col("embedding").alias(f"e_{x}")).hint("merge"), x)
+        near = near.filter(S.dot(F.col("e_copy"), F.col("e_original")) >= cosine)
     best = near.groupBy("copy").agg(F.min(F.struct("distance", (-F.col("area_original")).alias("low"), "original")).alias("m"))
     return best.select("copy", F.col("m.original").alias("original"), F.col("m.distance").alias("distance"))
 

@@ -10,7 +10,7 @@ from siftwork.functions import scalars as S
 from siftwork.operators import decisions as D
 from siftwork.operators import planner, similar, zones
 from siftwork.plans.register import query
-from siftwork.session import cut, table
+from siftwork.session import cut, stored, table
 
 BITS = """bits AS (
   SELECT vec_id, label, embedding, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > list_sort(embedding[2:])[(len(embedding)) // 2] THEN '1' ELSE '0' END), '') AS bits
@@ -40,7 +40,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     hex_ = lambda d, at, n: F.conv(F.substring(d, at, n), 16, 10).cast("long")
     hashes = [F.shiftleft(hex_(digest(r), 1, 8), 32).bitwiseOR(hex_(digest(r), 9, 8).bitwiseXOR(noise)) for r in range(4)]
     greys = [F.array(*[(hex_(digest(r), 17 + 2 * k, 2) + F.col("m") * (F.col("kind") % 8)).cast("double") for k in range(4)]) for r in range(4)]
-    return cut(rows.withColumns({"hashes": F.array(*hashes), "greys": F.array(*greys)}))  # stands for a stored table
+    return stored(rows.withColumns({"hashes": F.array(*hashes), "greys": F.array(*greys)}))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
