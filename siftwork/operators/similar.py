@@ -77,7 +77,7 @@ def similar_classes(pictures: DataFrame, distance: int = 3, residual: float = 6.
     """
     members = stored(picture_classes(pictures))
     first = members.filter("id = class_id").select("id", F.col("any_new").alias("is_new"))
-    return members, similar_pictures(pictures.drop("is_new").join(first.hint("merge"), "id"), distance, residual)
+    return members, similar_pictures(stored(pictures.drop("is_new").join(first.hint("merge"), "id")), distance, residual)
 
 
 def similar_pictures(pictures: DataFrame, distance: int = 3, residual: float = 6.0) -> DataFrame:
@@ -85,14 +85,14 @@ def similar_pictures(pictures: DataFrame, distance: int = 3, residual: float = 6
 
     pictures: id, hashes and greys (each an array of four, one a rotation; a grey is a flat array), is_new. At least
     one of a pair is new. The first rotation within `distance` bits and a mean difference of `residual` counts.
+    Hashes alone meet by chunks; greys are joined to the pairs that are near.
     """
-    turned = pictures.select(
-        F.col("id").alias("a"), F.col("is_new").alias("new_a"), "greys", F.posexplode("hashes").alias("rotation", "ha")
-    ).select("a", "new_a", F.get("greys", F.col("rotation")).alias("grey_a"), "rotation", "ha")
-    plain = pictures.select(F.col("id").alias("b"), F.col("is_new").alias("new_b"), F.get("greys", F.lit(0)).alias("grey_b"), F.get("hashes", F.lit(0)).alias("hb"))
-    near = hamming_join(turned, plain, "ha", "hb", distance, (F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b")))
-    diff = S.mean_difference(F.col("grey_a"), F.col("grey_b"))
-    near = near.withColumn("diff", diff).filter(F.col("diff") <= residual)
+    turned = pictures.select(F.col("id").alias("a"), F.col("is_new").alias("new_a"), F.posexplode("hashes").alias("rotation", "ha"))
+    plain = pictures.select(F.col("id").alias("b"), F.col("is_new").alias("new_b"), F.get("hashes", F.lit(0)).alias("hb"))
+    near = hamming_join(turned, plain, "ha", "hb", distance, (F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b"))).select("a", "b", "rotation", "distance")
+    near = near.join(pictures.select(F.col("id").alias("a"), F.col("greys").alias("greys_a")).hint("merge"), "a").withColumn("grey_a", F.get("greys_a", F.col("rotation"))).drop("greys_a")
+    near = near.join(pictures.select(F.col("id").alias("b"), F.get("greys", F.lit(0)).alias("grey_b")).hint("merge"), "b")
+    near = near.withColumn("diff", S.mean_difference(F.col("grey_a"), F.col("grey_b"))).filter(F.col("diff") <= residual)
     return near.groupBy("a", "b").agg(F.min(F.struct("rotation", "distance", "diff")).alias("m")).select("a", "b", "m.*")
 
 
