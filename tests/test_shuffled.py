@@ -6,7 +6,7 @@ from siftwork.catalog import QUERIES
 from tests.compare import SMALL
 
 
-@pytest.mark.parametrize("name", ["class_pairs", "hamming_best_match", "hamming_self_join", "pair_membership"])
+@pytest.mark.parametrize("name", ["class_pairs", "hamming_best_match", "hamming_self_join", "pair_membership", "video_copies"])
 def test_no_side_goes_through_the_driver(spark, name):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("10485760")
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
