@@ -21,10 +21,11 @@ def candidate_rows(files: DataFrame) -> DataFrame:
 def match_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     """(path, sidecar, priority, match, place): SameFolder hits, and OtherPart hits in the same folder of another part.
 
-    Both kinds come from one equi-join on the folder below the part and the name, case ignored.
+    Both kinds come from one equi-join on the folder below the part and the name, case ignored. A path is a file: however often
+    it is listed on either side, a hit is one row. Rows that repeat go before the join, where they would multiply.
     """
-    wanted = candidate_rows(files)
-    have = sidecars.select(
+    wanted = candidate_rows(files.select("path").distinct())
+    have = sidecars.select("path").distinct().select(
         F.col("path").alias("sidecar"),
         F.lower(S.parent(S.part_relative(F.col("path")))).alias("k1"),
         F.lower(S.base(F.col("path"))).alias("k2"),
