@@ -22,7 +22,7 @@ def listed_twice(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["sidecar_cross_part"])
+@pytest.mark.parametrize("name", ["sidecar_cross_part", "sidecar_same_folder"])
 def test_a_hit_is_one_row(spark, listed_twice, name):
     got = rows_of(QUERIES[name](spark, listed_twice))
     assert len(got[1]) == 1
