@@ -5,7 +5,7 @@ Each role is given twice, as a DataFrame and as a SQL common table expression fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalars as S
@@ -24,12 +24,17 @@ SIDE_NAME = """CASE WHEN toxic = 1 AND quality = 0 THEN concat('gone_', doc_id,
 SIDE_FOLDER = "CASE WHEN quality = 1 THEN folder ELSE concat('other', substr(folder, strpos(folder, '/'))) END"
 
 
+def _joined(sql: str) -> Column:
+    """The SQL as a column: its concat leaves nulls out, as concat_ws does."""
+    return F.expr(sql.replace("concat(", "concat_ws('', "))
+
+
 def inventory(spark: SparkSession, sf_dir: str, hashed: bool = True) -> DataFrame:
     """Files: doc_id, lang, source, size, hash, name, folder, path."""
     docs = table(spark, sf_dir, "documents")
     out = docs.select(
         "doc_id", "lang", "source", F.octet_length("text").cast("long").alias("size"), *([S.content_hash(F.encode("text", "UTF-8")).alias("hash")] if hashed else []),
-        F.expr(NAME.format(s="string")).alias("name"), F.expr(FOLDER).alias("folder"),
+        _joined(NAME.format(s="string")).alias("name"), _joined(FOLDER).alias("folder"),
     )
     return out.withColumn("path", F.concat_ws("/", "folder", "name"))
 
